@@ -43,6 +43,14 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets the driver's JVM find plans that are done, so that Spark deletes
+        their shuffle files now and not when memory happens to run short."""
+        import gc
+
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a kept table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
