@@ -3,10 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm import sql
+from quillspark.scratch import Scratch
 from quillspark.session import table
 
 
+def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.host_rules import host_rules
+
+    return host_rules(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.classifier import quality_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(spark, docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.voronoi import top_k
+
+    return top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.mixing import sized, source_targets, with_copies
+
+    scratch = Scratch(spark, "mixing")
+    sizes = scratch.keep(sized(table(spark, sf_dir, "documents")), "sizes")
+    mixed = with_copies(sizes, source_targets(spark, sizes, scratch))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import pii
+
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    spans = F.col("pii")
+    counts = [pii.count_of(spans, k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(pii.base_spans(spans)), 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
+
+
+def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.lm import lm_scores
+
+    return lm_scores(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.jaccard import jaccard_components
 
@@ -15,7 +61,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_host_rules": op1_host_rules,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_voronoi_topk": op3_voronoi_topk,
+    "op4_source_mixing": op4_source_mixing,
+    "op7_pii": op7_pii,
+    "op9_recurrent_lm": op9_recurrent_lm,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES
