@@ -38,6 +38,24 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.suffixes import remove_repeats
+
+    return remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.unigram import Vocabulary, encoding_digests
+
+    return encoding_digests(spark, table(spark, sf_dir, "documents"), Vocabulary.load())
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.licenses import scan_licenses
+
+    return scan_licenses(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import pii
 
@@ -65,7 +83,10 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_voronoi_topk": op3_voronoi_topk,
     "op4_source_mixing": op4_source_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
+    "op8_license_scan": op8_license_scan,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

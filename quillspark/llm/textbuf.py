@@ -49,14 +49,14 @@ def chunks(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> It
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte bounds of all words; text i has the words
     first[i] to first[i+1]."""
     n = len(data)
     if n == 0:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)
