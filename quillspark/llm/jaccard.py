@@ -34,7 +34,8 @@ from quillspark.scratch import Scratch, restrict
 
 BUCKETS = 1 << 16
 BITS = 512
-TILE = 1024
+FINE_BITS = 4096
+TILE = 1 << 14
 _MUL = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -125,15 +126,31 @@ def _arrays(size: int):
     return run
 
 
-def _bitmaps(size: int):
+def _bitmaps(size: int, width: int):
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, ns = [], []
             for s in shingle_sets(batch.column("text"), size):
-                bits = np.zeros(BITS, bool)
-                bits[((s >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)] = True
+                bits = np.zeros(width, bool)
+                bits[((s >> np.uint64(20)) % np.uint64(width)).astype(np.int64)] = True
                 rows.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], ["id", "bits"])
+                ns.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ns, pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "bits"])
+
+    return run
+
+
+def _fine(percent: int):
+    """Keeps the pairs (a, b) that wide bitmaps x, y of nx, ny elements allow."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
+            nx, ny = (batch.column(c).to_numpy() for c in ("nx", "ny"))
+            only_x = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+            only_y = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+            keep = pa.array(np.minimum(nx - only_x, ny - only_y) >= _need(nx + ny, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
@@ -154,18 +171,27 @@ def _overlaps(percent: int):
     return run
 
 
-def bound_pairs(n1, bits1, n2, bits2, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two tiles whose bitmaps leave room for a link."""
-    out1, out2 = [], []
+def bound_pairs(n1, bits1, n2, bits2, percent: int, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two tiles in size order whose bitmaps leave room for a
+    link; of one tile with itself (``same``) those with the smaller index first."""
+    ones1, ones2 = (np.bitwise_count(b).sum(1, dtype=np.int64) for b in (bits1, bits2))
+    out1, out2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo in range(0, len(n1), 64):
-        a, b = bits1[lo : lo + 64, None, :], bits2[None, :, :]
-        na, nb = n1[lo : lo + 64, None], n2[None, :]
-        both = np.bitwise_count(a & b).sum(2, dtype=np.int64)
-        only_a = np.bitwise_count(bits1[lo : lo + 64]).sum(1, dtype=np.int64)[:, None] - both
-        only_b = np.bitwise_count(bits2).sum(1, dtype=np.int64)[None, :] - both
-        i, j = np.nonzero(np.minimum(na - only_a, nb - only_b) >= _need(na + nb, percent))
-        out1.append(i + lo)
-        out2.append(j)
+        na, a, oa = n1[lo : lo + 64], bits1[lo : lo + 64], ones1[lo : lo + 64]
+        first = max(lo if same else 0, int(np.searchsorted(n2, percent * na[0] / 100 - 1)))
+        last = int(np.searchsorted(n2, 100 * na[-1] / percent + 1, "right"))
+        for at in range(first, last, 4096):
+            to = min(last, at + 4096)
+            both = np.zeros((len(na), to - at), np.int64)
+            for k in range(bits1.shape[1]):
+                both += np.bitwise_count(a[:, k, None] & bits2[None, at:to, k])
+            room = np.minimum((na - oa)[:, None] + both, (n2 - ones2)[None, at:to] + both)
+            i, j = np.nonzero(room >= _need(na[:, None] + n2[None, at:to], percent))
+            i, j = i + lo, j + at
+            if same:
+                i, j = i[i < j], j[i < j]
+            out1.append(i)
+            out2.append(j)
     return np.concatenate(out1), np.concatenate(out2)
 
 
@@ -217,7 +243,7 @@ def _tiles(percent: int):
             for g in np.flatnonzero(~((size <= NEAR) & (marks[1, lo] == marks[2, lo]))):
                 x = np.arange(lo[g], hi[g])
                 a, b = (x, x) if marks[1, lo[g]] == marks[2, lo[g]] else (x[side[x] == 0], x[side[x] == 1])
-                i, j = bound_pairs(n[a], bits[a], n[b], bits[b], percent)
+                i, j = bound_pairs(n[a], bits[a], n[b], bits[b], percent, marks[1, lo[g]] == marks[2, lo[g]])
                 found_a.append(a[i])
                 found_b.append(b[j])
             if not found_a:
@@ -268,13 +294,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     star = live.where("id <> hub").join(hubs, "key").where(fits.format("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     star = scratch.keep(star, "stars")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def attached(pairs: DataFrame, run, schema: str, x: list, y: list) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = restrict(base, ids, "id").mapInArrow(_arrays(size), "id long, s array<long>")
-        held = scratch.keep(held, "arrays")
-        x, y = held.select(F.col("id").alias("a"), F.col("s").alias("x")), held.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        out = scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
-        scratch.drop(held)
+        held = scratch.keep(restrict(base, ids, "id").mapInArrow(run, schema), "held")
+        return pairs.join(held.select(F.col("id").alias("a"), *x), "a").join(held.select(F.col("id").alias("b"), *y), "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wide = attached(pairs, _bitmaps(size, FINE_BITS), "id long, n long, bits binary", [F.col("n").alias("nx"), F.col("bits").alias("x")], [F.col("n").alias("ny"), F.col("bits").alias("y")])
+        likely = scratch.keep(wide.mapInArrow(_fine(percent), "a long, b long").distinct(), "likely")
+        whole = attached(likely, _arrays(size), "id long, s array<long>", [F.col("s").alias("x")], [F.col("s").alias("y")])
+        out = scratch.keep(whole.select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
+        scratch.release()
         return out
 
     links = verified(star)
@@ -289,12 +319,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     spans = numbered.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     later = spans.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"))
     meets = spans.join(later, "key").where("tile2 >= tile AND 100 * hi >= %d * lo2" % percent).select("key", "tile", "tile2")
-    bits = restrict(base, left.select("id").distinct(), "id").mapInArrow(_bitmaps(size), "id long, bits binary")
+    bits = restrict(base, left.select("id").distinct(), "id").mapInArrow(_bitmaps(size, BITS), "id long, n long, bits binary").drop("n")
     members = numbered.join(bits, "id")
     sides = meets.join(members, ["key", "tile"]).select("key", "tile", "tile2", F.lit(0).alias("side"), "id", "n", "comp", "bits").union(
         meets.where("tile <> tile2").join(members.withColumnRenamed("tile", "tile2"), ["key", "tile2"]).select("key", "tile", "tile2", F.lit(1).alias("side"), "id", "n", "comp", "bits")
     )
-    pairs = scratch.keep(sides.repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side").mapInArrow(_tiles(percent), "a long, b long").distinct(), "pairs")
+    pairs = scratch.keep(sides.repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side", "n").mapInArrow(_tiles(percent), "a long, b long").distinct(), "pairs")
     links = links.union(verified(pairs)).union(copies.where("a <> b").distinct())
     final = connected_components(links, scratch)
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
