@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quillspark.plans import retrieval_queries, table_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval_queries.Q, **table_queries.Q}
+ORACLES: dict[str, str] = {**retrieval_queries.SQL, **table_queries.SQL}
