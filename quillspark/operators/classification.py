@@ -62,9 +62,10 @@ def curve_areas(rows: DataFrame, by: list[str], prob: str = "prob", bins: int |
     c = curve(rows, by, prob, bins)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     before = F.when(F.col("prev_tp") + F.col("prev_fp") > 0, F.col("prev_tp") / (F.col("prev_tp") + F.col("prev_fp"))).otherwise(1.0)
-    gain = (F.col("tp") - F.col("prev_tp")) / F.col("pos")
+    pos, neg = F.nullif(F.col("pos"), F.lit(0)), F.nullif(F.col("neg"), F.lit(0))
+    gain = (F.col("tp") - F.col("prev_tp")) / pos
     a = c.groupBy(*by).agg(
-        F.sum(gain * prec).alias("ap"), F.sum((F.col("fp") - F.col("prev_fp")) * (F.col("tp") + F.col("prev_tp")) / 2 / F.col("neg") / F.col("pos")).alias("roc"),
+        F.sum(gain * prec).alias("ap"), F.sum((F.col("fp") - F.col("prev_fp")) * (F.col("tp") + F.col("prev_tp")) / 2 / neg / pos).alias("roc"),
         F.sum(gain * (prec + before) / 2).alias("pr"), F.first("pos").alias("pos"), F.first("neg").alias("neg"),
     )
     both = (F.col("pos") > 0) & (F.col("neg") > 0)

@@ -69,7 +69,7 @@ def global_precision(rows: DataFrame, k: int, prob: str, ties: list[str]) -> Dat
     total = rows.agg(F.sum("label").alias("n"))
     best = rows.orderBy(F.desc(prob), *ties).limit(k).agg(F.avg("label").alias("p"), F.sum("label").alias("s"))
     one = F.lit(1)
-    return best.withColumn("_j", one).join(total.withColumn("_j", one), "_j").select(F.lit(k).alias("k"), F.col("p").alias("precision"), (F.col("s") / F.col("n")).alias("coverage"))
+    return best.withColumn("_j", one).join(total.withColumn("_j", one), "_j").select(F.lit(k).alias("k"), F.col("p").alias("precision"), F.try_divide("s", "n").alias("coverage"))
 
 
 def set_precision(candidates: DataFrame, gold: DataFrame, k: int, keys: tuple[str, ...] = KEYS, item: str = "sent_idx") -> DataFrame:
