@@ -85,11 +85,13 @@ def draw(id_col: Column, seed: int) -> Column:
 
 
 def with_copies(docs: DataFrame, targets: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with source_size, target, rate and ``copies`` (0 or more).
+    """``docs`` with source_size, target, rate and ``copies`` (0 or more), in
+    place of columns of these names.
 
     The join on the source is null-safe; Spark broadcasts the source table
     where its written size allows and splits hot sources elsewhere.
     """
+    docs = docs.drop("source_size", "target", "rate", "copies")
     t = targets.withColumnRenamed("source", "_source")
     joined = docs.join(t, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
     return joined.withColumn("copies", (F.floor("rate") + (draw(F.col(id_col), seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

@@ -299,7 +299,7 @@ def encoding_digests(spark: SparkSession, docs: DataFrame, vocabulary: Vocabular
             for i in range(len(batch)):
                 sha.append(hashlib.sha256(ids[at[i] : at[i + 1]].tobytes()).hexdigest())
                 same.append(bool(np.array_equal(back[bounds[i] : bounds[i + 1]], data[offsets[i] : offsets[i + 1]])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(byte[at[1:]] - byte[at[:-1]]), pa.array(sha), pa.array(same)], ["id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(byte[at[1:]] - byte[at[:-1]]), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_pieces long, n_byte_pieces long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
