@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,12 @@ HEDGE_CUES = ["maybe", "might", "could", "possibly", "perhaps"]
 DAYS_OF = {"day": 1, "week": 7, "month": 30}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, although ``body``
+    may use it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores; null: null."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -61,7 +67,10 @@ def chunk_starts(n: Column, max_len: int, stride: int) -> Column:
 
 def chunks(words: Column, max_len: int = 512, stride: int = 128) -> Column:
     """(start, words) windows over an array of words."""
-    return F.transform(chunk_starts(F.size(words), max_len, stride), lambda s: F.struct(s.cast("int").alias("start"), F.slice(words, s.cast("int") + 1, max_len).alias("words")))
+    def cut(w: Column) -> Column:
+        return F.transform(chunk_starts(F.size(w), max_len, stride), lambda s: F.struct(s.cast("int").alias("start"), F.slice(w, s.cast("int") + 1, max_len).alias("words")))
+
+    return let(words, cut)
 
 
 def white_words(text: Column) -> Column:
