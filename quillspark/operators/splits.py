@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.scratch import Scratch
+
 
 def md5_order(seed: int | str, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]))
@@ -14,7 +16,8 @@ def md5_order(seed: int | str, *cols: Column | str) -> Column:
 def positions(df: DataFrame, *order: Column | str, parts: int = 64) -> DataFrame:
     """``df`` with ``pos`` (from 0) in a total order, without one task seeing all
     rows: range partitions are numbered and their sizes added up."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).persist()
+    # Written once: a range partitioning computed anew could place rows otherwise.
+    ranged = Scratch(df.sparkSession, "positions").keep(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     before, total = [], 0
     for row in ranged.groupBy("_p").count().orderBy("_p").collect():  # ``parts`` rows at most
         before += [F.lit(row["_p"]), F.lit(total)]
