@@ -33,7 +33,7 @@ from quillspark.llm.components import connected_components
 from quillspark.scratch import Scratch, restrict
 
 BUCKETS = 1 << 16
-BITS = 512
+BITS = 1024
 FINE_BITS = 4096
 TILE = 1 << 14
 _MUL = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -87,9 +87,9 @@ def _summaries(size: int):
                     fresh = []
             if fresh:
                 counts += np.bincount((np.concatenate(fresh) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array([False] * len(n))], ["id", "n", "f1", "f2", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array([False] * len(n), pa.bool_())], ["id", "n", "f1", "f2", "bucket"])
         hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit]), pa.array(hit), pa.array(hit), pa.array([True] * len(hit))], ["id", "n", "f1", "f2", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit]), pa.array(hit), pa.array(hit), pa.array([True] * len(hit), pa.bool_())], ["id", "n", "f1", "f2", "bucket"])
 
     return run
 
@@ -166,7 +166,7 @@ def _overlaps(percent: int):
                 a, b = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(bool(common) and 100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     return run
 
@@ -288,6 +288,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     at = Window.partitionBy("key")
     live = rows.withColumns({"hub": F.min("id").over(at), "top": F.max("id").over(at)}).where("hub <> top").drop("top")
     live = scratch.keep(live, "live")
+    scratch.release()
 
     fits = "100 * least({0}, {1}) >= %d * greatest({0}, {1})" % percent
     hubs = live.where("id = hub").select("key", F.col("n").alias("hub_n"))
@@ -312,6 +313,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     left = live.join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     left = left.withColumns({"lo": F.min("comp").over(at), "hi": F.max("comp").over(at)}).where("lo <> hi").select("key", "id", "n", "comp")
     left = scratch.keep(left, "apart")
+    scratch.release()
 
     # Size-banded tiles: a key's members in size order, TILE at a time; a tile
     # meets itself and the later tiles that its sizes allow.
@@ -325,6 +327,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         meets.where("tile <> tile2").join(members.withColumnRenamed("tile", "tile2"), ["key", "tile2"]).select("key", "tile", "tile2", F.lit(1).alias("side"), "id", "n", "comp", "bits")
     )
     pairs = scratch.keep(sides.repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side", "n").mapInArrow(_tiles(percent), "a long, b long").distinct(), "pairs")
+    scratch.release()
     links = links.union(verified(pairs)).union(copies.where("a <> b").distinct())
     final = connected_components(links, scratch)
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
