@@ -322,10 +322,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     later = spans.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"))
     meets = spans.join(later, "key").where("tile2 >= tile AND 100 * hi >= %d * lo2" % percent).select("key", "tile", "tile2")
     bits = restrict(base, left.select("id").distinct(), "id").mapInArrow(_bitmaps(size, BITS), "id long, n long, bits binary").drop("n")
-    members = numbered.join(bits, "id")
-    sides = meets.join(members, ["key", "tile"]).select("key", "tile", "tile2", F.lit(0).alias("side"), "id", "n", "comp", "bits").union(
-        meets.where("tile <> tile2").join(members.withColumnRenamed("tile", "tile2"), ["key", "tile2"]).select("key", "tile", "tile2", F.lit(1).alias("side"), "id", "n", "comp", "bits")
-    )
+    names = ["key", "tile", "tile2", "side", "id", "n", "comp"]
+    first = meets.join(numbered, ["key", "tile"]).withColumn("side", F.lit(0)).select(names)
+    second = meets.where("tile <> tile2").join(numbered.withColumnRenamed("tile", "tile2"), ["key", "tile2"]).withColumn("side", F.lit(1)).select(names)
+    # Bitmaps come last, so that they move once.
+    sides = first.union(second).join(bits, "id").select(*names, "bits")
     pairs = scratch.keep(sides.repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side", "n").mapInArrow(_tiles(percent), "a long, b long").distinct(), "pairs")
     scratch.release()
     links = links.union(verified(pairs)).union(copies.where("a <> b").distinct())
