@@ -24,7 +24,7 @@ from quillspark.llm import textbuf as tb
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PENALTY = 10.0
 MARKER = "▁"
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 class DoubleArray:
