@@ -1,11 +1,14 @@
 """Log-likelihood of whole texts under a gated recurrent language model.
 
 Counts of all training tokens are exact and distributed. The model's output
-vocabulary is the SHORTLIST most frequent words, the end and one symbol for
-any other word; it is factored into classes, so that a token costs one softmax
+vocabulary is the most frequent words, the end and one symbol for any other
+word. It grows with the counted vocabulary (``shortlist_size``) and is factored
+into as many classes as a class has words, so that a token costs one softmax
 over classes and one within its class. Output biases start at the corpus
-frequencies; the recurrent weights are trained on SAMPLE texts by truncated
-backpropagation. A word outside the shortlist has the model's probability of
+frequencies. START texts give all shards the same first weights; then every
+training text is learned once, in ROUNDS rounds: shards of whole texts learn by
+truncated backpropagation, each from the same weights, and their weights are
+averaged by words. A word outside the shortlist has the model's probability of
 "other" times its share of the smoothed unigram mass of all others, so the
 model is a distribution over all words. When scoring, the hidden state passes
 from window to window to the end of each text.
@@ -26,19 +29,29 @@ from pyspark.sql import functions as F
 from quillspark.llm import textbuf as tb
 from quillspark.scratch import Scratch
 
-CLASSES = 32
-SHORTLIST = CLASSES * 32 - 2
+CLASSES = 32  # at least
 END, OTHER = 0, 1
 HIDDEN = 16
-SAMPLE = 600
-SAMPLE_WORDS = 60_000
+START = 600
+START_WORDS = 60_000
 STEPS = 500
+ROUNDS = 2
+SHARD_WORDS = 1_000_000
+BUFFER = 1 << 17
+STREAMS = 256
+RATE = 0.005
+PIECE = 1 << 14
 WINDOW = 64
 GROUP = 1024
 BLOB_BYTES = 64 << 20
 LN10 = np.log(10.0)
 
 
+def shortlist_size(types: int) -> int:
+    """Words of the output vocabulary, about types ** (2/3)."""
+    return max(CLASSES, int(np.ceil(types ** (1 / 3)))) ** 2 - 2
+
+
 def _hashes(column: pa.Array):
     """(first text, offsets into words, word hashes) of runs of texts, A-Z lower-cased."""
     data, offsets = tb.buffers(column)
@@ -62,15 +75,18 @@ class Gru:
     def __init__(self, counts: np.ndarray, seed: int = 0):
         """counts: of END, OTHER and the shortlist, most frequent first."""
         rng, v = np.random.default_rng(seed), len(counts)
-        self.v, self.per = v, -(-v // CLASSES)
+        self.v, self.classes = v, int(np.ceil(np.sqrt(v)))
+        self.per = -(-v // self.classes)
         p = (counts + 0.5) / (counts + 0.5).sum()
-        size = self.per * CLASSES
+        size = self.per * self.classes
         bo = np.full(size, -30.0)
         bo[:v] = np.log(p)
-        bo = bo.reshape(CLASSES, self.per)
+        bo = bo.reshape(self.classes, self.per)
         bc = np.logaddexp.reduce(bo, 1)
         r = lambda *s: rng.normal(0, 0.3 / np.sqrt(s[0]), s)
-        self.w = {"e": rng.normal(0, 0.3, (v, HIDDEN)), "x": r(HIDDEN, 3 * HIDDEN), "u": r(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN), "c": r(HIDDEN, CLASSES) * 0.1, "bc": bc, "o": rng.normal(0, 0.02, (CLASSES, HIDDEN, self.per)), "bo": np.where(np.isfinite(bo - bc[:, None]), bo - bc[:, None], -30.0)}
+        self.w = {"e": rng.normal(0, 0.3, (v, HIDDEN)), "x": r(HIDDEN, 3 * HIDDEN), "u": r(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN), "c": r(HIDDEN, self.classes) * 0.1, "bc": bc, "o": rng.normal(0, 0.02, (self.classes, HIDDEN, self.per)), "bo": np.where(np.isfinite(bo - bc[:, None]), bo - bc[:, None], -30.0)}
+        self.w = {k: a.astype(np.float32) for k, a in self.w.items()}
+        self.adam: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def step(self, gx: np.ndarray, h: np.ndarray):
         k, gh = HIDDEN, h @ self.w["u"]
@@ -79,102 +95,145 @@ class Gru:
         n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
         return n + z * (h - n), (z, r, n, gh)
 
-    def log_probs(self, hs: np.ndarray, targets: np.ndarray, grads: dict | None = None):
+    def log_probs(self, hs: np.ndarray, targets: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
         """Natural log-probability of each target after each state; with
-        ``grads``, also the gradient of the mean loss for the states."""
+        ``grads``, also the gradient of the loss, a mean by ``weight``, for the
+        states. Gradients of classes come as (classes, gradients)."""
         w = self.w
         cls, inner = targets // self.per, targets % self.per
         logit = hs @ w["c"] + w["bc"]
         logit -= logit.max(1, keepdims=True)
-        ex = np.exp(logit)
+        at = (np.arange(len(cls)), cls)
+        own = logit[at]
+        ex = np.exp(logit, out=logit)
         total = ex.sum(1)
-        out = logit[np.arange(len(cls)), cls] - np.log(total)
-        back = None
+        out = own - np.log(total)
+        back, parts = None, []
         if grads is not None:
-            d = ex / total[:, None] / len(cls)
-            d[np.arange(len(cls)), cls] -= 1 / len(cls)
+            d = ex * (weight / total)[:, None]
+            d[at] -= weight
             back = d @ w["c"].T
             grads["c"], grads["bc"] = hs.T @ d, d.sum(0)
-            grads["o"], grads["bo"] = np.zeros_like(w["o"]), np.zeros_like(w["bo"])
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(edge)).tolist():
             rows = order[edge[c] : edge[c + 1]]
-            if not len(rows):
-                continue
             hc = hs[rows]
             logit = hc @ w["o"][c] + w["bo"][c]
             logit -= logit.max(1, keepdims=True)
-            ex = np.exp(logit)
-            total = ex.sum(1)
             at = (np.arange(len(rows)), inner[rows])
-            out[rows] += logit[at] - np.log(total)
+            own = logit[at]
+            ex = np.exp(logit, out=logit)
+            total = ex.sum(1)
+            out[rows] += own - np.log(total)
             if grads is not None:
-                d = ex / total[:, None] / len(cls)
-                d[at] -= 1 / len(cls)
+                d = ex * (weight[rows] / total)[:, None]
+                d[at] -= weight[rows]
                 back[rows] += d @ w["o"][c].T
-                grads["o"][c], grads["bo"][c] = hc.T @ d, d.sum(0)
+                parts.append((c, hc.T @ d, d.sum(0)))
+        if grads is not None:
+            some = np.array([c for c, _, _ in parts])
+            grads["o"], grads["bo"] = (some, np.stack([g for _, g, _ in parts])), (some, np.stack([g for _, _, g in parts]))
         return out, back
 
-    def train(self, texts: list[np.ndarray], steps: int = STEPS, streams: int = 32, length: int = 16, seed: int = 0) -> None:
-        """Adam on streams of whole texts; a text begins with a zero state."""
-        if not texts:
-            return
+    def _learn(self, prev: np.ndarray, ids: np.ndarray, begin: np.ndarray, weight: np.ndarray, h: np.ndarray, rate: float, step: int) -> np.ndarray:
+        """One update from a window of (streams, length); the states after it.
+        Only rows and classes that the window touches are updated."""
+        w, (streams, length) = self.w, ids.shape
+        seen, states, inputs = [], [], []
+        for t in range(length):
+            h = np.where(begin[:, t, None], np.float32(0), h)
+            x = w["e"][prev[:, t]]
+            before = h
+            h, gates = self.step(x @ w["x"] + w["b"], h)
+            seen.append((before, gates))
+            inputs.append(x)
+            states.append(h)
+        g: dict = {}
+        part = weight.T.ravel().astype(np.float32)
+        _, back = self.log_probs(np.concatenate(states), ids.T.ravel(), g, part / part.sum())
+        back = back.reshape(length, streams, HIDDEN)
+        carry, dgxs, dghs = np.zeros((streams, HIDDEN), np.float32), [], []
+        for i in range(length - 1, -1, -1):
+            before, (z, r, n, gh) = seen[i]
+            d = back[i] + carry
+            dn = d * (1 - z) * (1 - n * n)
+            dz = d * (before - n) * z * (1 - z)
+            dr = dn * gh[:, 2 * HIDDEN :] * r * (1 - r)
+            dgxs.append(np.concatenate([dz, dr, dn], 1))
+            dghs.append(np.concatenate([dz, dr, dn * r], 1))
+            carry = np.where(begin[:, i, None], np.float32(0), d * z + dghs[-1] @ w["u"].T)
+        dgx, dgh = np.concatenate(dgxs[::-1]), np.concatenate(dghs[::-1])
+        g["u"], g["x"], g["b"] = np.concatenate([b for b, _ in seen]).T @ dgh, np.concatenate(inputs).T @ dgx, dgx.sum(0)
+        flat = prev.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        rows, edge = np.unique(flat[order], return_index=True)
+        g["e"] = (rows, np.add.reduceat((dgx @ w["x"].T)[order], edge, axis=0))
+        g = {k: a if isinstance(a, tuple) else (slice(None), a) for k, a in g.items()}
+        norm = np.sqrt(sum(float((a * a).sum()) for _, a in g.values()))
+        for k, (at, d) in g.items():
+            if k not in self.adam:
+                self.adam[k] = (np.zeros_like(w[k]), np.zeros_like(w[k]))
+            m, v = self.adam[k]
+            d = d * min(1.0, 1.0 / (norm + 1e-9))
+            m[at] = mk = 0.9 * m[at] + 0.1 * d
+            v[at] = vk = 0.99 * v[at] + 0.01 * d * d
+            w[k][at] -= rate * (mk / (1 - 0.9**step)) / (np.sqrt(vk / (1 - 0.99**step)) + 1e-8)
+        return h
+
+    @staticmethod
+    def _streams(texts: list[np.ndarray], streams: int):
+        """(previous ids, ids, text begins, weights) of all words in equal
+        streams; only the places past the last word have no weight."""
         ids = np.concatenate(texts)
         begin = np.zeros(len(ids), bool)
         begin[np.cumsum([0] + [len(t) for t in texts[:-1]])] = True
         prev = np.where(begin, END, np.concatenate([[END], ids[:-1]]))
-        per = len(ids) // streams
-        if per < length:
-            streams, per = max(1, len(ids) // length), length
-        if len(ids) < length:
+        per = -(-len(ids) // streams)
+        fill = lambda a: np.append(a, np.zeros(streams * per - len(ids), a.dtype)).reshape(streams, per)
+        return fill(prev), fill(ids), fill(begin), fill(np.ones(len(ids), bool))
+
+    def train(self, texts: list[np.ndarray], steps: int = STEPS, streams: int = 32, length: int = 16, seed: int = 0) -> None:
+        """Adam on streams of whole texts; a text begins with a zero state."""
+        texts = [t for t in texts if len(t)]
+        size = sum(map(len, texts))
+        if not size:
             return
-        shape = lambda a: a[: streams * per].reshape(streams, per)
-        ids, prev, begin = shape(ids), shape(prev), shape(begin)
-        w = self.w
-        m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-        h, at = np.zeros((streams, HIDDEN)), 0
+        data, at = self._streams(texts, max(1, min(streams, size // length))), 0
+        h = zero = np.zeros((len(data[0]), HIDDEN), np.float32)
         for step in range(1, steps + 1):
-            if at + length > per:
-                h, at = np.zeros((streams, HIDDEN)), 0
-            seen, states, inputs = [], [], []
-            for t in range(at, at + length):
-                h = np.where(begin[:, t, None], 0, h)
-                x = w["e"][prev[:, t]]
-                before = h
-                h, gates = self.step(x @ w["x"] + w["b"], h)
-                seen.append((before, gates))
-                inputs.append(x)
-                states.append(h)
-            g: dict = {}
-            _, back = self.log_probs(np.concatenate(states), ids[:, at : at + length].T.ravel(), g)
-            back = back.reshape(length, streams, HIDDEN)
-            g |= {k: np.zeros_like(w[k]) for k in ("e", "x", "u", "b")}
-            carry = np.zeros((streams, HIDDEN))
-            for i in range(length - 1, -1, -1):
-                before, (z, r, n, gh) = seen[i]
-                d = back[i] + carry
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * gh[:, 2 * HIDDEN :] * r * (1 - r)
-                dgx = np.concatenate([dz, dr, dn], 1)
-                dgh = np.concatenate([dz, dr, dn * r], 1)
-                carry = np.where(begin[:, at + i, None], 0, d * z + dgh @ w["u"].T)
-                g["u"] += before.T @ dgh
-                g["x"] += inputs[i].T @ dgx
-                g["b"] += dgx.sum(0)
-                np.add.at(g["e"], prev[:, at + i], dgx @ w["x"].T)
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            for k in w:
-                d = g[k] * min(1.0, 1.0 / (norm + 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * d
-                v[k] = 0.999 * v[k] + 0.001 * d * d
-                rate = 0.01 * (1 - step / (steps + 1))
-                w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            if at >= data[0].shape[1]:
+                h, at = zero, 0
+            h = self._learn(*(a[:, at : at + length] for a in data), h, 0.01 * (1 - step / (steps + 1)), step)
             at += length
+        self.adam = {}
+
+    def learn_all(self, runs, length: int = 16) -> int:
+        """One pass over every word of the texts that ``runs`` yields, a run at
+        a time; the number of words."""
+        step = n = 0
+        for texts in runs:
+            size = sum(map(len, texts))
+            data = self._streams(texts, max(1, min(STREAMS, size // (64 * length))))
+            h = np.zeros((len(data[0]), HIDDEN), np.float32)
+            for at in range(0, data[0].shape[1], length):
+                step += 1
+                h = self._learn(*(a[:, at : at + length] for a in data), h, RATE, step)
+            n += int(data[3].sum())
+        self.adam = {}
+        return n
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w[k].ravel() for k in sorted(self.w)])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.w):
+            a = self.w[k]
+            self.w[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
+            at += a.size
 
     def freeze(self) -> Gru:
-        self.w = {k: a.astype(np.float32) for k, a in self.w.items()}
         self.table = self.w["e"] @ self.w["x"] + self.w["b"]
         return self
 
@@ -182,13 +241,14 @@ class Gru:
         """Natural log-probability of every text; ids end with END in each."""
         size = offsets[1:] - offsets[:-1]
         order, out = np.argsort(-size, kind="stable"), np.zeros(len(size))
+        window = max(4, min(WINDOW, WINDOW * CLASSES // self.classes))
         for lo in range(0, len(order), GROUP):
             docs = order[lo : lo + GROUP]
             left, begin = size[docs], offsets[docs]
             h = np.zeros((len(docs), HIDDEN), np.float32)
-            for t0 in range(0, int(left[0]) if len(left) else 0, WINDOW):
+            for t0 in range(0, int(left[0]) if len(left) else 0, window):
                 states, targets, who = [], [], []
-                for t in range(t0, min(t0 + WINDOW, int(left[0]))):
+                for t in range(t0, min(t0 + window, int(left[0]))):
                     n = int(np.searchsorted(-left, -t, "left"))  # texts longer than t
                     prev = ids[begin[:n] + t - 1] if t else np.full(n, END)
                     h[:n] = self.step(self.table[prev], h[:n])[0]
@@ -314,6 +374,67 @@ def _model_scores(model: Gru, sorted_h, code, log_c: np.ndarray, seen: np.ndarra
     return run
 
 
+def _shard(model: Gru, sorted_h, code):
+    """The weights after one pass over all texts of a partition, times their
+    words, in pieces."""
+
+    def runs(batches):
+        texts, have = [], 0
+        for batch in batches:
+            for _, ids, offs, _, _ in _texts(batch.column("text"), sorted_h, code):
+                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                    texts.append(ids[a:b])
+                    have += b - a
+                    if have >= BUFFER:
+                        yield texts
+                        texts, have = [], 0
+        if texts:
+            yield texts
+
+    def run(batches):
+        n = model.learn_all(runs(batches))
+        if n:
+            flat = model.flat()
+            for i in range(0, len(flat), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[i : i + PIECE].tobytes()], pa.binary())], ["piece", "n", "w"])
+
+    return run
+
+
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(w, np.float32).astype(float) * n for w, n in zip(pdf.w, pdf.n, strict=True))
+    n = int(pdf.n.sum())
+    return pd.DataFrame({"piece": pdf.piece[:1], "n": [n], "w": [(total / max(n, 1)).astype(np.float32).tobytes()]})
+
+
+def fit(train: DataFrame, model: Gru, sorted_h, code, words: int) -> int:
+    """Every text of ``train`` once, in ROUNDS rounds of shards whose weights
+    are averaged; the number of words (and ends) learned."""
+    learned, size = 0, len(model.flat())
+    shards = max(1, -(-words // (ROUNDS * max(SHARD_WORDS, 4 * size))))
+    for k in range(ROUNDS):
+        part = train.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("text").coalesce(shards)
+        got = part.mapInArrow(_shard(model, sorted_h, code), "piece int, n long, w binary").groupBy("piece").applyInPandas(_average, "piece int, n long, w binary").toArrow().sort_by("piece")
+        if got.num_rows:
+            model.load(np.frombuffer(b"".join(got.column("w").to_pylist()), np.float32))
+            learned += got.column("n")[0].as_py()
+    return learned
+
+
+def _shortlist(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the ``most`` most frequent words, by count and hash."""
+    steps = counts.groupBy("c").agg(F.count("*").alias("k")).toArrow().sort_by([("c", "descending")])
+    c, upto = steps.column("c").to_numpy(), np.cumsum(steps.column("k").to_numpy())
+    whole = int(np.searchsorted(upto, most, "right"))
+    got = counts if whole == len(c) else counts.where(F.col("c") > int(c[whole]))
+    if whole < len(c):
+        got = got.union(counts.where(F.col("c") == int(c[whole])).orderBy("h").limit(most - int(upto[whole - 1] if whole else 0)))
+    top = got.toArrow()
+    h, n = top.column("h").to_numpy(), top.column("c").to_numpy()
+    order = np.lexsort((h, -n))
+    return h[order].view(np.uint64), n[order]
+
+
 def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 1, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -333,9 +454,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     total, types = words + ends, types + (ends > 0)
     norm = np.log10(total + 0.5 * (types + 1))
 
-    top = counts.orderBy(F.desc("c"), "h").limit(SHORTLIST).collect()  # SHORTLIST rows
-    top_h = np.array([r.h for r in top], np.int64).view(np.uint64)
-    top_c = np.array([r.c for r in top], np.int64)
+    top_h, top_c = _shortlist(counts, shortlist_size(types))
     order = np.argsort(top_h)
     sorted_h, code = top_h[order], order + 2
     rest = words - int(top_c.sum())
@@ -344,16 +463,19 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     log_c, seen = np.log10(freq + 0.5), freq > 0
     log_c[OTHER], seen[OTHER] = 0, False
 
-    # SAMPLE texts in hash order, SAMPLE_WORDS words of them at most.
-    picked = train.where("doc_id IS NOT NULL").select("doc_id", "text").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(SAMPLE).toArrow()
+    # First weights: START texts in hash order, START_WORDS words of them at most.
+    picked = train.where("doc_id IS NOT NULL").select("doc_id", "text").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(START).toArrow()
     texts, have = [], 0
     for i in range(picked.num_rows):
-        if have < SAMPLE_WORDS:
+        if have < START_WORDS:
             for _, ids, _, _, _ in _texts(picked.column("text").slice(i, 1), sorted_h, code):
-                texts.append(ids)
-                have += len(ids)
+                texts.append(ids[: START_WORDS - have])
+                have += len(texts[-1])
     model = Gru(freq)
     model.train(texts)
+    learned = fit(train, model, sorted_h, code, total)
+    if learned != total:
+        raise RuntimeError(f"learned {learned} of {total} training words")
     model.freeze()
 
     buckets = max(1, -(-12 * (words + words // 4 + 1) // BLOB_BYTES))

@@ -391,3 +391,19 @@ def test_bitmap_bound_never_loses_a_link():
                 common = len(np.intersect1d(sets[i], sets[j]))
                 if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                     assert (i, j) in found
+
+
+def test_lm_learns_from_every_text(spark):
+    """The first text in hash order alone has more words than START_WORDS."""
+    ids = spark.range(400).select("id", F.xxhash64("id").alias("h")).orderBy("h").collect()
+    first = next(r.id for r in ids if zlib.crc32(str(r.id).encode()) % 5 != 1)
+    rows = [(r.id, " ".join(["junk"] * 70_000) if r.id == first else " ".join("pqrstuvwxyz"[(k + r.id) % 11] for k in range(300))) for r in ids]
+    got = lm.lm_scores(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
+
+
+def test_lm_shortlist_grows_with_the_vocabulary(spark):
+    assert lm.shortlist_size(100) == 1022 and lm.shortlist_size(404_216) > 5000 and lm.shortlist_size(10**8) > 200_000
+    counts = [(i - 50, 1 + i % 7) for i in range(100)]
+    h, c = lm._shortlist(spark.createDataFrame(counts, "h long, c long"), 37)
+    assert list(zip(h.view(np.int64).tolist(), c.tolist())) == sorted(counts, key=lambda x: (-x[1], x[0]))[:37]
