@@ -1,14 +1,19 @@
 """Licence scans: word-bigram Dice coefficients of text units and templates.
 
-A text's units are its lines, its paragraphs (between empty lines) and the
-whole. Units and templates are normalised alike: A-Z lower-cased, words are
+A text's units are its lines, its paragraphs (between empty lines), the whole,
+and windows: runs of sentences and lines of about a template's length, where
+many of its bigrams stand. Templates are short notices and, in license_texts,
+whole licences. Units and templates are normalised alike: A-Z lower-cased, words are
 runs of letters, digits and non-ASCII bytes. A template is compared with a unit
 only if their bigram counts allow the threshold, and only units with enough
-bigrams that occur in some template are looked at closely.
+bigrams that occur in some template are looked at closely. Windows are sought
+only for templates of which the text has enough distinct bigrams.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +47,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
 
+WHOLE: list[tuple[str, str]] = [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = False
 _GAP[128:] = False
 
 
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?:;\n")] = True
+
+
 def _bigrams(data: np.ndarray, offs: np.ndarray):
     """(first, starts, bigram hash of each word with the next)."""
     low = tb.LOWER[data]
@@ -69,15 +80,52 @@ def dice_of(unit: np.ndarray, templates: list[tuple[str, np.ndarray]], threshold
     return name, best
 
 
+def windows_of(pair: np.ndarray, edges: np.ndarray, template: np.ndarray, length: int, threshold: float):
+    """Disjoint windows (first word, past the last, dice) of one text, best first.
+
+    ``pair`` are the text's bigrams, ``edges`` the words that begin a sentence
+    or line and the number of words; ``length`` is the template's in bigrams.
+    Dice >= t means that 2 * common - t * size is t * len(template) at least; the
+    best begin for each end by that sum is compared exactly.
+    """
+    at = np.minimum(np.searchsorted(template, pair), len(template) - 1)
+    order = np.argsort(pair, kind="stable")
+    again = np.zeros(len(pair), bool)
+    again[order[1:]] = (pair[order[1:]] == pair[order[:-1]]) & (order[1:] - order[:-1] < length)
+    gain = np.where(again, 0.0, 2.0 * (template[at] == pair) - threshold)
+    upto = np.concatenate([[0.0], np.cumsum(gain)])
+    most, found = int(length * (2 - threshold) / threshold) + 1, []
+    begins = edges[:-1]
+    for end in edges[1:].tolist():
+        lo, hi = np.searchsorted(begins, [end - most - 1, end - 1])
+        if lo < hi:
+            # The bigram that crosses into the window belongs to none.
+            i = lo + int(np.argmin(upto[begins[lo:hi]]))
+            value = upto[end - 1] - upto[begins[i]]
+            if value >= 0.85 * threshold * len(template):
+                found.append((value, int(begins[i]), end))
+    out: list[tuple[int, int, float]] = []
+    for _, a, b in sorted(found, key=lambda x: (-x[0], x[1])):
+        if all(b <= x or a >= y for x, y, _ in out):
+            dice = dice_of(np.unique(pair[a : b - 1]), [("", template)], threshold)[1]
+            if dice:
+                out.append((a, b, dice))
+    return out
+
+
 def _scan(templates: list[tuple[str, str]], threshold: float):
-    sets = []
+    sets, lengths = [], []
     for name, text in templates:
         raw = np.frombuffer(text.encode(), np.uint8)
-        sets.append((name, np.unique(_bigrams(raw, np.array([0, len(raw)]))[2])))
-    sets = [(n, s) for n, s in sets if len(s)]
+        pairs = _bigrams(raw, np.array([0, len(raw)]))[2]
+        if len(pairs):
+            sets.append((name, np.unique(pairs)))
+            lengths.append(len(pairs))
     every = np.unique(np.concatenate([s for _, s in sets])) if sets else np.zeros(0, np.uint64)
     # The least overlap of any match: dice >= t with one of the smallest template.
     need = min((int(np.ceil(threshold / (2 - threshold) * len(s))) for _, s in sets), default=1)
+    member = np.stack([np.isin(every, s) for _, s in sets], 1) if sets else np.zeros((0, 0), bool)
+    needs = np.array([int(np.ceil(threshold / (2 - threshold) * len(s))) for _, s in sets])
 
     def run(batches):
         for batch in batches:
@@ -95,6 +143,7 @@ def _scan(templates: list[tuple[str, str]], threshold: float):
                 line = np.searchsorted(line_at, starts)
                 gap = line_at[1:][part[line_at[1:] - 1] == 0x0A] if len(line_at) > 1 else line_at[:0]
                 seen: set[tuple[int, int]] = set()
+                matched: dict[tuple[int, str], list[tuple[int, int]]] = {}
                 for unit in (line, np.searchsorted(gap, starts), np.zeros(len(starts), np.int64)):
                     new = np.ones(len(starts), bool)
                     new[1:] = (unit[1:] != unit[:-1]) | (doc[1:] != doc[:-1])
@@ -112,6 +161,26 @@ def _scan(templates: list[tuple[str, str]], threshold: float):
                             d = i + int(doc[a])
                             hits[d] += 1
                             found[d][name] = max(dice, found[d].get(name, 0.0))
+                            matched.setdefault((d, name), []).append((a, b))
+                stops = np.concatenate([[0], np.cumsum(_STOP[part])])
+                inside = doc[1:] == doc[:-1]
+                per_doc = np.bincount(doc[:-1][inside & known], minlength=len(first) - 1)
+                for k in np.flatnonzero(per_doc >= need).tolist():
+                    a, b = int(first[k]), int(first[k + 1])
+                    have = np.unique(at[a : b - 1][known[a : b - 1]])
+                    likely = np.flatnonzero(member[have].sum(0) >= needs)
+                    if not len(likely):
+                        continue
+                    edges = np.concatenate([[0], np.flatnonzero(stops[starts[a + 1 : b]] > stops[starts[a : b - 1]]) + 1, [b - a]])
+                    for t in likely.tolist():
+                        name, d = sets[t][0], i + k
+                        for x, y, dice in windows_of(pair[a : b - 1], edges, sets[t][1], lengths[t], threshold):
+                            found[d][name] = max(dice, found[d].get(name, 0.0))
+                            places = matched.setdefault((d, name), [])
+                            # A stretch that a unit already covers is no other unit.
+                            if all(a + y <= p or a + x >= q for p, q in places):
+                                places.append((a + x, a + y))
+                                hits[d] += 1
             best = [min(f, key=lambda k: (-f[k], k)) if f else None for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(best, pa.string()), pa.array([f[k] if k else None for f, k in zip(found, best, strict=True)], pa.float64()), pa.array([",".join(sorted(f)) for f in found], pa.string()), pa.array(hits, pa.int64())],
@@ -130,4 +199,4 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: list[tuple[st
     ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(TEMPLATES if templates is None else templates, threshold), "doc_id long, license_id string, dice double, licenses string, n_units long")
+    return rows.mapInArrow(_scan(TEMPLATES + WHOLE if templates is None else templates, threshold), "doc_id long, license_id string, dice double, licenses string, n_units long")

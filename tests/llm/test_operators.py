@@ -407,3 +407,21 @@ def test_lm_shortlist_grows_with_the_vocabulary(spark):
     counts = [(i - 50, 1 + i % 7) for i in range(100)]
     h, c = lm._shortlist(spark.createDataFrame(counts, "h long, c long"), 37)
     assert list(zip(h.view(np.int64).tolist(), c.tolist())) == sorted(counts, key=lambda x: (-x[1], x[0]))[:37]
+
+
+def test_whole_and_embedded_licenses(spark):
+    whole = dict(licenses.WHOLE)
+    prose = " ".join(f"word{i} and" for i in range(300))
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows, want = [], []
+    for name in sorted(whole):
+        one = " ".join(whole[name].split())
+        for text in (one, f"The {name} text\n\nCopyright (c) 2020 A. Body\n\n{whole[name]}", f"{prose}.\n{wrap(one, 11)}\n{prose}", f"{prose}. {one} {prose}."):
+            rows.append((len(rows), text))
+            want.append(name)
+    rows += [(len(rows), f"{prose}. Released under the MIT License. See the notes below. {prose}"), (len(rows) + 1, prose)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(want):
+        assert name in (got[i].licenses or "").split(","), (name, i % 4, got[i])
+    assert (got[len(want)].license_id, got[len(want)].n_units) == ("MIT", 1)
+    assert got[len(want) + 1].license_id is None
