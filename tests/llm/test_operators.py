@@ -425,3 +425,20 @@ def test_whole_and_embedded_licenses(spark):
         assert name in (got[i].licenses or "").split(","), (name, i % 4, got[i])
     assert (got[len(want)].license_id, got[len(want)].n_units) == ("MIT", 1)
     assert got[len(want) + 1].license_id is None
+
+
+def test_account_numbers_before_upper_case_words(spark):
+    def number(country, rest):
+        digits = "".join(str(int(c, 36)) for c in rest + country + "00")
+        return f"{country}{98 - int(digits) % 97:02d}{rest}"
+
+    plain = [number(c, ("53900754703412345678901234567")[: n - 4]) for c, n in (("BE", 16), ("AT", 20), ("ES", 24), ("DE", 22), ("NO", 15), ("PL", 28), ("ZZ", 20))]
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in plain]
+    words = [" BIC: KREDBEBB", " USD", " EURO", " BANK BIC", "", ".", " GB82 WEST 1234 5698 7654 32"]
+    rows = [(i, x, w) for i, (x, w) in enumerate((x, w) for x in plain + spaced for w in words if x.replace(" ", "")[:2] != "ZZ" or "GB82" not in w)]
+    df = spark.createDataFrame([(i, f"pay {x}{w}") for i, x, w in rows] + [(-1, "pay BE68 5390 0754 7034 BIC: KREDBEBB"), (-2, "pay BE69 5390 0754 7034 BIC")], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.pii if pii.KINDS[s.kind] == "iban"] for r in pii.find_pii(df).collect()}
+    for i, x, w in rows:
+        first = (4, 4 + len(x))
+        assert got[i] == [first, (first[1] + 1, first[1] + len(w))][: 2 if "GB82" in w else 1], (x, w)
+    assert got[-1] == [(4, 23)] and got[-2] == []
