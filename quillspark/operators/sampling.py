@@ -58,6 +58,29 @@ def cross_limits(limits: DataFrame, negatives: DataFrame, seed: int | str = 0) -
     return found.withColumn("_i", F.row_number().over(order)).where("_i <= n_cross").select(*KEYS, "other_id").distinct()
 
 
+def cross_take(limits: DataFrame, negatives: DataFrame, passages: DataFrame, seed: int | str = 0) -> DataFrame:
+    """(doc_id, cid, other_id, sent_idx, source): for each key, n_cross passages
+    in hashed order of the documents that its ring gives. Documents without a
+    passage stand in no ring; a small ring gives several passages a document."""
+    sents = passages.select(F.col("doc_id").alias("other_id"), "sent_idx")
+    ring = negatives.join(passages.select("doc_id").distinct(), "doc_id", "left_semi")
+    pool = cross_limits(limits, ring, seed).join(sents, "other_id").select(*KEYS, "other_id", "sent_idx")
+    order = Window.partitionBy(*KEYS).orderBy(md5_order(seed, *KEYS, "other_id", "sent_idx"), "other_id", "sent_idx")
+    return pool.join(limits.select(*KEYS, "n_cross"), KEYS).withColumn("_i", F.row_number().over(order)).where("_i <= n_cross").select(*KEYS, "other_id", "sent_idx", F.lit("cross").alias("source"))
+
+
+def examples(positives: DataFrame, candidates: DataFrame, passages: DataFrame, negatives: DataFrame, k: int = 100, per_pos: int = 6, seed: int | str = 0) -> DataFrame:
+    """(doc_id, cid, other_id, sent_idx, source, label): the positives and their
+    hard, random and cross-document negatives by quota; other_id is the
+    passage's document. Hard and random parts may share a passage."""
+    limits = quotas(positives, per_pos)
+    hard = take(hard_pool(candidates, positives, k).join(limits.select(*KEYS), KEYS, "left_semi"), limits, "n_hard", "hard", seed)
+    same = take(random_pool(passages, positives), limits, "n_random", "random", seed).unionByName(hard)
+    found = positives.select(*KEYS, "sent_idx", F.lit("gold").alias("source")).unionByName(same).withColumn("other_id", F.col("doc_id"))
+    out = found.unionByName(cross_take(limits, negatives, passages, seed))
+    return out.select(*KEYS, "other_id", "sent_idx", "source", (F.col("source") == "gold").cast("int").alias("label"))
+
+
 def top_up(candidates: DataFrame, positives: DataFrame, passages: DataFrame, k: int, per_pos: int, seed: int | str = 0) -> DataFrame:
     """Reranker negatives: hashed top-k candidates that are no gold, topped up
     from the same document without repeats, per_pos * max(n_gold, 1) of them."""

@@ -307,10 +307,21 @@ def hard_pool_anti(spark, sf):
 
 @query()
 def xpost_negatives(spark, sf):
-    """Other documents with label 0 for each document's topics, by hashed rings."""
+    """Passages of other documents with label 0 for each document's topics, by hashed rings."""
     rows = label_rows(spark, sf)
     limits = sampling.quotas(rows.where("label = 1").withColumn("sent_idx", F.lit(0)), per_pos=30)
-    return sampling.cross_limits(limits, rows.where("label = 0"))
+    return sampling.cross_take(limits, rows.where("label = 0"), T.passage_table(documents(spark, sf))).drop("source")
+
+
+@query()
+def negative_examples(spark, sf):
+    """Gold passages with their hard, random and cross-document negatives."""
+    from quillspark.operators import retrieval
+
+    docs, g = documents(spark, sf), gold(spark, sf).distinct()
+    truth = groundtruth.document_truth(docs, topics(spark, sf).join(g.select("cid").distinct(), "cid", "left_semi"), g)
+    ranked = retrieval.top_k(retrieval.bm25(docs, topics(spark, sf)), 100)
+    return sampling.examples(g, ranked, T.passage_table(docs), truth.where("label = 0"))
 
 
 # --- ground truth and text ----------------------------------------------------

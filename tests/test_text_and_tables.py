@@ -190,3 +190,18 @@ def test_stream_ingest_is_replayable(spark, tmp_path, sf):
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
     ingest.append_postings(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("tf")).first()[0] == src.select(F.explode(T.passages(F.col("text"))).alias("s")).agg(F.sum(F.size(T.tokens(F.col("s"))))).first()[0]
+
+
+def test_cross_document_negatives_are_passages(spark):
+    passages = spark.createDataFrame([(d, i) for d in range(1, 6) for i in range(10)], "doc_id long, sent_idx int")
+    pos = spark.createDataFrame([(1, 7, i) for i in range(4)] + [(2, 8, 0)], "doc_id long, cid long, sent_idx int")
+    neg = spark.createDataFrame([(d, 7) for d in (1, 3, 4, 99)] + [(5, 8)], "doc_id long, cid long")
+    limits = sampling.quotas(pos, per_pos=30)
+    cross = [tuple(r) for r in sampling.cross_take(limits, neg, passages).drop("source").collect()]
+    pool = {tuple(r) for r in sampling.cross_pool(passages, pos, neg).collect()}
+    assert len(cross) == len(set(cross)) == 12 + 3 and set(cross) <= pool
+    cand = spark.createDataFrame([(1, 7, i, i + 1) for i in range(10)] + [(2, 9, 0, 1)], "doc_id long, cid long, sent_idx int, rank int")
+    got = sampling.examples(pos, cand, passages, neg, per_pos=5).collect()
+    n = {s: sum(r.source == s and r.doc_id == 1 for r in got) for s in ("gold", "hard", "random", "cross")}
+    assert n == {"gold": 4, "hard": 6, "random": 2, "cross": 2}
+    assert all((r.label == 1) == (r.source == "gold") and (r.other_id == r.doc_id) == (r.source != "cross") for r in got)
