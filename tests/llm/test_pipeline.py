@@ -1,9 +1,16 @@
 """The pipeline's stages on a small table and on awkward ones."""
 
+import hashlib
+import random
+import re
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline as cp
 from quillspark.llm import pii
+from quillspark.llm.classifier import quality_scores
+from quillspark.llm.unigram import Vocabulary, decode
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +57,62 @@ def test_run_carries_every_decision(spark, sf):
     assert kept and kept <= unique
     assert out.where("n_pieces <> size(piece_ids)").count() == 0
     assert pii.find_pii(cp.redact(spark, docs, sf)).where("exists(pii, s -> s.kind = 0)").count() == 0
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    """run()'s rows against the stages in plain Python. The network's decisions
+    are taken from quality_scores, and piece ids are compared by what they
+    decode to (their segmentation has its own test)."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(300):
+        words = ["good", "fine", "nice", "well"] if i % 3 else ["bad", "poor", "ugly", "sad"]
+        docs.append((i, " ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(rng.randrange(10, 60))) + (f" mail u{i}@ex.org now" if i % 7 == 0 else ""), "en", None if i % 10 == 9 else f"s{i % 4}"))
+    for i in range(300, 340):  # exact and near copies
+        words = docs[i - 200][1].split()
+        words[-1] = words[-1] if i % 2 else "changed"
+        docs.append((i, " ".join(words), "de", f"s{i % 4}"))
+    rng.shuffle(docs)
+    rows = [(d, t, lang, s, len(t)) for d, t, lang, s in docs]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int(d % 3 > 0), 0) for d in range(0, 300, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    good = {r.doc_id for r in quality_scores(spark, table, labels).collect() if r.score >= 0.7}
+    docs = sorted(x for x in docs if x[0] in good)
+    assert 100 < len(docs) < 340
+
+    grams = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t, _, _ in docs)}
+    group = {d: d for d in grams}
+    for a in grams:
+        for b in grams:
+            if a < b and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    docs = [x for x in docs if group[x[0]] == x[0]]
+    assert len(docs) < len(grams)
+
+    docs = [(d, re.sub(r"u[0-9]+@ex\.org", "<email>", t), lang, s) for d, t, lang, s in docs]
+
+    size = Counter()
+    for _, t, _, s in docs:
+        size[s] += len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    capped, whole = set(), 1.5 * sum(size.values())
+    while True:
+        free = [s for s in names if s not in capped]
+        level = (whole - sum(2 * size[s] for s in capped)) / sum(weight[s] for s in free) if free else 0.0
+        more = {s for s in free if 2 * size[s] < level * weight[s]}
+        if not more:
+            break
+        capped |= more
+    want = Counter()
+    for d, t, lang, s in docs:
+        rate = 2.0 if s in capped else level * weight[s] / size[s]
+        draw = int(hashlib.md5(f"0|{d}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        want[(d, lang, s, t)] += int(rate) + (draw < rate - int(rate))
+
+    out = cp.run(spark, str(tmp_path))
+    assert out.where("n_pieces <> size(piece_ids)").count() == 0
+    got = Counter((r.doc_id, r.lang, r.source, r.text) for r in decode(out, Vocabulary.load()).collect())
+    assert got == +want
