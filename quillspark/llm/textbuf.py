@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _M = 0x9E3779B97F4A7C15 | 1
 _M_INV = pow(_M, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}

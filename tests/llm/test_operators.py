@@ -244,6 +244,24 @@ def test_sentencepiece_exact_bytes():
     assert [raw[b[i] : b[i + 1]].tobytes().decode() for i in range(len(odd))] == odd
 
 
+def test_sentencepiece_long_texts_in_blocks(monkeypatch):
+    rng = random.Random(13)
+    words = ["▁", "▁▁"] + sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(60)} | {"▁ab", "▁c"})
+    vocab = unigram.Vocabulary([(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)] + [(w, -1.0 - rng.random() * 9, "piece") for w in words])
+    long = ["".join(rng.choice("abcd") for _ in range(n)) for n in (700, 3000, 9000)]
+    texts = ["short ab", long[0], None, " ".join(long), "a b\n" * 2500 + long[2], "é" * 2000, "", " " * 900 + "\n" * 900, "ab " * 3000]
+    whole, bounds = vocab.encode_column(pa.array(texts))
+    monkeypatch.setattr(unigram, "CHUNK", 512)
+    monkeypatch.setattr(unigram, "LONG", 128)
+    monkeypatch.setattr(unigram, "NARROW", 1 << 30)
+    ids, at = vocab.encode_column(pa.array(texts))
+    assert at.tolist() == bounds.tolist() and ids.tolist() == whole.tolist()
+    for i, t in enumerate(texts):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        assert vocab.decodes_to(ids[at[i] : at[i + 1]], raw)
+        assert not len(raw) or not vocab.decodes_to(ids[at[i] : at[i + 1]], raw[:-1])
+
+
 def luhn(d):
     s = [int(c) for c in reversed(d)]
     return (sum(s[::2]) + sum(sum(divmod(2 * x, 10)) for x in s[1::2])) % 10 == 0
