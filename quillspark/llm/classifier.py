@@ -19,10 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm import textbuf as tb
-from quillspark.scratch import restrict
 
 BUCKETS = 1 << 13
 DIM = 32
@@ -30,11 +28,11 @@ SAMPLE = 8000
 HIDDEN = 32
 THRESHOLD = 0.7
 
-_KIND = np.zeros((256, 4), np.float32)
-_KIND[65:91, 0] = 1  # capitals
-_KIND[48:58, 1] = 1  # digits
-_KIND[[c for c in range(33, 127) if not chr(c).isalnum()], 2] = 1
-_KIND[10, 3] = 1
+_KIND = np.full(256, 4, np.uint8)
+_KIND[65:91] = 0  # capitals
+_KIND[48:58] = 1  # digits
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
+_KIND[10] = 3
 
 
 def _word_parts(part: np.ndarray, offs: np.ndarray):
@@ -78,9 +76,13 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def features(column: pa.Array, contexts: np.ndarray) -> np.ndarray:
     """A row for every text; a text without words has finite features, too."""
+    return np.concatenate([np.zeros((0, 2 * DIM + 10), np.float32), *(x for _, _, x in feature_slices(column, contexts))])
+
+
+def feature_slices(column: pa.Array, contexts: np.ndarray):
+    """(first text, past the last, features) of runs of texts that bound the memory."""
     data, offsets = tb.buffers(column)
-    out = []
-    for _, _, part, offs in tb.chunks(data, offsets):
+    for i, j, part, offs in tb.chunks(data, offsets):
         first, bucket, place, sign, h = _word_parts(part, offs)
         docs, n = len(offs) - 1, (first[1:] - first[:-1])
         doc = np.repeat(np.arange(docs), n)
@@ -98,12 +100,14 @@ def features(column: pa.Array, contexts: np.ndarray) -> np.ndarray:
         new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
         distinct = np.bincount(doc[order][new], minlength=docs)[:, None] / size
         again = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=docs)[:, None] / size if len(h) else np.zeros((docs, 1))
-        run = np.concatenate([np.zeros((1, 4)), np.cumsum(_KIND[part], 0, dtype=np.float64)])
         chars = np.maximum(1, offs[1:] - offs[:-1])[:, None]
-        kinds = (run[offs[1:]] - run[offs[:-1]]) / chars
+        kind, kinds = _KIND[part], np.zeros((docs, 4))
+        for k in range(4):
+            at = np.searchsorted(np.flatnonzero(kind == k), offs)
+            kinds[:, k] = at[1:] - at[:-1]
+        kinds /= chars
         norms = np.stack([np.sqrt((pooled**2).sum(1)), np.sqrt((index**2).sum(1))], 1)
-        out.append(np.concatenate([pooled, index, norms, np.log1p(n)[:, None], chars / size / 8, distinct, again, kinds], 1))
-    return np.concatenate(out).astype(np.float32) if out else np.zeros((0, 2 * DIM + 10), np.float32)
+        yield i, j, np.concatenate([pooled, index, norms, np.log1p(n)[:, None], chars / size / 8, distinct, again, kinds], 1).astype(np.float32)
 
 
 class Network:
@@ -156,13 +160,23 @@ def fold_of(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, contexts: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network:
-    """A network from labelled texts outside the held-out fold (2)."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, contexts: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network:
+    """A network from labelled texts outside the held-out fold (2): of each label
+    the first ``sample`` ids by hash, about 2 x sample x labels of which reach
+    the driver. An id with both labels counts as label 1."""
     clean = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     clean = clean.withColumn("fold", fold_of("id")).where("fold <> 2")
     totals = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    picked = clean.withColumn("place", F.row_number().over(order)).where(f"place <= {sample}").drop("place")
+    # By hash: a threshold that some 2 x sample ids of a label pass, then the
+    # first of these. With sample + 6 sqrt(sample) expected or more, too few
+    # pass about once in 10**9 times; the weights below allow for it.
+    space, x = 1 << 40, F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    likely = F.lit(False)
+    for label, n in totals.items():
+        likely |= (F.col("y") == label) & (x < F.lit(min(space, 2 * sample * space // n)))
+    near = clean.where(likely).select("id", "y", "fold", x.alias("x")).toPandas().sort_values(["y", "x", "id"])
+    near = near[near.groupby("y").cumcount() < sample]
+    picked = spark.createDataFrame(pa.Table.from_pandas(near[["id", "y", "fold"]].astype({"y": "int32"}), preserve_index=False))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(picked), "id")  # at most 2 x sample ids
 
@@ -188,14 +202,14 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
     ``docs`` named like the added ones are replaced.
     """
     contexts = context_vectors(docs, text_col)
-    net = fit(docs, labels, contexts, id_col, text_col)
+    net = fit(spark, docs, labels, contexts, id_col, text_col)
     docs = docs.drop("held_out", "score", "predicted")
     at, names = docs.columns.index(text_col), [*docs.columns, "score"]
 
     def run(batches):
         for batch in batches:
-            score = net.predict(features(batch.column(at).cast(pa.string()), contexts).astype(float))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names)
+            for i, j, x in feature_slices(batch.column(at).cast(pa.string()), contexts):
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(net.predict(x.astype(float)))], names)
 
     from pyspark.sql import types as T
 
