@@ -51,20 +51,22 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a kept table that no later plan reads."""
+    def drop(self, *kept: DataFrame) -> None:
+        """Deletes kept tables that no plan to come reads."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
+        for df in kept:
+            for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
-def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = 1_000_000) -> DataFrame:
-    """Semi or anti join of ``df`` with the single-column ``ids``.
+def restrict(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", limit: int = 1_000_000) -> DataFrame:
+    """Semi or anti join of ``df`` with the key columns ``ids``.
 
-    ``ids`` is counted first: up to ``limit`` rows of longs it is broadcast,
-    so that wide rows of ``df`` are not shuffled; beyond, Spark joins by key.
+    ``ids`` (a kept table, at best) is counted first: up to ``limit`` rows it is
+    broadcast, so that wide rows of ``df`` are not shuffled; beyond, Spark joins
+    by key. Both ways give the same rows.
     """
     from pyspark.sql import functions as F
 
