@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        e = scratch.keep(small, "stars")
+        last, e = e, scratch.keep(small, "stars")
+        scratch.drop(last)
         now = _state(e)
         if now == before:
             break

@@ -4,18 +4,19 @@ Method. A text's set is its distinct word shingles as 64-bit hashes. Equal
 sets collapse into one representative. A Jaccard bound t forces two linked
 sets to share one of the first n - ceil(t n) + 1 elements of any common order;
 the order used puts elements of rarely hit hash buckets first (counted over
-all texts), so these prefixes avoid common passages. Sets that share a prefix
-element meet there:
-
-1. each is checked against the group's smallest id (a star, linear in the
-   group), and components of the found links are formed;
-2. groups that still hold several components are cut into size-banded tiles;
-   within a pair of tiles hashed bitmaps bound the overlap from above (every
-   bit set on one side alone is an element the other lacks), and pairs that
-   pass and lie in different components are intersected exactly.
-
-Pairs inside one component need no check, as they cannot change it; no other
-pair is skipped, so the components are exact.
+all texts), so these prefixes avoid common passages. Then twice the same join
+in size-banded tiles (``_joined``):
+
+1. The sets that share a prefix element are a group. Hashed bitmaps, as wide as
+   a set needs, bound the overlap of two sets from above (every bit set on one
+   side alone is an element that the other lacks). Pairs with room for a link
+   connect; a tile returns only who belongs together, a row a member at most.
+2. What stage 1 connects is a group, so that every set travels once. Wider
+   bitmaps bound the overlap again, and pairs that pass are intersected exactly.
+
+Two sets that are connected already need no check, as it can't change a
+component, and so a family of near copies costs about a comparison a member. No
+other pair is skipped: the components are exact.
 """
 
 from __future__ import annotations
@@ -26,16 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm import textbuf as tb
 from quillspark.llm.components import connected_components
 from quillspark.scratch import Scratch, restrict
 
 BUCKETS = 1 << 16
-BITS = 1024
-FINE_BITS = 4096
-TILE = 1 << 14
+COARSE, FINE = 2, 8  # bits an element, at least
+TILE_BYTES = 4 << 20
+NEAR = 48
 _MUL = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -72,127 +72,176 @@ def _need(n: np.ndarray | int, percent: int):
     return -(-percent * n // (100 + percent))
 
 
-def _summaries(size: int):
+def _counts(size: int):
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            n, f1, f2, fresh = [], [], [], []
+            fresh = []
             for s in shingle_sets(batch.column("text"), size):
-                n.append(len(s))
-                f1.append(s.sum(dtype=np.uint64))
-                f2.append(np.bitwise_xor.reduce(tb.mix(s + np.uint64(0x51ED27))) if len(s) else 0)
                 fresh.append(s)
                 if len(fresh) == 500:
                     counts += np.bincount((np.concatenate(fresh) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                     fresh = []
             if fresh:
                 counts += np.bincount((np.concatenate(fresh) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array([False] * len(n), pa.bool_())], ["id", "n", "f1", "f2", "bucket"])
         hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit]), pa.array(hit), pa.array(hit), pa.array([True] * len(hit), pa.bool_())], ["id", "n", "f1", "f2", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], ["bucket", "n"])
 
     return run
 
 
-def _prefixes(size: int, percent: int, rank: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            keys, ids, ns = [], [], []
-            own = batch.column("id").to_numpy(zero_copy_only=False)
-            for i, s in enumerate(shingle_sets(batch.column("text"), size)):
-                if n := len(s):
-                    take = n - (-(-percent * n // 100)) + 1
-                    order = np.argsort(rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:take]
-                    keys.append(s[order])
-                    ids.append(i)
-                    ns.append(n)
-            if not keys:
-                continue
-            reps = np.array([len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(tb.signed(np.concatenate(keys))), pa.array(np.repeat(own[ids].astype(np.int64), reps)), pa.array(np.repeat(np.array(ns, np.int32), reps))], ["key", "id", "n"])
-
-    return run
+def _width(n: int, per: int) -> int:
+    """Bits of the bitmap of n elements: the power of two from per * n on."""
+    return max(256, 1 << int(per * n - 1).bit_length())
 
 
-def _arrays(size: int):
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), size))
-            flat = tb.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-            at = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(s) for s in sets], out=at[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "s"])
+def _bitmap(s: np.ndarray, per: int) -> bytes:
+    width = _width(len(s), per)
+    bits = np.zeros(width, bool)
+    bits[((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
-    return run
 
+def _signatures(size: int, percent: int, rank: np.ndarray):
+    """(id, n, f1, f2, keys, bits): f1 and f2 tell sets apart, keys are the prefix."""
 
-def _bitmaps(size: int, width: int):
     def run(batches):
         for batch in batches:
-            rows, ns = [], []
-            for s in shingle_sets(batch.column("text"), size):
-                bits = np.zeros(width, bool)
-                bits[((s >> np.uint64(20)) % np.uint64(width)).astype(np.int64)] = True
-                rows.append(np.packbits(bits).tobytes())
-                ns.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ns, pa.int64()), pa.array(rows, pa.binary())], ["id", "n", "bits"])
+            for i, part in enumerate(_slices(batch)):
+                n, f1, f2, keys, bits = [], [], [], [], []
+                for s in shingle_sets(part.column("text"), size):
+                    n.append(len(s))
+                    f1.append(s.sum(dtype=np.uint64))
+                    f2.append(np.bitwise_xor.reduce(tb.mix(s + np.uint64(0x51ED27))) if len(s) else 0)
+                    take = len(s) - (-(-percent * len(s) // 100)) + 1 if len(s) else 0
+                    keys.append(s[np.argsort(rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:take]])
+                    bits.append(_bitmap(s, COARSE))
+                at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                flat = pa.array(tb.signed(np.concatenate([np.zeros(0, np.uint64), *keys])))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)), pa.ListArray.from_arrays(pa.array(at), flat), pa.array(bits, pa.binary())], ["id", "n", "f1", "f2", "keys", "bits"])
 
     return run
 
 
-def _fine(percent: int):
-    """Keeps the pairs (a, b) that wide bitmaps x, y of nx, ny elements allow."""
+def _slices(batch, rows: int = 1000):
+    for lo in range(0, len(batch), rows):
+        yield batch.slice(lo, rows)
 
+
+def _arrays(size: int):
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
-            nx, ny = (batch.column(c).to_numpy() for c in ("nx", "ny"))
-            only_x = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
-            only_y = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
-            keep = pa.array(np.minimum(nx - only_x, ny - only_y) >= _need(nx + ny, percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            for part in _slices(batch):
+                sets = list(shingle_sets(part.column("text"), size))
+                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = pa.array(tb.signed(np.concatenate([np.zeros(0, np.uint64), *sets])))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)], ["id", "n", "s"])
 
     return run
 
 
-def _overlaps(percent: int):
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            xo, yo = x.offsets.to_numpy(), y.offsets.to_numpy()
-            xv, yv = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-            keep = []
-            for i in range(len(batch)):
-                a, b = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(bool(common) and 100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+class Bitmaps:
+    """Bitmaps of the rows of a table, compared at the smaller width of a pair."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n, self.width = n, np.array([8 * len(b) for b in bits], np.int64)
+        self.place = np.zeros(len(n), np.int64)
+        self.rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            m = np.frombuffer(b"".join(bits[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
+            self.rows[w, w] = m, np.bitwise_count(m).sum(1, dtype=np.int64)
+
+    def _folded(self, w: int, to: int):
+        if (w, to) not in self.rows:
+            m = self._folded(w, 2 * to)[0]
+            m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+            self.rows[w, to] = m, np.bitwise_count(m).sum(1, dtype=np.int64)
+        return self.rows[w, to]
+
+    def room(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the bitmaps of the rows i[k] and j[k] leave room for a link."""
+        out = np.zeros(len(i), bool)
+        pair = self.width[i] << 32 | self.width[j]
+        for p in np.unique(pair).tolist():
+            at = np.flatnonzero(pair == p)
+            w, v = p >> 32, p & 0xFFFFFFFF
+            (x, ones_x), (y, ones_y) = self._folded(w, min(w, v)), self._folded(v, min(w, v))
+            step = max(1, (1 << 23) // x.shape[1])
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step]
+                a, b, na, nb = self.place[i[some]], self.place[j[some]], self.n[i[some]], self.n[j[some]]
+                both = np.bitwise_count(x[a] & y[b]).sum(1, dtype=np.int64)
+                out[some] = np.minimum(na - ones_x[a], nb - ones_y[b]) + both >= _need(na + nb, percent)
+        return out
 
-    return run
+
+class Sets:
+    """Sorted sets of the rows of a table; bitmaps first, then intersections."""
+
+    def __init__(self, n: np.ndarray, flat: np.ndarray, at: np.ndarray):
+        self.n, self.flat, self.at = n, flat, at
+        self.bits = Bitmaps(n, [_bitmap(flat[a:b], FINE) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+    def room(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        out = self.bits.room(i, j, percent)
+        for k in np.flatnonzero(out).tolist():
+            a, b = self.flat[self.at[i[k]] : self.at[i[k] + 1]], self.flat[self.at[j[k]] : self.at[j[k] + 1]]
+            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+            common = int((a[at] == b).sum())
+            out[k] = 100 * common >= percent * (len(a) + len(b) - common)
+        return out
 
 
-def bound_pairs(n1, bits1, n2, bits2, percent: int, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two tiles in size order whose bitmaps leave room for a
-    link; of one tile with itself (``same``) those with the smaller index first."""
-    ones1, ones2 = (np.bitwise_count(b).sum(1, dtype=np.int64) for b in (bits1, bits2))
-    out1, out2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, len(n1), 64):
-        na, a, oa = n1[lo : lo + 64], bits1[lo : lo + 64], ones1[lo : lo + 64]
-        first = max(lo if same else 0, int(np.searchsorted(n2, percent * na[0] / 100 - 1)))
-        last = int(np.searchsorted(n2, 100 * na[-1] / percent + 1, "right"))
-        for at in range(first, last, 4096):
-            to = min(last, at + 4096)
-            both = np.zeros((len(na), to - at), np.int64)
-            for k in range(bits1.shape[1]):
-                both += np.bitwise_count(a[:, k, None] & bits2[None, at:to, k])
-            room = np.minimum((na - oa)[:, None] + both, (n2 - ones2)[None, at:to] + both)
-            i, j = np.nonzero(room >= _need(na[:, None] + n2[None, at:to], percent))
-            i, j = i + lo, j + at
-            if same:
-                i, j = i[i < j], j[i < j]
-            out1.append(i)
-            out2.append(j)
-    return np.concatenate(out1), np.concatenate(out2)
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the place of a row with that label) after joining the rows a[k] and b[k]."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def connect(test, n: np.ndarray, label: np.ndarray, side: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of the rows of the groups [lo, hi), each sorted by side and then n,
+    after joining all pairs that pass ``test``: all pairs of rows of side 0, and
+    pairs of a row of side 1 with one of side 2."""
+    size = hi - lo
+    two = side[lo] > 0
+    past = np.repeat(hi, size)
+    small = np.repeat((size <= NEAR) & ~two, size)
+    top = 100 * n // percent  # the largest size that can link
+    i = np.flatnonzero(small)
+    for d in range(1, NEAR):
+        i = i[i + d < past[i]]
+        i = i[n[i + d] <= top[i]]  # sizes rise within a group
+        if not len(i):
+            break
+        at = i[label[i] != label[i + d]]
+        at = at[test(at, at + d, percent)] if len(at) else at
+        if len(at):
+            label = _merged(label, at, at + d)
+    for a, b, cross in zip(lo.tolist(), hi.tolist(), two.tolist(), strict=True):
+        if b - a <= NEAR and not cross:
+            continue
+        cut = a + int(np.searchsorted(side[a:b], 2))
+        for i in range(a, cut if cross else b):
+            # Of one side the later rows; of two, all that the size allows.
+            first = i + 1 if not cross else cut + int(np.searchsorted(n[cut:b], -(-percent * n[i] // 100)))
+            last = (cut if cross else a) + int(np.searchsorted(n[cut:b] if cross else n[a:b], top[i], "right"))
+            for at in range(first, last, 4096):
+                j = np.arange(at, min(last, at + 4096))
+                j = j[label[j] != label[i]]
+                if len(j):
+                    j = j[test(np.full(len(j), i), j, percent)]
+                    if len(j):
+                        label = _merged(label, np.full(len(j), i), j)
+    return label
 
 
 def _whole_groups(batches, columns: list[str]):
@@ -214,127 +263,133 @@ def _whole_groups(batches, columns: list[str]):
         yield table, np.stack([table.column(c).to_numpy() for c in columns])
 
 
-NEAR = 48
+_TILE = ["grp", "band", "slot", "part"]
 
 
 def _tiles(percent: int):
-    """Pairs that may link, of rows sorted by (key, tile, tile2, side)."""
+    """Who belongs together, of rows sorted by (tile, side, n): (a, b) with the
+    least component of those that a tile connects and each other one."""
 
     def run(batches):
-        for table, marks in _whole_groups(batches, ["key", "tile", "tile2"]):
-            n, ids, comp, side = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "id", "comp", "side"))
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
-            ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        for table, marks in _whole_groups(batches, _TILE):
+            n, comp, side = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "side"))
+            if "bits" in table.column_names:
+                test = Bitmaps(n, table.column("bits").to_pylist())
+            else:
+                s = table.column("s").combine_chunks()
+                at = s.offsets.to_numpy().astype(np.int64)
+                test = Sets(n, s.values.to_numpy().view(np.uint64)[at[0] : at[-1]], at - at[0])
             edge = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
             lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(n)]])
-            size = hi - lo
-            past = np.repeat(hi, size)
-            found_a, found_b = [], []
-            small = np.repeat((size <= NEAR) & (marks[1, lo] == marks[2, lo]), size)
-            for d in range(1, NEAR):
-                i = np.flatnonzero(small & (np.arange(len(n)) + d < past))
-                if not len(i):
-                    break
-                i = i[comp[i] != comp[i + d]]
-                both = np.bitwise_count(bits[i] & bits[i + d]).sum(1, dtype=np.int64)
-                room = np.minimum(n[i] - ones[i] + both, n[i + d] - ones[i + d] + both) >= _need(n[i] + n[i + d], percent)
-                found_a.append(i[room])
-                found_b.append(i[room] + d)
-            for g in np.flatnonzero(~((size <= NEAR) & (marks[1, lo] == marks[2, lo]))):
-                x = np.arange(lo[g], hi[g])
-                a, b = (x, x) if marks[1, lo[g]] == marks[2, lo[g]] else (x[side[x] == 0], x[side[x] == 1])
-                i, j = bound_pairs(n[a], bits[a], n[b], bits[b], percent, marks[1, lo[g]] == marks[2, lo[g]])
-                found_a.append(a[i])
-                found_b.append(b[j])
-            if not found_a:
-                continue
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            apart = (ids[a] != ids[b]) & (comp[a] != comp[b])
-            pairs = np.stack([np.minimum(ids[a[apart]], ids[b[apart]]), np.maximum(ids[a[apart]], ids[b[apart]])], 1)
-            pairs = np.unique(pairs, axis=0)
+            # Rows of one component in one tile share a label from the start.
+            tile = np.repeat(np.arange(len(lo)), hi - lo)
+            order = np.lexsort((np.arange(len(n)), comp, tile))
+            new = np.ones(len(n), bool)
+            new[1:] = (tile[order][1:] != tile[order][:-1]) | (comp[order][1:] != comp[order][:-1])
+            label = np.empty(len(n), np.int64)
+            label[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            label = connect(test.room, n, label, side, lo, hi, percent)
+            least = np.full(len(n), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, comp)
+            pairs = np.stack([least[label], comp], 1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
+def _joined(scratch: Scratch, rows: DataFrame, payload: DataFrame, weight: F.Column, percent: int, name: str) -> DataFrame:
+    """Connected ids (a, b) among the rows (grp, id, n) that share a group.
+
+    ``payload`` holds (id, n, bits or s), some ``weight`` bytes each. A group up
+    to TILE_BYTES is one tile. A larger one is cut into bands of sizes, so that
+    links stay within a band or reach the next, and bands into slots by hash; a
+    row first meets its tile and the group's least id, and then rows outside
+    the group's largest component meet the tiles of their own and the next bands.
+    """
+    tiles = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(TILE_BYTES))).cast("int")
+    ends = rows.groupBy("grp").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").drop("top")
+    live = scratch.keep(rows.join(ends, "grp"), f"{name}-live")
+    scratch.release()
+    # Groups of the same members (by 128 bits of hash) are one.
+    marks = [F.bit_xor(F.xxhash64(*x)).alias(c) for c, x in (("x", ["id"]), ("y", [F.lit(1), F.col("id")]))]
+    sums = live.groupBy("grp").agg(F.min("hub").alias("hub"), F.count("*").alias("k"), F.sum(weight).alias("w"), *marks)
+    kinds = sums.groupBy("hub", "k", "w", "x", "y").agg(F.min("grp").alias("grp")).select("grp", (F.col("w") > TILE_BYTES).alias("hot"))
+    placed = scratch.keep(live.join(kinds, "grp"), f"{name}-rows")
+    scratch.release()
+    scratch.drop(live)
+    none = F.lit(0)
+    first = placed.where("NOT hot").select("grp", none.alias("band"), none.alias("slot"), "id")
+    hot = not placed.where("hot").isEmpty()
+    if hot:
+        # A little wider than the ratio of sizes that link, whatever the rounding.
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(1.001 * np.log(max(100 / percent, 1.01))))).cast("int")
+        large = placed.where("hot").withColumn("band", band).withColumn("w", weight)
+        bands = scratch.keep(large.groupBy("grp", "band").agg(F.min("hub").alias("hub"), tiles(F.sum("w")).alias("slots")), f"{name}-bands")
+        dealt = large.drop("hub").join(bands, ["grp", "band"]).withColumn("slot", F.pmod(F.xxhash64("id"), "slots").cast("int")).select("grp", "band", "slot", "slots", "id", "w")
+        dealt = scratch.keep(dealt, f"{name}-dealt")
+        hubs = bands.select("grp", "band", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("hub").alias("id"))
+        first = first.union(dealt.select("grp", "band", "slot", "id")).union(hubs)
+
+    def solved(tiled: DataFrame) -> DataFrame:
+        held = tiled.join(payload, "id").repartition(*_TILE).sortWithinPartitions(*_TILE, "side", "n", "id")
+        out = scratch.keep(held.mapInArrow(_tiles(percent), "a long, b long").distinct(), f"{name}-links")
+        scratch.release()
+        return out
+
+    links = solved(first.select("grp", "band", "slot", none.alias("part"), none.alias("side"), "id", F.col("id").alias("comp")))
+    if not hot:
+        scratch.drop(placed)
+        return links
+    comps = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
+    known = scratch.keep(dealt.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), f"{name}-known")
+    most = known.groupBy("grp", "comp").agg(F.sum("w").alias("w")).groupBy("grp").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"))
+    apart = scratch.keep(known.join(most, "grp").where("comp <> main").select("grp", F.col("band").alias("own"), "id", "comp", "w"), f"{name}-apart")
+    if apart.isEmpty():
+        return links
+    asked = apart.join(bands.select("grp", "band", "slots"), "grp").where("abs(own - band) <= 1")
+    parts = asked.groupBy("grp", "band").agg(tiles(F.sum("w")).alias("parts"))
+    left = asked.join(parts, ["grp", "band"]).select("grp", "band", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int").alias("part"), F.lit(1).alias("side"), "id", "comp")
+    right = known.join(parts, ["grp", "band"]).select("grp", "band", "slot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2).alias("side"), "id", "comp")
+    return links.union(solved(left.union(right)))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: (id, n_shingles, component_id, n_links).
+    """One row per row of ``docs``: (id, n_shingles, component_id).
 
     Two texts link when 100 * intersection >= ``percent`` * union of their
     sets; component_id is the smallest id reachable. Texts that are null or
     without words link with nothing and are their own component. A null id
     gets a null component. Rows that repeat an id belong to one component.
-    ``n_links`` counts the exact copies and verified links found at the text
-    itself (links inside an already connected component are not enumerated).
-    Other columns of ``docs`` are ignored.
+    An empty table gives no rows. Memory grows with the longest text, some 100
+    bytes a byte of it. Other columns of ``docs`` are ignored.
     """
     scratch = Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = scratch.keep(base.mapInArrow(_summaries(size), "id long, n long, f1 long, f2 long, bucket boolean"), "sets")
-    sets = found.where("NOT bucket")
     # At most BUCKETS rows, whatever the input.
     counts = np.zeros(BUCKETS, np.int64)
-    for row in found.where("bucket").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row.id] = row.n
+    found = base.select("text").mapInArrow(_counts(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     rank = np.empty(BUCKETS, np.uint16)
     rank[np.lexsort((np.arange(BUCKETS), counts))] = np.arange(BUCKETS)
 
-    full = sets.where("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = full.join(classes.where("copies > 1"), ["f1", "f2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    rows = restrict(base.where("id IS NOT NULL"), reps, "id").mapInArrow(_prefixes(size, percent, rank), "key long, id long, n int")
-
-    at = Window.partitionBy("key")
-    live = rows.withColumns({"hub": F.min("id").over(at), "top": F.max("id").over(at)}).where("hub <> top").drop("top")
-    live = scratch.keep(live, "live")
-    scratch.release()
-
-    fits = "100 * least({0}, {1}) >= %d * greatest({0}, {1})" % percent
-    hubs = live.where("id = hub").select("key", F.col("n").alias("hub_n"))
-    star = live.where("id <> hub").join(hubs, "key").where(fits.format("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = scratch.keep(star, "stars")
-
-    def attached(pairs: DataFrame, run, schema: str, x: list, y: list) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = scratch.keep(restrict(base, ids, "id").mapInArrow(run, schema), "held")
-        return pairs.join(held.select(F.col("id").alias("a"), *x), "a").join(held.select(F.col("id").alias("b"), *y), "b")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wide = attached(pairs, _bitmaps(size, FINE_BITS), "id long, n long, bits binary", [F.col("n").alias("nx"), F.col("bits").alias("x")], [F.col("n").alias("ny"), F.col("bits").alias("y")])
-        likely = scratch.keep(wide.mapInArrow(_fine(percent), "a long, b long").distinct(), "likely")
-        whole = attached(likely, _arrays(size), "id long, s array<long>", [F.col("s").alias("x")], [F.col("s").alias("y")])
-        out = scratch.keep(whole.select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
-        scratch.release()
-        return out
-
-    links = verified(star)
-    comp = scratch.keep(connected_components(links, scratch), "components")
-    left = live.join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    left = left.withColumns({"lo": F.min("comp").over(at), "hi": F.max("comp").over(at)}).where("lo <> hi").select("key", "id", "n", "comp")
-    left = scratch.keep(left, "apart")
+    signed = scratch.keep(base.mapInArrow(_signatures(size, percent, rank), "id long, n long, f1 long, f2 long, keys array<long>, bits binary"), "signatures")
+    sets, full = scratch.keep(signed.select("id", "n"), "sets"), signed.where("n > 0 AND id IS NOT NULL")
+    classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copies = scratch.keep(full.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).where("id <> rep").distinct(), "copies")
+    reps = scratch.keep(restrict(full, copies.drop("rep"), ["id", "f1", "f2", "n"], "left_anti").drop("f1", "f2"), "classes")
     scratch.release()
+    scratch.drop(signed)
 
-    # Size-banded tiles: a key's members in size order, TILE at a time; a tile
-    # meets itself and the later tiles that its sizes allow.
-    numbered = left.withColumn("tile", F.floor((F.row_number().over(at.orderBy("n", "id")) - 1) / TILE).cast("int"))
-    spans = numbered.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    later = spans.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"))
-    meets = spans.join(later, "key").where("tile2 >= tile AND 100 * hi >= %d * lo2" % percent).select("key", "tile", "tile2")
-    bits = restrict(base, left.select("id").distinct(), "id").mapInArrow(_bitmaps(size, BITS), "id long, n long, bits binary").drop("n")
-    names = ["key", "tile", "tile2", "side", "id", "n", "comp"]
-    first = meets.join(numbered, ["key", "tile"]).withColumn("side", F.lit(0)).select(names)
-    second = meets.where("tile <> tile2").join(numbered.withColumnRenamed("tile", "tile2"), ["key", "tile2"]).withColumn("side", F.lit(1)).select(names)
-    # Bitmaps come last, so that they move once.
-    sides = first.union(second).join(bits, "id").select(*names, "bits")
-    pairs = scratch.keep(sides.repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side", "n").mapInArrow(_tiles(percent), "a long, b long").distinct(), "pairs")
+    keyed = reps.select(F.explode("keys").alias("grp"), "id", "n")
+    bits = reps.select("id", "n", "bits")
+    likely = connected_components(_joined(scratch, keyed, bits, F.col("n") / 2 + 100, percent, "likely"), scratch).withColumnsRenamed({"node": "id", "component": "grp"})
+    near = restrict(base, likely.select("id"), "id")
+    whole = scratch.keep(near.mapInArrow(_arrays(size), "id long, n long, s array<long>").where("n > 0"), "whole")
     scratch.release()
-    links = links.union(verified(pairs)).union(copies.where("a <> b").distinct())
+    scratch.drop(reps)
+    rows = likely.join(whole.select("id", "n"), "id").select("grp", "id", "n")
+    links = _joined(scratch, rows, whole, 8 * F.col("n") + 100, percent, "exact").union(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     final = connected_components(links, scratch)
-    ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    return (
-        sets.select("id", F.col("n").alias("n_shingles"))
-        .join(final.withColumnRenamed("node", "id"), "id", "left")
-        .join(ends, "id", "left")
-        .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    scratch.drop(whole, links)
+    return sets.select("id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -195,9 +195,53 @@ def test_suffixes(spark, odd, empty):
     assert suffixes.remove_repeats(spark, empty).count() == 0
 
 
+def test_suffixes_joined_by_key(spark, monkeypatch):
+    """The path for large span tables, small buckets and short fragments; texts over a chunk's edge."""
+    monkeypatch.setattr(suffixes, "SMALL", -1)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "FRAGMENT", 16)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(6))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(6)]
+    texts = [" ".join([word() for _ in range(rng.randrange(30))] + [rng.choice(passages)] + [word() for _ in range(rng.randrange(30))]) for _ in range(60)]
+    texts += texts[:10] + ["y" * 300, "y" * 300, "y" * 120, "z" * 49, "z" * 49]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(spark, df).collect()}
+    assert got == brute_spans([(i, t.encode()) for i, t in enumerate(texts)])
+
+
+def _suffix_order(raw, depth=None):
+    n = len(raw)
+    at = np.arange(n)
+    ends = np.minimum(n, at + depth) if depth else np.full(n, n)
+    order, equal = suffixes.HashedSuffixes(np.frombuffer(raw, np.uint8), at, ends).order()
+    want = sorted(range(n), key=lambda i: raw[i : ends[i]])
+    assert order.tolist() == want
+    assert equal.tolist() == [k > 0 and raw[want[k] : ends[want[k]]] == raw[want[k - 1] : ends[want[k - 1]]] for k in range(n)]
+
+
 def test_suffix_order():
-    for s in (b"banana bandana", b"aaaaaaa", b"", b"mississippi" * 3):
-        assert suffixes.HashedSuffixes(s).order() == sorted(range(len(s)), key=lambda i: s[i:])
+    rng = random.Random(15)
+    for s in (b"banana bandana", b"aaaaaaa", b"", b"x", b"mississippi" * 30, b"\0\0a\0\0", b"a\0" * 40):
+        _suffix_order(s)
+        _suffix_order(s, 5)
+    for _ in range(30):
+        raw = bytes(rng.choice(b"ab\xff") for _ in range(rng.randrange(400))) * rng.randrange(1, 4)
+        _suffix_order(raw)
+        _suffix_order(raw, rng.randrange(1, 60))
+
+
+def test_suffix_order_survives_a_hash_collision():
+    """Thue-Morse strings of 2048 letters and their complements have one polynomial hash modulo 2**64, whatever the odd base."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    raw = (morse + other).encode()
+    at, ends = np.array([2048, 0]), np.array([4096, 2048])
+    found = suffixes.HashedSuffixes(np.frombuffer(raw, np.uint8), at, ends)
+    assert found.common(np.array([0]), np.array([2048]), np.array([2048])).tolist() == [2048]
+    order, equal = found.order()
+    assert order.tolist() == [1, 0] and not equal.any()
 
 
 def test_sentencepiece(spark, docs, texts, odd, empty):
@@ -336,6 +380,51 @@ def test_lm(spark, docs, texts, odd, empty):
     assert lm.lm_scores(spark, empty).count() == 0
 
 
+def test_lm_counts_words_outside_the_tables(spark, docs, texts, monkeypatch):
+    """Words beyond the shortlist and the counted words meet in buckets; the scores are the same."""
+    want = {r.doc_id: r for r in lm.lm_scores(spark, docs).collect()}
+    monkeypatch.setattr(lm, "shortlist_size", lambda types: 30)
+    small = {r.doc_id: r for r in lm.lm_scores(spark, docs).collect()}
+    monkeypatch.setattr(lm, "COUNTED", 60)
+    monkeypatch.setattr(lm, "BLOB_BYTES", 2000)
+    got = {r.doc_id: r for r in lm.lm_scores(spark, docs).collect()}
+    for i in want:
+        assert (got[i].n_known, got[i].n_tokens) == (small[i].n_known, small[i].n_tokens) == (want[i].n_known, want[i].n_tokens)
+        assert got[i].base_score == pytest.approx(want[i].base_score) == small[i].base_score
+        assert got[i].score == pytest.approx(small[i].score, rel=1e-6)
+
+
+def _plain_score(model, ids):
+    """The model's log-probability of one text, word by word in plain loops."""
+    w, k = {n: a.astype(float) for n, a in model.w.items()}, lm.HIDDEN
+    h, prev, total = [0.0] * k, lm.END, 0.0
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for word in ids:
+        x = w["e"][prev]
+        gx = [sum(x[a] * w["x"][a][b] for a in range(k)) + w["b"][b] for b in range(3 * k)]
+        gh = [sum(h[a] * w["u"][a][b] for a in range(k)) for b in range(3 * k)]
+        z, r = [sig(gx[b] + gh[b]) for b in range(k)], [sig(gx[k + b] + gh[k + b]) for b in range(k)]
+        n = [math.tanh(gx[2 * k + b] + r[b] * gh[2 * k + b]) for b in range(k)]
+        h = [(1 - z[b]) * n[b] + z[b] * h[b] for b in range(k)]
+        cls, inner = divmod(int(word), model.per)
+        a = [sum(h[j] * w["c"][j][c] for j in range(k)) + w["bc"][c] for c in range(model.classes)]
+        b = [sum(h[j] * w["o"][cls][j][c] for j in range(k)) + w["bo"][cls][c] for c in range(model.per)]
+        for logits, at in ((a, cls), (b, inner)):
+            total += logits[at] - math.log(sum(math.exp(v) for v in logits))
+        prev = word
+    return total
+
+
+def test_lm_score_in_plain_loops():
+    rng = np.random.default_rng(4)
+    model = lm.Gru(1000.0 / np.arange(1, 61), seed=3)
+    texts = [np.append(rng.integers(1, 60, n), lm.END) for n in (0, 1, 5, 70, 33)]
+    model.train(texts, steps=40)
+    model.freeze()
+    got = model.score(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert got == pytest.approx([_plain_score(model, t) for t in texts], rel=1e-4)
+
+
 def test_lm_is_a_distribution_and_learns():
     model = lm.Gru(np.array([5.0, 1.0, 50.0, 30.0, 10.0]))
     rng = np.random.default_rng(0)
@@ -377,7 +466,7 @@ def test_jaccard(spark, docs, texts, odd, empty):
 
 def test_jaccard_chains_in_one_family(spark, monkeypatch):
     """Members that link only through others, in tiles smaller than the family."""
-    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 1500)
     monkeypatch.setattr(jaccard, "NEAR", 4)
     rng = random.Random(9)
     base = [f"t{i}" for i in range(60)]
@@ -393,22 +482,65 @@ def test_jaccard_chains_in_one_family(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_sizes_across_bands(spark, monkeypatch):
+    """A family whose sizes grow step by step, over several bands and tiles."""
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 2000)
+    monkeypatch.setattr(jaccard, "NEAR", 6)
+    rng = random.Random(10)
+    long = [f"t{i}" for i in range(400)]
+    rows = [(i, " ".join(long[: 40 + 5 * rng.randrange(70)])) for i in range(70)] + [(100 + i, " ".join(rng.choice(long) for _ in range(60))) for i in range(20)]
+    rng.shuffle(rows)
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert len({c for _, c in got.values()}) > 15
+
+
+def _random_sets(rng):
+    sets = []
+    for n in rng.integers(1, 700, 60):
+        s = np.unique(rng.integers(0, 2000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sets += [s, np.unique(np.append(s[: int(len(s) * rng.uniform(0.6, 1))], rng.integers(0, 1 << 60, len(s) // 9).astype(np.uint64)))]
+    return [s for s in sorted(sets, key=len) if len(s)]
+
+
 def test_bitmap_bound_never_loses_a_link():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in sorted(rng.integers(5, 300, 80))]
-    sets.sort(key=len)
-    bits = np.zeros((len(sets), jaccard.BITS), bool)
-    for k, s in enumerate(sets):
-        bits[k, ((s >> np.uint64(20)) % np.uint64(jaccard.BITS)).astype(int)] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64)
+    sets = _random_sets(np.random.default_rng(1))
     n = np.array([len(s) for s in sets])
-    for percent in (30, 60, 85):
-        found = set(zip(*(x.tolist() for x in jaccard.bound_pairs(n, packed, n, packed, percent, True))))
-        for i in range(len(sets)):
-            for j in range(i + 1, len(sets)):
-                common = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    assert (i, j) in found
+    i, j = np.triu_indices(len(sets), 1)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    for per in (jaccard.COARSE, jaccard.FINE):
+        bits = jaccard.Bitmaps(n, [jaccard._bitmap(s, per) for s in sets])
+        for percent in (30, 60, 85):
+            linked = 100 * common >= percent * (n[i] + n[j] - common)
+            room = bits.room(i, j, percent)
+            assert room[linked].all() and room.sum() < len(room)
+    exact = jaccard.Sets(n, np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    assert (exact.room(i, j, 60) == (100 * common >= 60 * (n[i] + n[j] - common))).all()
+
+
+def test_tiles_return_no_more_rows_than_members():
+    """Families of texts that all link give a row a member, not a row a pair."""
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 60, 300).astype(np.uint64))
+    sets = [np.sort(np.append(base[rng.permutation(len(base))[:290]], rng.integers(0, 1 << 60, 4).astype(np.uint64))) for _ in range(200)]
+    sets = [np.unique(s) for s in sets]
+    sets.sort(key=len)
+    ids, n = rng.permutation(200), [len(s) for s in sets]
+    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    for extra in (0, 200):
+        # Two tiles with the same members, the second small.
+        rows = list(range(200)) + list(range(20))
+        cols = {"grp": [1] * 200 + [2] * 20, "band": [0] * 220, "slot": [0] * 220, "part": [0] * 220, "side": [0] * 220, "id": ids[rows], "comp": ids[rows], "n": np.array(n)[rows]}
+        if extra:
+            cols["bits"] = pa.array([jaccard._bitmap(sets[r], jaccard.COARSE) for r in rows], pa.binary())
+        else:
+            cols["s"] = pa.array([sets[r].view(np.int64).tolist() for r in rows], pa.list_(pa.int64()))
+        out = pa.Table.from_batches(jaccard._tiles(80)([pa.record_batch(cols)])).to_pylist()
+        parent = {}
+        find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+        for r in out:
+            parent[max(find(r["a"]), find(r["b"]))] = min(find(r["a"]), find(r["b"]))
+        assert len(out) <= 220 and len({find(x) for x in ids.tolist()}) == 1
 
 
 def test_lm_learns_from_every_text(spark):
