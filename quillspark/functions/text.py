@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The cue words of the negation and hedge features.
-NEGATION_CUES = ["no", "not", "never", "none", "without"]
-HEDGE_CUES = ["maybe", "might", "could", "possibly", "perhaps"]
+NEGATION_CUES = ["not", "no", "never", "without", "denies"]
+HEDGE_CUES = ["maybe", "perhaps", "possible", "appears", "seems"]
 DAYS_OF = {"day": 1, "week": 7, "month": 30}
 
 

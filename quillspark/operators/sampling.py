@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.operators.splits import md5_order
+from quillspark.operators.splits import md5_order, positions_within
 
 KEYS = ["doc_id", "cid"]
 
@@ -48,12 +48,12 @@ def cross_limits(limits: DataFrame, negatives: DataFrame, seed: int | str = 0) -
     0, found by stepping from the key's hashed place through the topic's ring of
     such documents. No pool of pairs is made."""
     ring = negatives.select(F.col("doc_id").alias("other_id"), "cid").distinct()
-    ring = ring.withColumn("at", F.row_number().over(Window.partitionBy("cid").orderBy(md5_order(seed, "other_id"), "other_id")) - 1)
-    size = ring.groupBy("cid").agg(F.count("*").alias("size"))
+    ring = positions_within(ring.withColumn("_o", md5_order(seed, "other_id")), "cid", "_o", "other_id").select("other_id", "cid", "size", F.col("pos").alias("at"))
+    size = ring.groupBy("cid").agg(F.max("size").alias("size"))
     start = F.pmod(F.conv(F.substring(md5_order(seed, *KEYS), 1, 12), 16, 10).cast("long"), F.col("size"))
-    want = limits.where("n_cross > 0").join(F.broadcast(size), "cid").withColumn("step", F.explode(F.sequence(F.lit(0), F.least("n_cross", "size"))))
+    want = limits.where("n_cross > 0").join(size, "cid").withColumn("step", F.explode(F.sequence(F.lit(0), F.least("n_cross", "size"))))
     want = want.withColumn("at", (start + F.col("step")) % F.col("size"))
-    found = want.join(ring, ["cid", "at"]).where("doc_id <> other_id")
+    found = want.join(ring.drop("size"), ["cid", "at"]).where("doc_id <> other_id")
     order = Window.partitionBy(*KEYS).orderBy("step")
     return found.withColumn("_i", F.row_number().over(order)).where("_i <= n_cross").select(*KEYS, "other_id").distinct()
 

@@ -26,6 +26,14 @@ def positions(df: DataFrame, *order: Column | str, parts: int = 64) -> DataFrame
     return ranged.withColumn("pos", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + skip).drop("_p")
 
 
+def positions_within(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    """``df`` with ``pos`` (from 0) and ``size`` of its group ``by``, in that order,
+    without one task a group: places in the order of all rows less the group's first."""
+    whole = positions(df, by, *order)
+    first = whole.groupBy(by).agg(F.min("pos").alias("_first"), F.count("*").alias("size")).withColumnRenamed(by, "_by")
+    return whole.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn("pos", F.col("pos") - F.col("_first")).drop("_by", "_first")
+
+
 def ratio_split(docs: DataFrame, train: float, dev: float, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """(id, split): the first floor(n * train) of a hashed order, then floor(n * dev), then the rest."""
     ids = docs.select(id_col).distinct().withColumn("_o", md5_order(seed, id_col))
@@ -43,8 +51,8 @@ def round_robin_folds(counts: DataFrame, n: int, id_col: str = "doc_id", by: str
 
 def stratified_folds(patterns: DataFrame, n: int, seed: int = 0, id_col: str = "doc_id", by: str = "pattern") -> DataFrame:
     """(id, pattern, fold): dealt in turn within each label pattern, in a hashed order."""
-    order = Window.partitionBy(by).orderBy(md5_order(seed, id_col), id_col)
-    return patterns.select(id_col, by, ((F.row_number().over(order) - 1) % n).cast("int").alias("fold"))
+    placed = positions_within(patterns.withColumn("_o", md5_order(seed, id_col)), by, "_o", id_col)
+    return placed.select(id_col, by, (F.col("pos") % n).cast("int").alias("fold"))
 
 
 def label_patterns(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -54,11 +62,9 @@ def label_patterns(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def dev_tail(folds: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(fold, id, part): of each fold's training ids the last max(1, n // 10) are dev."""
     n_folds = folds.select("fold").distinct().withColumnRenamed("fold", "held")
-    train = folds.join(F.broadcast(n_folds), F.col("fold") != F.col("held")).select(F.col("held").alias("fold"), id_col)
-    w = Window.partitionBy("fold")
-    place = F.row_number().over(w.orderBy(F.desc(id_col)))
-    size = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / 10))
-    return train.select("fold", id_col, F.when(place <= size, "dev").otherwise("train").alias("part"))
+    train = folds.join(n_folds, F.col("fold") != F.col("held")).select(F.col("held").alias("fold"), id_col)
+    placed = positions_within(train, "fold", F.desc(id_col))
+    return placed.select("fold", id_col, F.when(F.col("pos") < F.greatest(F.lit(1), F.floor(F.col("size") / 10)), "dev").otherwise("train").alias("part"))
 
 
 def leakage(train: DataFrame, test: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import fusion, gates, ranking, retrieval
-from quillspark.plans.base import documents, gold, predictions, topics, vectors, with_sql, words_sql
+from quillspark.operators import calibration, classification, fusion, gates, ranking, retrieval, splits
+from quillspark.plans.base import SQL as PARTS
+from quillspark.plans.base import documents, gold, label_rows, predictions, topics, vectors, with_sql, words_sql
 
 Q, SQL = {}, {}
 KS = [1, 3, 5, 10, 20]
@@ -77,14 +78,15 @@ def tfidf_cosine(spark, sf):
 
 
 DENSE = """ s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) AS score
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+  FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
 @query("WITH" + DENSE + " SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
 def dense_topk(spark, sf):
-    v = vectors(spark, sf)
-    return retrieval.top_k(retrieval.dense_scores(v, v, "label"), 5, ("query_id",), "vec_id")
+    """Hundred vectors stand for a document's passages: search stays within it."""
+    v = vectors(spark, sf).withColumn("doc", F.floor(F.col("vec_id") / 100))
+    return retrieval.top_k(retrieval.dense_scores(v, v, "doc"), 5, ("query_id",), "vec_id")
 
 
 RANKS = (
@@ -99,7 +101,8 @@ RANKS = (
 def _channels(spark, sf, k=10):
     """Three rank lists; the dense one blends the two lexical scores, as no encoder is at hand."""
     d, t = documents(spark, sf), topics(spark, sf)
-    b, s = retrieval.bm25(d, t), retrieval.sparse_cosine(d, t)
+    index = retrieval.lexical_index(d, t)
+    b, s = retrieval.bm25(d, t, index=index), retrieval.sparse_cosine(d, t)
     keys = ["doc_id", "cid", "sent_idx"]
     both = b.withColumnRenamed("score", "x").join(s.withColumnRenamed("score", "y"), keys).select(*keys, F.round(F.col("x") * 0.1 + F.col("y"), 6).alias("score"))
     parts = [fusion.channel_ranks(x, n, k) for x, n in ((b, "bm25"), (s, "sparse"), (both, "dense"))]
@@ -135,7 +138,7 @@ def rrf_modes_ablation(spark, sf):
     final = fusion.rrf(long, 60, 5, keys=("mode", "doc_id", "cid"))
     g = gold(spark, sf).distinct()
     pairs = g.select("doc_id", "cid").distinct()
-    near = final.join(F.broadcast(pairs), ["doc_id", "cid"], "left_semi").join(g.withColumn("_g", F.lit(1)), ["doc_id", "cid", "sent_idx"], "left")
+    near = final.join(pairs, ["doc_id", "cid"], "left_semi").join(g.withColumn("_g", F.lit(1)), ["doc_id", "cid", "sent_idx"], "left")
     hit = near.groupBy("mode", "doc_id", "cid").agg(F.max(F.coalesce("_g", F.lit(0))).alias("hit"))
     n = pairs.agg(F.count("*").alias("n_gold")).withColumn("_j", F.lit(1))
     out = hit.groupBy("mode").agg(F.count("*").alias("matched"), F.sum("hit").alias("hits")).withColumn("_j", F.lit(1)).join(F.broadcast(n), "_j")
@@ -158,8 +161,11 @@ def k_precedence(spark, sf):
     return t.select("cid", fusion.effective_k(F.when(c % 7 == 0, F.lit(0).cast("long")), c % 5, c % 3, F.lit(20).cast("long"), null).alias("k"))
 
 
-def _ranked(spark, sf):
-    return retrieval.top_k(retrieval.bm25(documents(spark, sf), topics(spark, sf)), 20)
+def _ranked(spark, sf, of_gold=False):
+    """The first 20 passages of every pair, or only of pairs that have gold,
+    for figures that sum over gold."""
+    pairs = gold(spark, sf).select("doc_id", "cid") if of_gold else None
+    return retrieval.top_k(retrieval.bm25(documents(spark, sf), topics(spark, sf), pairs=pairs), 20)
 
 
 CAND = with_sql(*RETR, "bm25", "gold") + ", cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cid ORDER BY score DESC, sent_idx) AS rank FROM bm25) WHERE rank <= 20)"
@@ -173,7 +179,7 @@ PAIRS = """, g AS (SELECT DISTINCT doc_id, cid, sent_idx FROM gold),
 
 @query(CAND + PAIRS + " SELECT doc_id, cid, k, n_gold, hit, recall, mrr, ndcg FROM pm")
 def hit_mrr_ndcg_at_k(spark, sf):
-    return ranking.pair_metrics(_ranked(spark, sf), gold(spark, sf), KS)
+    return ranking.pair_metrics(_ranked(spark, sf, True), gold(spark, sf), KS)
 
 
 SWEEP = """, sw AS (SELECT 'overall' AS scope, NULL::BIGINT AS cid, k, round(avg(hit), 9) AS recall_at_k, round(avg((recall > 0)::INT), 9) AS coverage_at_k, round(avg(ndcg), 6) AS ndcg FROM pm GROUP BY k
@@ -182,7 +188,7 @@ SWEEP = """, sw AS (SELECT 'overall' AS scope, NULL::BIGINT AS cid, k, round(avg
 
 def _sweep(spark, sf):
     r = lambda c, d=9: F.round(c, d).alias(c)
-    return ranking.sweep(_ranked(spark, sf), gold(spark, sf), KS).select("scope", "cid", "k", r("recall_at_k"), r("coverage_at_k"), r("ndcg", 6))
+    return ranking.sweep(_ranked(spark, sf, True), gold(spark, sf), KS).select("scope", "cid", "k", r("recall_at_k"), r("coverage_at_k"), r("ndcg", 6))
 
 
 @query(CAND + PAIRS + SWEEP + " SELECT * FROM sw")
@@ -204,20 +210,20 @@ def select_k(spark, sf):
 @query(CAND + """, g AS (SELECT DISTINCT doc_id, cid, sent_idx FROM gold), x AS (SELECT g.cid, c.sent_idx IS NOT NULL AS r FROM g LEFT JOIN cand c USING (doc_id, cid, sent_idx))
  SELECT CASE WHEN grouping(cid) = 1 THEN 'overall' ELSE 'topic' END AS scope, cid, count(*) FILTER (WHERE r) AS retrieved, count(*) AS gold, count(*) FILTER (WHERE r) / count(*)::DOUBLE AS recall FROM x GROUP BY GROUPING SETS ((), (cid))""")
 def retrieval_recall(spark, sf):
-    rows = _ranked(spark, sf).join(gold(spark, sf).distinct().withColumn("label", F.lit(1)), ["doc_id", "cid", "sent_idx"], "left")
+    rows = _ranked(spark, sf, True).join(gold(spark, sf).distinct().withColumn("label", F.lit(1)), ["doc_id", "cid", "sent_idx"], "left")
     return ranking.set_recall(rows, gold(spark, sf)).select("scope", "cid", "retrieved", "gold", "recall")
 
 
 LABELLED = CAND + ", lab AS (SELECT c.doc_id, c.cid, c.sent_idx, c.score, c.rank, (g.doc_id IS NOT NULL)::INT AS label FROM cand c LEFT JOIN (SELECT DISTINCT doc_id, cid, sent_idx FROM gold) g ON g.doc_id = c.doc_id AND g.cid = c.cid AND g.sent_idx = c.sent_idx)"
 
 
-def _labelled(spark, sf):
-    return _ranked(spark, sf).join(gold(spark, sf).distinct().withColumn("label", F.lit(1)), ["doc_id", "cid", "sent_idx"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+def _labelled(spark, sf, of_gold=False):
+    return _ranked(spark, sf, of_gold).join(gold(spark, sf).distinct().withColumn("label", F.lit(1)), ["doc_id", "cid", "sent_idx"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 @query(LABELLED + " SELECT k, sum(CASE WHEN rank <= k THEN label ELSE 0 END) / sum(label)::DOUBLE AS recall FROM lab CROSS JOIN (SELECT unnest([1, 5, 20]) AS k) GROUP BY k")
 def recall_at_k_grouped(spark, sf):
-    return ranking.pooled_at_k(_labelled(spark, sf), [1, 5, 20], "score")
+    return ranking.pooled_at_k(_labelled(spark, sf, True), [1, 5, 20], "score")
 
 
 @query(LABELLED + ", b AS (SELECT * FROM lab ORDER BY score DESC, doc_id, cid, sent_idx LIMIT 100) SELECT 100 AS k, avg(label) AS precision, sum(label) / (SELECT sum(label) FROM lab)::DOUBLE AS coverage FROM b")
@@ -228,7 +234,7 @@ def precision_at_k_global(spark, sf):
 
 @query(CAND + ", g AS (SELECT DISTINCT doc_id, cid, sent_idx FROM gold) SELECT doc_id, cid, count(c.rank) / 5.0::DOUBLE AS precision, (count(c.rank) > 0)::INT AS covered FROM g LEFT JOIN (SELECT * FROM cand WHERE rank <= 5) c USING (doc_id, cid, sent_idx) GROUP BY doc_id, cid")
 def set_precision_at_k(spark, sf):
-    return ranking.set_precision(_ranked(spark, sf), gold(spark, sf), 5)
+    return ranking.set_precision(_ranked(spark, sf, True), gold(spark, sf), 5)
 
 
 @query(CAND + """, p AS (SELECT doc_id, cid FROM cand SEMI JOIN gold USING (doc_id, cid) GROUP BY ALL)
@@ -276,3 +282,57 @@ def fold_retrieval_filter(spark, sf):
     return fusion.fold_filter(rows, english, 3, ["quality"]).select("doc_id", "cid", "sent_idx", "score", "rank")
 
 
+GATES_SQL = """(VALUES ('retrieval_recall@20_overall', 'recall@20', 0.95, 'gte'), ('retrieval_recall@20_per_criterion', 'recall@20_min', 0.9, 'gte'),
+  ('evidence_auprc', 'auprc', 0.75, 'gte'), ('evidence_f1', 'f1', 0.7, 'gte'), ('evidence_precision@5', 'precision@5', 0.85, 'gte'),
+  ('evidence_coverage@5', 'coverage@5', 0.8, 'gte'), ('evidence_ece', 'ece', 0.1, 'lte'), ('calibration_improvement', 'improvement_pct', 20, 'gte')) v(name, metric, threshold, comparison)"""
+ECE_SQL = "(SELECT round(sum(n * abs(acc - conf)) / sum(n), 9) AS e FROM (SELECT count(*) AS n, avg(label) AS acc, avg({p}) AS conf FROM pred GROUP BY least(greatest(floor({p} * 10), 0), 9)))"
+
+
+@query(
+    CAND
+    + PAIRS
+    + SWEEP
+    + ", "
+    + PARTS["label_rows"]
+    + ", "
+    + PARTS["pred"]
+    + f""", steps AS (SELECT prob, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n FROM pred GROUP BY prob),
+ c AS (SELECT p, sum(p) OVER down AS tp, sum(n) OVER down AS k FROM steps WINDOW down AS (ORDER BY prob DESC ROWS UNBOUNDED PRECEDING)),
+ best AS (SELECT label FROM pred ORDER BY prob DESC, doc_id, cid LIMIT 5), b AS (SELECT e FROM {ECE_SQL.format(p="prob")}), a AS (SELECT e FROM {ECE_SQL.format(p="prob_cal")}),
+ np AS (SELECT doc_id, sum(label)::BIGINT AS n_pos FROM label_rows GROUP BY doc_id),
+ fo AS (SELECT doc_id, ((row_number() OVER (ORDER BY n_pos, doc_id) - 1) % 5)::INT AS fold FROM np),
+ m AS (SELECT 'recall@20' AS metric, recall_at_k AS value FROM sw WHERE scope = 'overall' AND k = 20
+  UNION ALL SELECT 'recall@20_min', min(recall_at_k) FROM sw WHERE scope = 'topic' AND k = 20
+  UNION ALL SELECT 'auprc', round(sum(p * tp / k) / sum(p), 9) FROM c
+  UNION ALL SELECT 'f1', 2 * count(*) FILTER (WHERE prob >= 0.5 AND label = 1) / (count(*) FILTER (WHERE prob >= 0.5) + sum(label))::DOUBLE FROM pred
+  UNION ALL SELECT 'precision@5', avg(label) FROM best
+  UNION ALL SELECT 'coverage@5', sum(label) / (SELECT sum(label) FROM pred)::DOUBLE FROM best
+  UNION ALL SELECT 'ece', e FROM a UNION ALL SELECT 'initial_ece', e FROM b
+  UNION ALL SELECT 'improvement_pct', round((b.e - a.e) / b.e * 100, 6) FROM a, b)
+ SELECT name, coalesce(value, 0) AS value, threshold::DOUBLE AS threshold, CASE comparison WHEN 'gte' THEN coalesce(value, 0) >= threshold ELSE coalesce(value, 0) <= threshold END AS passed
+ FROM {GATES_SQL} LEFT JOIN m USING (metric) WHERE metric <> 'improvement_pct' OR (SELECT e FROM b) > 0.05
+ UNION ALL SELECT 'data_leakage_fold' || h.fold, count(t.doc_id)::DOUBLE, 0::DOUBLE, count(t.doc_id) = 0
+  FROM (SELECT DISTINCT fold FROM fo) h LEFT JOIN fo t ON t.fold = h.fold AND t.doc_id IN (SELECT doc_id FROM fo x WHERE x.fold <> h.fold) GROUP BY h.fold"""
+)
+def quality_gates(spark, sf):
+    """Every gate on the figures of the queries above and of the predictions."""
+    p = predictions(spark, sf)
+    as_metric = lambda df, value, name: df.select(F.lit(name).alias("metric"), F.col(value).cast("double").alias("value"))
+    best = ranking.global_precision(p, 5, "prob", ["doc_id", "cid"])
+    before, after = calibration.ece(p, []), calibration.ece(p, [], prob="prob_cal")
+    gain = before.select(F.lit(1).alias("_j"), F.col("ece").alias("before")).join(after.select(F.lit(1).alias("_j"), F.col("ece").alias("after")), "_j")
+    parts = [
+        gates.sweep_to_gates(_sweep(spark, sf), 20),
+        as_metric(classification.curve_areas(p.withColumn("all", F.lit(0)), ["all"]), "average_precision", "auprc"),
+        as_metric(classification.prf(p, []), "f1", "f1"),
+        as_metric(best, "precision", "precision@5"),
+        as_metric(best, "coverage", "coverage@5"),
+        as_metric(after, "ece", "ece"),
+        as_metric(before, "ece", "initial_ece"),
+        as_metric(gain.select(F.round(calibration.improvement(F.col("before"), F.col("after")), 6).alias("x")), "x", "improvement_pct"),
+    ]
+    metrics = parts[0]
+    for part in parts[1:]:
+        metrics = metrics.unionByName(part)
+    folds = splits.round_robin_folds(label_rows(spark, sf).groupBy("doc_id").agg(F.sum("label").alias("n_pos")), 5)
+    return gates.check_gates(metrics, gates.gate_table(spark)).unionByName(gates.leakage_gates(splits.leakage(splits.dev_tail(folds), folds)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
-from quillspark.operators import calibration, classification, gates, graph, groundtruth, sampling, scoring, splits
+from quillspark.operators import calibration, classification, graph, groundtruth, sampling, scoring, splits
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, vectors, with_sql, words_sql
 from quillspark.session import table
 
@@ -370,10 +370,12 @@ def passage_offsets(spark, sf):
     return documents(spark, sf).select("doc_id", F.posexplode(T.passage_offsets(F.col("text"))).alias("sent_idx", "p")).select("doc_id", "sent_idx", "p.start", "p.end")
 
 
+NEGATION = "['not', 'no', 'never', 'without', 'denies']"
+HEDGE = "['maybe', 'perhaps', 'possible', 'appears', 'seems']"
 CUE = "len(list_filter(list_filter(string_split_regex(lower(sent), '\\s+'), lambda x: x <> ''), lambda x: list_contains({c}, x)))"
 
 
-@query(with_sql("passages") + f", c AS (SELECT doc_id, sent_idx, {CUE.format(c=T.NEGATION_CUES)} AS neg, {CUE.format(c=T.HEDGE_CUES)} AS hedge FROM passages) SELECT doc_id, sent_idx, neg AS n_neg, hedge AS n_hedge, (neg > 0)::INT AS neg, (hedge > 0)::INT AS hedge FROM c")
+@query(with_sql("passages") + f", c AS (SELECT doc_id, sent_idx, {CUE.format(c=NEGATION)} AS neg, {CUE.format(c=HEDGE)} AS hedge FROM passages) SELECT doc_id, sent_idx, neg AS n_neg, hedge AS n_hedge, (neg > 0)::INT AS neg, (hedge > 0)::INT AS hedge FROM c")
 def cue_features(spark, sf):
     count = lambda cues: F.aggregate(T.cue_flags(F.col("sent"), cues), F.lit(0).cast("long"), lambda a, x: a + x)
     return T.passage_table(documents(spark, sf)).select("doc_id", "sent_idx", count(T.NEGATION_CUES).alias("n_neg"), count(T.HEDGE_CUES).alias("n_hedge"), T.has_cue(F.col("sent"), T.NEGATION_CUES).alias("neg"), T.has_cue(F.col("sent"), T.HEDGE_CUES).alias("hedge"))
@@ -432,7 +434,7 @@ def graph_near_edges(spark, sf):
 @query(
     with_sql("passages", "topics", "gold")
     + f""", s AS (SELECT DISTINCT doc_id, sent_idx, cid, round((sent_idx % 10)::DOUBLE / 2 - 2, 6) AS logit, round(1 / (1 + exp(-((sent_idx % 10)::DOUBLE / 2 - 2))), 6) AS prob FROM gold),
- f AS (SELECT doc_id, sent_idx, ({CUE.format(c=T.NEGATION_CUES)} > 0)::INT AS neg, ({CUE.format(c=T.HEDGE_CUES)} > 0)::INT AS hedge,
+ f AS (SELECT doc_id, sent_idx, ({CUE.format(c=NEGATION)} > 0)::INT AS neg, ({CUE.format(c=HEDGE)} > 0)::INT AS hedge,
   coalesce(try_cast(nullif(regexp_extract(lower(sent), '(\\d+)\\s*(day|week|month)s?', 1), '') AS BIGINT) * CASE regexp_extract(lower(sent), '(\\d+)\\s*(day|week|month)s?', 2) WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 END, 0) AS days,
   round(CASE WHEN count(*) OVER w > 1 THEN sent_idx::DOUBLE / (count(*) OVER w - 1) ELSE 0 END, 6) AS p FROM passages WINDOW w AS (PARTITION BY doc_id))
  SELECT doc_id, sent_idx, cid, [logit, prob, neg::DOUBLE, hedge::DOUBLE, days::DOUBLE, p] AS attrs, (prob >= 0.5)::INT AS label FROM s JOIN f USING (doc_id, sent_idx)"""
@@ -470,20 +472,6 @@ def graph_neighbour_mean(spark, sf):
     return graph.neighbour_mean(c.select(at("turn").alias("id"), F.length("text").cast("double").alias("x")), e, "x")
 
 
-GATE = ", ".join(f"('{n}', '{m}', {t}, '{c}')" for n, m, t, c in gates.GATES)
-
-
-@query(
-    PRED
-    + f""", m AS (SELECT 'f1' AS metric, 2 * count(*) FILTER (WHERE prob >= 0.5 AND label = 1) / (count(*) FILTER (WHERE prob >= 0.5) + sum(label))::DOUBLE AS value FROM pred UNION ALL SELECT 'leaked', 0),
- g AS (SELECT * FROM (VALUES {GATE}) v(name, metric, threshold, comparison))
- SELECT name, value, threshold::DOUBLE AS threshold, coalesce(CASE WHEN comparison = 'gte' THEN value >= threshold ELSE value <= threshold END, false) AS passed FROM g LEFT JOIN m USING (metric)"""
-)
-def quality_gates(spark, sf):
-    f1 = classification.prf(predictions(spark, sf), []).select(F.lit("f1").alias("metric"), F.col("f1").alias("value"))
-    return gates.check_gates(f1.unionByName(spark.createDataFrame([("leaked", 0.0)], "metric string, value double")), gates.gate_table(spark))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= 2")
 def grouped_topk(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")

@@ -162,11 +162,12 @@ def test_select_k(spark):
 
 
 def test_gates(spark):
-    m = spark.createDataFrame([("f1", 0.7), ("ece", 0.2), ("leaked", 0.0)], "metric string, value double")
+    m = spark.createDataFrame([("f1", 0.7), ("ece", 0.2), ("initial_ece", 0.3), ("improvement_pct", 19.9), ("recall@20", 0.95), ("recall@20_min", 0.9)], "metric string, value double")
     got = {r.name: r.passed for r in gates.check_gates(m, gates.gate_table(spark)).collect()}
-    assert got["f1"] and got["leakage"] and not got["ece"] and not got["auprc"]
-    v = gates.verdict(gates.check_gates(m, gates.gate_table(spark))).first()
-    assert (v.n_gates, v.n_passed, v.accepted) == (9, 2, False)
+    assert got["evidence_f1"] and not got["evidence_ece"] and not got["evidence_auprc"] and not got["calibration_improvement"]
+    assert got["retrieval_recall@20_overall"] and got["retrieval_recall@20_per_criterion"]
+    v = gates.verdict(gates.check_gates(m, gates.gate_table(spark)).unionByName(gates.leakage_gates(spark.createDataFrame([(0, 0)], "fold int, leaked long")))).first()
+    assert (v.n_gates, v.n_passed, v.accepted) == (9, 4, False)
 
 
 def test_best_trial_prunes(spark):
