@@ -9,12 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.text import tokens
+
+
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
+def share_logit(words: Column, wanted: Column) -> Column:
+    """The share of the distinct words ``wanted`` among ``words``, as a logit in [-4, 4]."""
+    return F.size(F.array_intersect(words, wanted)) / F.greatest(F.size(wanted), F.lit(1)) * 8 - 4
+
 
 def lexical_logit(text: Column, topic: Column) -> Column:
-    """Default scorer: share of the topic's words that the text holds, as a logit in [-4, 4]."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    share = F.size(F.array_intersect(words(text), words(topic))) / F.greatest(F.size(words(topic)), F.lit(1))
-    return share * 8 - 4
+    """Default scorer: share of the topic's words that the text holds."""
+    return share_logit(distinct_words(text), distinct_words(topic))
 
 
 def vector_scorer(fn: Callable[[pd.Series, pd.Series], pd.Series]):
@@ -37,7 +46,7 @@ def vector_encoder(fn: Callable[[pd.Series], pd.Series]):
     return F.pandas_udf(encode, "array<float>")
 
 
-def aggregate_chunks(rows: DataFrame, by: list[str], method: str, m: int = 3, value: str = "prob") -> DataFrame:
+def aggregate_chunks(rows: DataFrame, by: list[str], method: str, m: int = 2, value: str = "prob") -> DataFrame:
     """(by, prob) of chunk scores: max, mean of the top m (always over m) or log-sum-exp."""
     v = F.col(value)
     if method == "max":

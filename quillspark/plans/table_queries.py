@@ -236,11 +236,9 @@ def consistency_penalty(spark, sf):
 @query(f"WITH w AS (SELECT list_distinct({words_sql('b.text')}) AS b, list_distinct({words_sql('d.text')}) AS d, item_id, doc_id FROM documents d CROSS JOIN benchmark b) SELECT doc_id, item_id AS cid, round(len(list_intersect(d, b))::DOUBLE / greatest(len(b), 1) * 8 - 4, 6) AS logit FROM w")
 def lexical_scores(spark, sf):
     """The default scorer on all pairs of documents and topics."""
-    words = lambda c: F.array_distinct(T.tokens(F.col(c)))
-    d = documents(spark, sf).select("doc_id", words("text").alias("d"))
-    t = topics(spark, sf).select("cid", words("text").alias("t"))
-    share = F.size(F.array_intersect("d", "t")) / F.greatest(F.size("t"), F.lit(1))
-    return d.crossJoin(t).select("doc_id", "cid", F.round(share * 8 - 4, 6).alias("logit"))
+    d = documents(spark, sf).select("doc_id", scoring.distinct_words(F.col("text")).alias("d"))
+    t = topics(spark, sf).select("cid", scoring.distinct_words(F.col("text")).alias("t"))
+    return d.crossJoin(t).select("doc_id", "cid", F.round(scoring.share_logit(F.col("d"), F.col("t")), 6).alias("logit"))
 
 
 # --- splits and sampling ------------------------------------------------------
@@ -305,7 +303,17 @@ def hard_pool_anti(spark, sf):
     return sampling.hard_pool(retrieval.top_k(retrieval.bm25(documents(spark, sf), topics(spark, sf)), 10), gold(spark, sf).distinct(), 10)
 
 
-@query()
+@query(
+    with_sql("passages", "label_rows")
+    + """, lim AS (SELECT doc_id, cid, floor(30 * count(*) * 0.1)::BIGINT AS n_cross FROM label_rows WHERE label = 1 GROUP BY ALL),
+ ring AS (SELECT other_id, cid, row_number() OVER (PARTITION BY cid ORDER BY md5('0|' || other_id), other_id) - 1 AS place, count(*) OVER (PARTITION BY cid) AS size
+  FROM (SELECT DISTINCT doc_id AS other_id, cid FROM label_rows WHERE label = 0 AND doc_id IN (SELECT doc_id FROM passages))),
+ want AS (SELECT doc_id, cid, n_cross, size, unnest(range(0, least(n_cross, size) + 1)) AS step, ('0x' || substr(md5('0|' || doc_id || '|' || cid), 1, 12))::BIGINT % size AS start FROM lim JOIN (SELECT DISTINCT cid, size FROM ring) USING (cid)),
+ hit AS (SELECT w.doc_id, w.cid, w.n_cross, r.other_id, row_number() OVER (PARTITION BY w.doc_id, w.cid ORDER BY step) AS i FROM want w JOIN ring r ON r.cid = w.cid AND r.place = (w.start + w.step) % w.size WHERE w.doc_id <> r.other_id),
+ pool AS (SELECT DISTINCT doc_id, cid, n_cross, other_id FROM hit WHERE i <= n_cross)
+ SELECT doc_id, cid, other_id, sent_idx FROM (SELECT p.doc_id, p.cid, p.other_id, s.sent_idx, n_cross, row_number() OVER (PARTITION BY p.doc_id, p.cid ORDER BY md5('0|' || p.doc_id || '|' || p.cid || '|' || p.other_id || '|' || s.sent_idx), p.other_id, s.sent_idx) AS j
+  FROM pool p JOIN passages s ON s.doc_id = p.other_id) WHERE j <= n_cross"""
+)
 def xpost_negatives(spark, sf):
     """Passages of other documents with label 0 for each document's topics, by hashed rings."""
     rows = label_rows(spark, sf)
@@ -450,18 +458,18 @@ def graph_passage_nodes(spark, sf):
     return graph.passage_nodes(T.passage_table(documents(spark, sf)))
 
 
-@query(PRED + ", s AS (SELECT * FROM pred WHERE cid = 'quality') SELECT s.doc_id, s.cid, logit, prob_cal, coalesce(q.label, 0) AS label FROM s LEFT JOIN (SELECT * FROM label_rows WHERE label = 1) q USING (doc_id, cid)")
+@query(PRED + ", s AS (SELECT * FROM pred) SELECT s.doc_id, s.cid, logit, prob_cal, coalesce(q.label, 0) AS label FROM s LEFT JOIN (SELECT * FROM label_rows WHERE label = 1) q USING (doc_id, cid)")
 def graph_matches_edges(spark, sf):
-    return graph.matches_edges(predictions(spark, sf).where("cid = 'quality'"), label_rows(spark, sf).where("label = 1"))
+    return graph.matches_edges(predictions(spark, sf), label_rows(spark, sf).where("label = 1"))
 
 
 @query(
-    with_sql("passages", "topics", "gold")
-    + """, p AS (SELECT DISTINCT doc_id, cid FROM gold), o AS (SELECT cid, count(*) AS c FROM p GROUP BY cid)
- SELECT a.cid AS cid1, b.cid AS cid2, round(ln(count(*) * (SELECT count(DISTINCT doc_id) FROM p)::DOUBLE / (any_value(x.c) * any_value(y.c))), 9) AS pmi, count(*) AS cofreq FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.cid < b.cid JOIN o x ON x.cid = a.cid JOIN o y ON y.cid = b.cid GROUP BY ALL"""
+    """WITH p AS (SELECT DISTINCT conv_id, role FROM conversations), o AS (SELECT role, count(*) AS c FROM p GROUP BY role)
+ SELECT a.role AS cid1, b.role AS cid2, round(ln(count(*) * (SELECT count(DISTINCT conv_id) FROM p)::DOUBLE / (any_value(x.c) * any_value(y.c))), 9) AS pmi, count(*) AS cofreq FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.role < b.role JOIN o x ON x.role = a.role JOIN o y ON y.role = b.role GROUP BY ALL"""
 )
 def topic_cooccurrence(spark, sf):
-    return graph.cooccurrence(gold(spark, sf))
+    """Roles that share a conversation stand for topics that share a document."""
+    return graph.cooccurrence(table(spark, sf, "conversations"), "conv_id", "role")
 
 
 @query("WITH e AS (SELECT conv_id, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations) SELECT dst, round(avg(x), 9) AS x FROM (SELECT conv_id * 1000 + src AS src, conv_id * 1000 + dst AS dst FROM e WHERE dst IS NOT NULL) e JOIN (SELECT conv_id * 1000 + turn AS src, length(text)::DOUBLE AS x FROM conversations) USING (src) GROUP BY dst")
