@@ -1,6 +1,6 @@
 """Licence scans: word-bigram Dice coefficients of text units and templates.
 
-A text's units are its lines, its paragraphs (between empty lines), the whole,
+A text's units are its lines, its paragraphs (between lines without a word), the whole,
 and windows: runs of sentences and lines of about a template's length, where
 many of its bigrams stand. Templates are short notices and, in license_texts,
 whole licences. Units and templates are normalised alike: A-Z lower-cased, words are
@@ -141,10 +141,10 @@ def _scan(templates: list[tuple[str, str]], threshold: float):
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 line_at = np.flatnonzero(part == 0x0A)
                 line = np.searchsorted(line_at, starts)
-                gap = line_at[1:][part[line_at[1:] - 1] == 0x0A] if len(line_at) > 1 else line_at[:0]
+                paragraph = np.concatenate([[0], np.cumsum(np.diff(line) > 1)])
                 seen: set[tuple[int, int]] = set()
                 matched: dict[tuple[int, str], list[tuple[int, int]]] = {}
-                for unit in (line, np.searchsorted(gap, starts), np.zeros(len(starts), np.int64)):
+                for unit in (line, paragraph, np.zeros(len(starts), np.int64)):
                     new = np.ones(len(starts), bool)
                     new[1:] = (unit[1:] != unit[:-1]) | (doc[1:] != doc[:-1])
                     number = np.cumsum(new) - 1
@@ -195,8 +195,9 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: list[tuple[st
 
     license_id is the best matching template's name (ties: the smaller name),
     licenses all names found, n_units the matching units. No match, null, empty
-    text: null, null, '', 0. Repeated rows give repeated rows; extra columns are
-    ignored.
+    text: null, null, '', 0. Repeated rows give repeated rows, null ids stay,
+    empty tables give none; extra columns are ignored. Texts of any length are
+    scanned whole, with memory in proportion to the longest.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan(TEMPLATES + WHOLE if templates is None else templates, threshold), "doc_id long, license_id string, dice double, licenses string, n_units long")

@@ -107,6 +107,80 @@ def test_classifier_learns_and_holds_out(spark, odd, empty):
     assert classifier.quality_scores(spark, odd, labels.limit(0)).count() == 4
 
 
+def _word_codes(w):
+    """What the classifier makes of a word: bucket, places and signs of its index vector."""
+    raw = np.frombuffer(lower(w).encode(), np.uint8)
+    first, bucket, place, sign, _ = classifier._word_parts(raw, np.array([0, len(raw)]))
+    assert first.tolist() == [0, 1]
+    return int(bucket[0]), list(zip(place[0].tolist(), sign[0].tolist()))
+
+
+AWKWARD = ["Some words repeat, some WORDS do not 12", "", None, "one", "a a a b", "Tab\tand\n\nline É é!", "x " * 300]
+
+
+def test_context_vectors_in_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(classifier.tb, "CHUNK_BYTES", 64)  # texts on both sides of a chunk's edge
+    df = spark.createDataFrame([(t,) for t in AWKWARD * 2], "text string").repartition(2)
+    want = np.zeros((classifier.BUCKETS, classifier.DIM))
+    for t in AWKWARD * 2:
+        codes = [_word_codes(w) for w in WORD.findall(t or "")]
+        for a, b in [*zip(codes, codes[1:]), *zip(codes[1:], codes)]:
+            for place, sign in b[1]:
+                want[a[0], place] += sign
+    want /= np.maximum(1e-6, np.sqrt((want**2).sum(1, keepdims=True)))
+    assert classifier.context_vectors(df) == pytest.approx(want, abs=1e-6)
+
+
+def test_features_in_plain_loops():
+    rng = np.random.default_rng(0)
+    contexts = rng.normal(0, 1, (classifier.BUCKETS, classifier.DIM)).astype(np.float32)
+    got = classifier.features(pa.array(AWKWARD), contexts)
+    for t, x in zip(AWKWARD, got):
+        raw = (t or "").encode()
+        words = WORD.findall(t or "")
+        pooled, index, n = np.zeros(classifier.DIM), np.zeros(classifier.DIM), max(1, len(words))
+        for w in words:
+            bucket, parts = _word_codes(w)
+            pooled += contexts[bucket]
+            for place, sign in parts:
+                index[place] += sign
+        pooled, index, low = pooled / n, index / n, [lower(w) for w in words]
+        kinds = [sum(65 <= c <= 90 for c in raw), sum(48 <= c <= 57 for c in raw), sum(33 <= c < 127 and not chr(c).isalnum() for c in raw), raw.count(b"\n")]
+        rest = [np.sqrt((pooled**2).sum()), np.sqrt((index**2).sum()), math.log1p(len(words)), max(1, len(raw)) / n / 8, len(set(low)) / n, sum(a == b for a, b in zip(low, low[1:])) / n, *(k / max(1, len(raw)) for k in kinds)]
+        assert x == pytest.approx([*pooled, *index, *rest], abs=1e-4)
+    cut = [classifier.features(pa.array([t], pa.string()), contexts)[0] for t in AWKWARD]
+    assert np.abs(got - np.array(cut)).max() < 1e-6
+
+
+def test_network_gradient_and_temperature():
+    rng = np.random.default_rng(1)
+    z, y, w = rng.normal(0, 1, (20, 5)), rng.integers(0, 2, 20).astype(float), rng.random(20) + 0.1
+    p = [rng.normal(0, 0.5, s) for s in ((5, 4), (4,), (4,), (1,))]
+
+    def loss():
+        logit = np.tanh(z @ p[0] + p[1]) @ p[2] + p[3]
+        return float((w * np.logaddexp(0, np.where(y == 1, -logit, logit))).sum() / w.sum() + 5e-5 * (p[0] ** 2).sum())
+
+    for k, g in enumerate(classifier.Network.gradients(p, z, y, w)):
+        for at in np.ndindex(p[k].shape):
+            keep, p[k][at] = p[k][at], p[k][at] + 1e-5
+            up = loss()
+            p[k][at] = keep - 1e-5
+            down, p[k][at] = loss(), keep
+            assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-7)
+    # Labels drawn from known probabilities: the temperature minimises the held-out loss on its grid.
+    x = rng.normal(0, 1, (3000, 3))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-1.5 * x[:, 0]))).astype(float)
+    net = classifier.Network().fit(x, y, np.ones(3000), np.arange(3000) % 3 == 0, epochs=10)
+    held, sign = net.logits(x[::3]), np.where(y[::3] == 1, -1, 1)
+    losses = {t: np.logaddexp(0, sign * held / t).sum() for t in np.exp(np.linspace(-1.5, 2.5, 161))}
+    assert net.temperature == min(losses, key=losses.get)
+    prob = net.predict(x[1::3])
+    for lo in np.arange(0.1, 0.9, 0.2):  # calibrated: shares of label 1 near the probabilities
+        some = (prob >= lo) & (prob < lo + 0.2)
+        assert some.sum() < 30 or abs(y[1::3][some].mean() - prob[some].mean()) < 0.12
+
+
 def test_voronoi(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 1, (5, 8))
@@ -577,6 +651,43 @@ def test_whole_and_embedded_licenses(spark):
     assert got[len(want) + 1].license_id is None
 
 
+def test_license_paragraphs_with_any_blank_lines(spark):
+    mit = dict(licenses.WHOLE)["MIT"]
+    parts = [" ".join(p.split()) for p in mit.split("\n\n") if p.strip()]
+    rows = [(i, blank.join(["Some words before it.", *parts, "And some after."])) for i, blank in enumerate(["\n\n", "\r\n\r\n", "\n  \t\n", "\n\n\n"])]
+    rows += [(10 + i, t.replace("\n", "\r\n")) for i, (_, t) in enumerate(rows[:1])]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.license_id == "MIT" and r.dice > 0.8 for r in got.values())
+    assert len({(round(got[i].dice, 6), got[i].n_units) for i in (0, 1, 2, 3, 10)}) == 1
+
+
+def test_pii_in_long_texts_and_blocks(spark):
+    """Many matches over several blocks and parts; context reaches over neighbouring matches."""
+    rng = random.Random(16)
+    words = ["x@y.zz", "10.0.0.7", "é😀", "ssn", "123-45-6789", "call", "+1 202 555 0143", "\n", "prose " * 9, "4111111111111111"]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)), " ".join(["a@b.cc"] * 700), "😀" * 5000 + " a@b.cc", "a@b.cc " + "é" * 9000 + " 10.0.0.7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).withColumn("red", pii.redacted(F.col("text"), F.col("pii"))).collect():
+        assert [(s.start, s.kind, s.end) for s in r.pii if s.kind < pii.BASE] == brute_pii(r.text)
+        ssn = [m for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r.text) if re.search(r"\b(?:ssn|social|security)", r.text[max(0, m.start() - pii.CONTEXT) : m.start()].lower())]
+        assert [(s.start, s.end) for s in r.pii if pii.KINDS[s.kind] == "ssn"] == [m.span() for m in ssn]
+        out, at = [], 0
+        for s in r.pii:
+            if s.start >= at:
+                out.append(r.text[at : s.start] + f"<{pii.KINDS[s.kind]}>")
+            at = max(at, s.end)
+        assert r.red == "".join(out) + r.text[at:]
+
+
+def test_mixing_with_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b", f"s{i % 2}", 1, 2, 3, 4) for i in range(20)], "doc_id long, text string, source string, _copy int, of_source int, copy int, Copies int")
+    scratch = Scratch(spark, "t")
+    targets = mixing.source_targets(spark, scratch.keep(mixing.sized(df)), scratch)
+    mixed = mixing.emit_copies(mixing.with_copies(df.withColumn("_source", F.lit("x")), targets))
+    assert mixed.columns[:7] == ["doc_id", "text", "source", "_copy", "of_source", "copy", "_source"]
+    assert all((r["_copy"], r["of_source"], r["copy"], r["_source"]) == (1, 2, 3, "x") for r in mixed.collect())
+
+
 def test_account_numbers_before_upper_case_words(spark):
     def number(country, rest):
         digits = "".join(str(int(c, 36)) for c in rest + country + "00")
