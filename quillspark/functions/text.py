@@ -19,6 +19,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+BLOCK = 256
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], Column], each: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``each(state, x)`` (of the SQL type ``kind``) for every x of ``items``,
+    where step(state, x) is the state before the next. Results are appended in
+    blocks, since an append copies the array it extends."""
+
+    def inside(block: Column, begin: Column) -> Column:
+        zero = F.struct(begin.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(block, zero, lambda a, x: F.struct(step(a["s"], x).alias("s"), F.array_append(a["out"], each(a["s"], x)).alias("out")))
+
+    def over(held: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))), lambda i: F.slice(held, i * BLOCK + 1, BLOCK))
+        zero = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(blocks, zero, lambda a, b: let(inside(b, a["s"]), lambda r: F.struct(r["s"].alias("s"), F.array_append(a["out"], r["out"]).alias("out"))), lambda a: F.flatten(a["out"]))
+
+    return let(items, over)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores; null: null."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -45,14 +65,13 @@ def passage_offsets(text: Column) -> Column:
     """(idx, start, end, passage) with code point offsets of the trimmed
     passage's start and of the untrimmed end."""
     marked = F.split(F.regexp_replace(text, r"([.!?]+\s+)", "$1\u0001"), "\u0001")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,sent:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
+    def piece(s: Column, x: Column) -> Column:
         lead = F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))
-        piece = F.struct((a["at"] + lead).cast("int").alias("start"), (a["at"] + F.length(x)).cast("int").alias("end"), _strip(x).alias("sent"))
-        return F.struct((a["at"] + F.length(x)).cast("int").alias("at"), F.when(_strip(x) == "", a["out"]).otherwise(F.array_append(a["out"], piece)).alias("out"))
+        return F.struct((s["at"] + lead).cast("int").alias("start"), (s["at"] + F.length(x)).cast("int").alias("end"), _strip(x).alias("sent"))
 
-    return F.aggregate(marked, zero, step, lambda a: a["out"])
+    found = scan(marked, F.struct(F.lit(0).alias("at")), lambda s, x: F.struct((s["at"] + F.length(x)).alias("at")), piece, "struct<start:int,end:int,sent:string>")
+    return F.filter(found, lambda p: p["sent"] != "")
 
 
 def chunk_starts(n: Column, max_len: int, stride: int) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.operators.splits import positions_within
+
 KEYS = ("doc_id", "cid")
 
 
@@ -86,7 +88,6 @@ def latency(rows: DataFrame, value: str, by: str | None = None) -> DataFrame:
 
 def floor_percentiles(rows: DataFrame, value: str, by: str, qs: list[float]) -> DataFrame:
     """(by, q, value) at index floor(q * (n - 1)) of a group's order, without lists."""
-    at = Window.partitionBy(by).orderBy(value)
-    r = rows.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(at) - 1).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
+    r = positions_within(rows.where(F.col(value).isNotNull()).select(by, value), by, value)
     r = r.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs])))
-    return r.where(F.col("i") == F.floor(F.col("q") * (F.col("n") - 1))).select(by, "q", F.col(value).alias("value"))
+    return r.where(F.col("pos") == F.floor(F.col("q") * (F.col("size") - 1))).select(by, "q", F.col(value).alias("value"))

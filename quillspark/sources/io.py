@@ -109,20 +109,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_post_ids(spark: SparkSession, path: str) -> DataFrame:
     """post_id from a JSON list of strings or objects, {"posts": []}, {"post_id"}, JSON lines or plain lines."""
-    # An id list is a small driver-side input; lines keep their order within a file.
-    content = "\n".join(r.value for r in spark.read.text(path).collect())
-    try:
-        raw = json.loads(content)
-        items = raw.get("posts", [raw]) if isinstance(raw, dict) else raw if isinstance(raw, list) else [raw]
-    except json.JSONDecodeError:
-        items = []
-        for line in filter(None, map(str.strip, content.splitlines())):
-            try:
-                items.append(json.loads(line))
-            except json.JSONDecodeError:
-                items.append(line)
-    ids = {str(x.get("post_id", x.get("id", ""))) if isinstance(x, dict) else str(x) for x in items}
-    return spark.createDataFrame([(x,) for x in sorted(ids - {""})], "post_id string")
+    v = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    files = spark.read.text(path, wholetext=True).select(v.alias("v"))
+    lines = F.filter(F.transform(F.split("v", "\n"), F.trim), lambda x: x != "")
+    posts = F.when(F.col("v").startswith("{"), F.get_json_object("v", "$.posts"))
+    one = F.col("v").startswith("{") & (F.size(F.filter(lines, lambda x: x.startswith("{"))) == 1)
+    items = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).when(posts.isNotNull(), F.from_json(posts, "array<string>")).when(one, F.array("v")).otherwise(lines)
+    x = F.col("x")
+    of_object = F.coalesce(F.get_json_object(x, "$.post_id"), F.get_json_object(x, "$.id"))
+    ids = files.select(F.explode(items).alias("x")).select(F.when(x.startswith("{"), of_object).otherwise(F.regexp_replace(x, '^"|"$', "")).alias("post_id"))
+    return ids.where("post_id IS NOT NULL AND post_id <> ''").distinct()
 
 
 def read_folds(spark: SparkSession, directory: str, schema: str = schemas.OOF_SC) -> DataFrame:
