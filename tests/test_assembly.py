@@ -128,3 +128,30 @@ def test_kept_tables_can_go(spark):
     assert os.path.isdir(folder)
     scratch.drop(kept)
     assert not os.path.isdir(folder)
+
+
+def test_configs_and_jobs(spark, tmp_path):
+    import json
+
+    from quillspark.sources import config
+
+    for name in ("run.json", "run.yaml"):
+        path = f"{tmp_path}/{name}"
+        config.save_config({"a": {"b": 1}}, path)
+        got = config.update_runtime_config(path, {"k_infer_default": 20, "k_infer_overrides": {"c1": 5}})
+        assert config.load_config(path) == got
+        assert (config.cfg_get(got, "a.b"), config.cfg_get(got, "retrieval.k_infer_overrides.c1"), config.cfg_get(got, "a.x.y", "none")) == (1, 5, "none")
+    docs = spark.range(20).toDF("post_id")
+    assert {r.split: r["count"] for r in config.materialise_splits(docs, f"{tmp_path}/splits").groupBy("split").count().collect()} == {"train": 16, "dev": 2, "test": 2}
+    schema = "doc_id string, cid string, sent_idx int, score double, ordinal int"
+    lines = [{"doc_id": d, "cid": "c", "sent_idx": i, "score": i / 10, "ordinal": 0} for d in "ab" for i in range(4)]
+    (tmp_path / "cand.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "ids.json").write_text('["a"]')
+    (tmp_path / "none.json").write_text("[]")
+    job = lambda ids="ids.json", cand="cand.jsonl", cfg={}: config.fold_filter_job(spark, cfg, f"{tmp_path}/{ids}", f"{tmp_path}/{cand}", schema, f"{tmp_path}/out", 2)  # noqa: E731, B006
+    assert sorted((r.doc_id, r.sent_idx, r["rank"]) for r in job().collect()) == [("a", 2, 2), ("a", 3, 1)]
+    assert spark.read.json(f"{tmp_path}/out").count() == 2 and job(ids="none.json") is None
+    with pytest.raises(ValueError):
+        job(cfg={"retrieval": {"scope": "all"}})
+    with pytest.raises(FileNotFoundError):
+        job(cand="absent.jsonl")
