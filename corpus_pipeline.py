@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet to the shared folder and gives it to the next stage. All
 but the last return the columns of documents.
+
+All stages keep to these rules. Rows with nulls in any column, and rows that
+repeat others, are rows like all others. Empty tables give empty tables. Whole
+texts count, of whatever length. Columns beside those of documents are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. A null or empty text has
+    the score of a text without words; without labels to learn from every row
+    has their smoothed share of label 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_scores(spark, docs, labels).where("predicted = 1").select(COLUMNS)
 
@@ -35,7 +41,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by the name of its kind; n_chars follows the text."""
+    """Personal data replaced by the name of its kind; n_chars follows the text.
+    A row without any, such as one with a null text, stays as it is."""
     found = pii.find_pii(docs.select(COLUMNS))
     text = pii.redacted(F.col("text"), F.col("pii"))
     changed = F.size("pii") > 0
@@ -43,7 +50,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, 0 to 2 times. A null
+    source is a source; rows that repeat an id, and null ids, share a draw; a
+    text without words comes as often as its source's rate says."""
     scratch = Scratch(spark, "pipeline-mix")
     sizes = scratch.keep(mixing.sized(docs), "sizes")
     targets = mixing.source_targets(spark, sizes, scratch)
@@ -51,7 +60,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_pieces, piece_ids) of every row."""
+    """(doc_id, lang, source, n_pieces, piece_ids) of every row; a null or empty
+    text has no pieces."""
     coded = encode(docs.select("doc_id", "lang", "source", "text"), Vocabulary.load())
     return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
