@@ -187,13 +187,6 @@ def document_nodes(passages: DataFrame) -> DataFrame:
     return passages.select("doc_id").distinct().withColumn("x", F.array(*[F.lit(1.0)] * 4))
 
 
-def topic_nodes(topics: DataFrame, pair_prob: DataFrame) -> DataFrame:
-    """(doc_id, cid, x, y): [is_core, length / 100] of a topic in a document's
-    graph; y where the pair's probability is 0.5 or more, else 0."""
-    x = F.array(F.col("is_core").cast("double"), F.length("text") / F.lit(100.0))
-    return pair_prob.join(topics, "cid").select(*KEYS, x.alias("x"), (F.col("prob") >= 0.5).cast("int").alias("y"))
-
-
 def improvement_ratio(before: Column, after: Column) -> Column:
     """Relative gain; a start below 1e-8 counts as fully improved."""
     return F.when(before < 1e-8, 1.0).otherwise((before - after) / before)

@@ -17,7 +17,7 @@ def passage_nodes(passages: DataFrame) -> DataFrame:
 
 def topic_nodes(topics: DataFrame, doc_scores: DataFrame) -> DataFrame:
     """(doc_id, cid, is_core, desc_len, y): y is whether the document's probability reaches 0.5."""
-    return doc_scores.join(F.broadcast(topics), "cid").select("doc_id", "cid", F.col("is_core").cast("int").alias("is_core"), (F.char_length("text") / 100).alias("desc_len"), (F.coalesce("prob", F.lit(0.0)) >= 0.5).cast("int").alias("y"))
+    return doc_scores.join(topics, "cid").select("doc_id", "cid", F.col("is_core").cast("int").alias("is_core"), (F.char_length("text") / 100).alias("desc_len"), (F.coalesce("prob", F.lit(0.0)) >= 0.5).cast("int").alias("y"))
 
 
 def supports_edges(scores: DataFrame, passages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import passage_table
-from quillspark.operators import assembly, retrieval, splits
+from quillspark.operators import assembly, graph, retrieval, splits
 from quillspark.plans.base import SQL as PARTS
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, with_sql
 from quillspark.plans.table_queries import AT_HALF, BIN, CHUNKS, PRED
@@ -201,6 +201,6 @@ def graph_document_nodes(spark, sf):
     return assembly.document_nodes(passage_table(documents(spark, sf)))
 
 
-@query(PRED + ", " + DESCRIBED_SQL + " SELECT doc_id, cid, [is_core::INT::DOUBLE, length(text) / 100.0::DOUBLE] AS x, (prob >= 0.5)::INT AS y FROM pred JOIN described USING (cid)")
+@query(PRED + ", " + DESCRIBED_SQL + " SELECT doc_id, cid, is_core::INT AS is_core, length(text) / 100.0::DOUBLE AS desc_len, (prob >= 0.5)::INT AS y FROM pred JOIN described USING (cid)")
 def graph_topic_nodes(spark, sf):
-    return assembly.topic_nodes(_described(spark), predictions(spark, sf))
+    return graph.topic_nodes(_described(spark), predictions(spark, sf))
