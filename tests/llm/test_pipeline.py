@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quillspark.llm import pii
@@ -48,6 +49,18 @@ def test_stages_keep_the_columns_on_awkward_and_empty_tables(spark, awkward, sf)
                 assert out.count() == 0
 
 
+def test_stages_ignore_extra_columns_and_take_long_texts(spark, awkward, sf):
+    long = " ".join(f"word{i % 1999}" for i in range(60_000)) + " mail me@ex.org"
+    more = awkward.union(spark.createDataFrame([(9, long, "en", "a", len(long))], COLUMNS))
+    names = ["score", "pii", "copies", "_copy", "_source", "id", "n", "grp", "piece_ids", "held_out"]
+    wide = more.select("*", *[F.lit("x").alias(n) for n in names])
+    for name, stage in cp.STAGES:
+        plain, extra = (sorted(map(repr, stage(spark, df, sf).collect())) for df in (more, wide))
+        assert plain == extra and plain
+    red = {r.doc_id: r.text for r in cp.redact(spark, more, sf).collect()}
+    assert red[9] == long.replace("me@ex.org", "<email>")
+
+
 def test_run_carries_every_decision(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = cp.run(spark, sf)
