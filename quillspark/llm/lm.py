@@ -13,9 +13,11 @@ averaged by words. A word outside the shortlist has the model's probability of
 model is a distribution over all words. When scoring, the hidden state passes
 from window to window to the end of each text.
 
-Words outside the shortlist need corpus counts; they are packed by hash bucket
-into one blob a batch and bucket, so that neither a vocabulary nor a row for
-each (word, text) has to fit anywhere.
+Words outside the shortlist need corpus counts. Those of the COUNTED most
+frequent words travel with the tasks; all others, each of which is at most one
+token in COUNTED, are packed by hash bucket into one blob a batch and bucket, so
+that neither a vocabulary nor a row for each (word, text) has to fit anywhere
+and no bucket is filled by one word.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ ROUNDS = 2
 SHARD_WORDS = 1_000_000
 BUFFER = 1 << 17
 STREAMS = 256
+COUNTED = 1 << 20
 RATE = 0.005
 PIECE = 1 << 14
 WINDOW = 64
@@ -260,11 +263,17 @@ class Gru:
         return out
 
 
-def _encode(h: np.ndarray, sorted_h: np.ndarray, code: np.ndarray) -> np.ndarray:
+def _at(h: np.ndarray, sorted_h: np.ndarray) -> np.ndarray:
+    """The place of each hash in ``sorted_h``, -1 where it isn't."""
     if not len(sorted_h):
-        return np.full(len(h), OTHER, np.int64)
+        return np.full(len(h), -1)
     at = np.minimum(np.searchsorted(sorted_h, h), len(sorted_h) - 1)
-    return np.where(sorted_h[at] == h, code[at], OTHER)
+    return np.where(sorted_h[at] == h, at, -1)
+
+
+def _encode(h: np.ndarray, sorted_h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    at = _at(h, sorted_h)
+    return np.where(at >= 0, code[at], OTHER) if len(code) else np.full(len(h), OTHER, np.int64)
 
 
 def _texts(column: pa.Array, sorted_h: np.ndarray, code: np.ndarray):
@@ -292,15 +301,18 @@ def _keys(batch) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _others(sorted_h, code, buckets: int):
+def _others(sorted_h, code, counted_h, buckets: int):
+    """The words outside the shortlist and the counted words, by bucket."""
+
     def run(batches):
         for batch in batches:
             key = _keys(batch)
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             hs, ds = [], []
             for i, _, _, h, doc in _texts(batch.column("text"), sorted_h, code):
-                hs.append(h)
-                ds.append(doc + i)
+                rare = _at(h, counted_h) < 0
+                hs.append(h[rare])
+                ds.append(doc[rare] + i)
             if not hs:
                 continue
             h, d = np.concatenate(hs), np.concatenate(ds)
@@ -352,24 +364,28 @@ def _sum_tails(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": tb.signed(own), "tail": np.bincount(who, tail, len(own)), "known": np.bincount(who, known, len(own)).astype(np.int64)})
 
 
-def _model_scores(model: Gru, sorted_h, code, log_c: np.ndarray, seen: np.ndarray):
+def _model_scores(model: Gru, sorted_h, code, log_c: np.ndarray, seen: np.ndarray, counted_h, counted_log):
     def run(batches):
         for batch in batches:
             key, n = _keys(batch), len(batch)
-            size, others, base, known, logp = (np.zeros(n) for _ in range(5))
+            size, others, base, known, logp, tail = (np.zeros(n) for _ in range(6))
             ids, offs = [], [0]
-            for _, part, o, _, _ in _texts(batch.column("text"), sorted_h, code):
+            for i, part, o, h, doc in _texts(batch.column("text"), sorted_h, code):
                 ids.append(part)
                 offs += (o[1:] + offs[-1]).tolist()
+                at = _at(h, counted_h)
+                doc = doc[at >= 0] + i
+                tail += np.bincount(doc, counted_log[at[at >= 0]], n)
+                known += np.bincount(doc, minlength=n)
             if n:
                 flat, offs = np.concatenate(ids), np.array(offs)
                 doc = np.repeat(np.arange(n), np.diff(offs))
                 size = np.diff(offs)
                 others = np.bincount(doc, flat == OTHER, n)
                 base = np.bincount(doc, log_c[flat], n)
-                known = np.bincount(doc, seen[flat], n)
+                known += np.bincount(doc, seen[flat], n)
                 logp = model.score(flat, offs) / LN10
-            yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key)), batch.column("doc_id"), batch.column("held_out"), *(pa.array(a.astype(np.int64)) for a in (size, others, known)), pa.array(base), pa.array(logp)], ["key", "doc_id", "held_out", "n_tokens", "n_other", "n_short", "base", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key)), batch.column("doc_id"), batch.column("held_out"), *(pa.array(a.astype(np.int64)) for a in (size, others, known)), *(pa.array(a) for a in (base, logp, tail))], ["key", "doc_id", "held_out", "n_tokens", "n_other", "n_short", "base", "logp", "counted"])
 
     return run
 
@@ -421,14 +437,17 @@ def fit(train: DataFrame, model: Gru, sorted_h, code, words: int) -> int:
     return learned
 
 
-def _shortlist(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the ``most`` most frequent words, by count and hash."""
+def _shortlist(counts: DataFrame, short: int, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the most frequent words, by count and hash: all those
+    above a count that at most ``most`` words exceed, and with equal counts as
+    many as make ``short`` words."""
+    most = max(short, most)
     steps = counts.groupBy("c").agg(F.count("*").alias("k")).toArrow().sort_by([("c", "descending")])
     c, upto = steps.column("c").to_numpy(), np.cumsum(steps.column("k").to_numpy())
     whole = int(np.searchsorted(upto, most, "right"))
-    got = counts if whole == len(c) else counts.where(F.col("c") > int(c[whole]))
-    if whole < len(c):
-        got = got.union(counts.where(F.col("c") == int(c[whole])).orderBy("h").limit(most - int(upto[whole - 1] if whole else 0)))
+    got, have = counts if whole == len(c) else counts.where(F.col("c") > int(c[whole])), int(upto[whole - 1]) if whole else 0
+    if whole < len(c) and have < short:
+        got = got.union(counts.where(F.col("c") == int(c[whole])).orderBy("h").limit(short - have))
     top = got.toArrow()
     h, n = top.column("h").to_numpy(), top.column("c").to_numpy()
     order = np.lexsort((h, -n))
@@ -454,7 +473,12 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     total, types = words + ends, types + (ends > 0)
     norm = np.log10(total + 0.5 * (types + 1))
 
-    top_h, top_c = _shortlist(counts, shortlist_size(types))
+    most = shortlist_size(types)
+    counted_h, counted_c = _shortlist(counts, most, COUNTED)
+    top_h, top_c, counted_h, counted_c = counted_h[:most], counted_c[:most], counted_h[most:], counted_c[most:]
+    order = np.argsort(counted_h)
+    counted_h, counted_log = counted_h[order], np.log10(counted_c[order] + 0.5)
+    left = words - int(top_c.sum()) - int(counted_c.sum())
     order = np.argsort(top_h)
     sorted_h, code = top_h[order], order + 2
     rest = words - int(top_c.sum())
@@ -478,14 +502,15 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
         raise RuntimeError(f"learned {learned} of {total} training words")
     model.freeze()
 
-    buckets = max(1, -(-12 * (words + words // 4 + 1) // BLOB_BYTES))
-    blobs = base.mapInArrow(_others(sorted_h, code, buckets), "bucket int, h binary, d binary, key binary, train binary")
+    # 12 bytes a token: training tokens, a fourth of that held out, and new words.
+    buckets = max(1, -(-12 * (left + words // 4 + 1) // BLOB_BYTES))
+    blobs = base.mapInArrow(_others(sorted_h, code, counted_h, buckets), "bucket int, h binary, d binary, key binary, train binary")
     tail = blobs.groupBy("bucket").applyInPandas(_tail(buckets), "part int, key binary, tail binary, known binary").groupBy("part").applyInPandas(_sum_tails, "key long, tail double, known long")
-    scored = scratch.keep(base.mapInArrow(_model_scores(model, sorted_h, code, log_c, seen), "key long, doc_id long, held_out boolean, n_tokens long, n_other long, n_short long, base double, logp double"), "model")
+    scored = scratch.keep(base.mapInArrow(_model_scores(model, sorted_h, code, log_c, seen, counted_h, counted_log), "key long, doc_id long, held_out boolean, n_tokens long, n_other long, n_short long, base double, logp double, counted double"), "model")
     same = scored.groupBy("key").agg(F.count("*").alias("rows"))
     sums = tail.join(same, "key").select("key", (F.col("tail") / F.col("rows")).alias("tail"), (F.col("known") / F.col("rows")).cast("long").alias("known"))
     mass = max(1e-12, 1 - float(((np.delete(freq, OTHER) + 0.5) / (total + 0.5 * (types + 1))).sum()))
-    tail_sum = F.coalesce("tail", F.lit(0.0))
+    tail_sum = F.col("counted") + F.coalesce("tail", F.lit(0.0))
     return scored.join(sums, "key", "left").select(
         "doc_id",
         "held_out",
