@@ -679,6 +679,25 @@ def test_pii_in_long_texts_and_blocks(spark):
         assert r.red == "".join(out) + r.text[at:]
 
 
+def test_each_source_has_the_seed_nearest_to_its_target(spark):
+    rng = random.Random(17)
+    rows = [(i, f"s{i % 5}" if i % 5 else None, rng.randrange(1, 400)) for i in range(60)]
+    sizes, scratch = spark.createDataFrame(rows, "doc_id long, source string, size long"), Scratch(spark, "t")
+    targets = mixing.source_targets(spark, sizes, scratch)
+    with_seeds = mixing.nearest_seeds(sizes, targets)
+    rate = {r.source: r.rate for r in targets.collect()}
+    got = {r.source: r for r in with_seeds.collect()}
+
+    def copies(i, x, seed):
+        return int(x) + (int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:13], 16) / (1 << 52) < x - int(x))
+
+    for s, r in got.items():
+        off = [abs(sum(n * copies(i, rate[s], k) for i, o, n in rows if o == s) - r.target) for k in range(mixing.TRIES)]
+        assert r.seed == off.index(min(off))
+    for r in mixing.with_copies(sizes, with_seeds).collect():
+        assert r.copies == copies(r.doc_id, rate[r.source], got[r.source].seed)
+
+
 def test_mixing_with_clashing_columns(spark):
     df = spark.createDataFrame([(i, "a b", f"s{i % 2}", 1, 2, 3, 4) for i in range(20)], "doc_id long, text string, source string, _copy int, of_source int, copy int, Copies int")
     scratch = Scratch(spark, "t")
