@@ -3,7 +3,9 @@
 Tokens are summed per source, a water-filling of the weights gives each source
 a target, target / size is its repetition rate, and every document is taken
 floor(rate) times plus once more with probability equal to the fraction. The
-draw is a hash of (seed, id), so that reruns and retries agree.
+draw is a hash of (seed, id), so that reruns and retries agree. A source of few
+documents can miss its target by chance; ``nearest_seeds`` gives each source the
+seed, of TRIES, whose draws come nearest.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from quillspark.scratch import Scratch
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+TRIES = 16
 
 
 def _sizes(batches):
@@ -78,25 +81,56 @@ def source_targets(spark: SparkSession, sizes: DataFrame, scratch: Scratch, weig
     return placed.select("source", "source_size", target.alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
 
 
-def draw(id_col: Column, seed: int) -> Column:
+def draw(id_col: Column, seed: int | Column) -> Column:
     """A number in [0, 1) fixed by the id and the seed."""
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(id_col.cast("string"), F.lit("null")))
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    text = F.concat(seed.cast("string"), F.lit("|"), F.coalesce(id_col.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _copies(id_col: Column, rate: Column, seed: int | Column) -> Column:
+    return (F.floor(rate) + (draw(id_col, seed) < rate - F.floor(rate)).cast("int")).cast("int")
+
+
+def nearest_seeds(sizes: DataFrame, targets: DataFrame, tries: int = TRIES) -> DataFrame:
+    """``targets`` with the ``seed`` of each source, from 0 to ``tries`` - 1,
+    whose copies take the number of words nearest to its target (ties: the
+    smaller seed). One aggregate over (doc_id, source, size)."""
+    t = targets.select(F.col("source").alias("of_source"), "target", "rate")
+    rows = sizes.join(t, F.col("source").eqNullSafe(F.col("of_source")))
+    taken = [F.sum(F.col("size") * _copies(F.col("doc_id"), F.col("rate"), k)).alias(f"t{k}") for k in range(tries)]
+    sums = rows.groupBy("of_source").agg(F.first("target").alias("goal"), *taken)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("seed")) for k in range(tries)]))
+    picked = sums.select("of_source", best["seed"].alias("seed"))
+    return targets.join(picked, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source").withColumn("seed", F.coalesce("seed", F.lit(0)))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_copies(docs: DataFrame, targets: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with source_size, target, rate and ``copies`` (0 or more), in
-    place of columns of these names.
+    place of columns of these names. Targets with a ``seed`` have each its own.
 
     The join on the source is null-safe; Spark broadcasts the source table
-    where its written size allows and splits hot sources elsewhere.
+    where its written size allows and splits hot sources elsewhere. Rows that
+    repeat an id share its draw, and so do null ids; a source without a target
+    has null copies. Of all other columns nothing is assumed.
     """
     docs = docs.drop("source_size", "target", "rate", "copies")
-    t = targets.withColumnRenamed("source", "_source")
-    joined = docs.join(t, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
-    return joined.withColumn("copies", (F.floor("rate") + (draw(F.col(id_col), seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    own, mine = _free(docs, "of_source"), _free(docs, "of_seed")
+    t = targets.withColumnRenamed("source", own)
+    t = t.withColumnRenamed("seed", mine) if "seed" in t.columns else t.withColumn(mine, F.lit(seed))
+    joined = docs.join(t, docs[source_col].eqNullSafe(t[own]), "left").drop(own)
+    return joined.withColumn("copies", _copies(F.col(id_col), F.col("rate"), F.col(mine))).drop(mine)
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    """One row for each copy taken, with the columns of ``mixed``."""
+    own = _free(mixed, "copy")
+    return mixed.where("copies > 0").withColumn(own, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(own)

@@ -30,11 +30,12 @@ def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.llm.mixing import sized, source_targets, with_copies
+    from quillspark.llm.mixing import nearest_seeds, sized, source_targets, with_copies
 
     scratch = Scratch(spark, "mixing")
     sizes = scratch.keep(sized(table(spark, sf_dir, "documents")), "sizes")
-    mixed = with_copies(sizes, source_targets(spark, sizes, scratch))
+    targets = scratch.keep(nearest_seeds(sizes, source_targets(spark, sizes, scratch)), "targets")
+    mixed = with_copies(sizes, targets)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
@@ -62,7 +63,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     spans = F.col("pii")
     counts = [pii.count_of(spans, k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(pii.base_spans(spans)), 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.digest(pii.base_spans(spans)), 256).alias("base_sha256"), pii.digest(spans).alias("spans"), F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,11 +53,16 @@ rest AS (
 t AS (
   SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE rest::DOUBLE * weight / weighing::DOUBLE END AS target FROM f, rest),
 u AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, d.source, size, source_size, target, k AS seed,
          CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM u
+         ('0x' || substr(md5(k || '|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN range(16) r(k)),
+c AS (SELECT *, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM u),
+p AS (
+  SELECT source, seed FROM (
+    SELECT source, seed, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), seed) AS place FROM c GROUP BY source, seed)
+  WHERE place = 1)
+SELECT doc_id, size, source_size, target, taken FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source AND c.seed = p.seed
 """
 
 VORONOI_TOPK = r"""
