@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let, scan
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, although ``body``
-    may use it often or inside another lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+__all__ = ["let", "scan", "total", "words_of"]
 
 
 def words_of(text: Column) -> Column:

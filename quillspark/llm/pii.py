@@ -18,10 +18,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.native import let
+from quillspark.llm.native import let, scan
 
 MIN_SCORE = 0.5
 CONTEXT = 40
+PART = 4096
 
 # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -112,24 +113,24 @@ def _spans(text: Column, index: int) -> Column:
     hits = F.when(may(text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def place(h: Column) -> Column:
-        # The text between the matches gives their places.
-        gaps = F.split(text, pattern, -1)
+        # The text between the matches gives their places and what stands before them.
+        def pairs(gaps: Column) -> Column:
+            return F.transform(h, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("m")))
 
-        def walk(g: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out"))
+        before = lambda s, x: F.right(F.concat(s["tail"], F.right(x["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
 
-            def step(a: Column, x: Column) -> Column:
-                i = F.size(a["out"])
-                start = a["at"] + F.length(F.get(g, i))
-                return F.struct((start + F.length(x)).alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), (_account(x) if KINDS[index] == "iban" else x).alias("m"))).alias("out"))
+        def step(s: Column, x: Column) -> Column:
+            tail = F.right(F.concat(before(s, x), F.right(x["m"], F.lit(CONTEXT))), F.lit(CONTEXT))
+            return F.struct((s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"), tail.alias("tail"))
 
-            return F.aggregate(h, zero, step, lambda a: a["out"])
+        def each(s: Column, x: Column) -> Column:
+            return F.struct((s["at"] + F.length(x["gap"])).alias("start"), before(s, x).alias("before"), (_account(x["m"]) if KINDS[index] == "iban" else x["m"]).alias("m"))
 
-        return let(gaps, walk)
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+        return let(F.split(text, pattern, -1), lambda g: scan(pairs(g), zero, step, each, "struct<start:int,before:string,m:string>"))
 
     def judge(s: Column) -> Column:
-        before = F.lower(text.substr(F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))))
-        lift = F.when(before.rlike(rf"\b(?:{context})"), 0.3).otherwise(0.0)
+        lift = F.when(F.lower(s["before"]).rlike(rf"\b(?:{context})"), 0.3).otherwise(0.0)
         return F.struct(s["start"].alias("start"), F.lit(index).alias("kind"), (s["start"] + F.length(s["m"])).alias("end"), F.round(F.lit(score) + lift, 2).alias("score"))
 
     none = F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")
@@ -139,8 +140,14 @@ def _spans(text: Column, index: int) -> Column:
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
     """``docs`` with the array ``out`` of (start, kind, end, score), by start
-    and then kind; offsets are code points, ends exclusive. A null text is
-    empty; spans of different kinds may overlap."""
+    and then kind; offsets are code points, ends exclusive.
+
+    A null text is empty; spans of different kinds may overlap, and of spans
+    with one start the kind listed first comes first. Rows are independent:
+    repeated rows, null ids and empty tables need no rule; a column named like
+    ``out`` is replaced. Time and memory grow in proportion to a text's length,
+    whatever its number of matches.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumn(out, F.sort_array(F.concat(*[_spans(text, i) for i in range(len(RULES))])))
 
@@ -163,13 +170,16 @@ def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in angle brackets; of
     overlapping spans the first names the replaced stretch."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        piece = F.concat(text.substr(a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
+    def over(parts: Column) -> Column:
+        # A substring is sought in the blocks that hold it, not from the text's begin.
+        def piece(at: Column, length: Column) -> Column:
+            first = F.floor(at / PART).cast("int")
+            held = F.array_join(F.slice(parts, first + 1, F.floor((at + length) / PART).cast("int") - first + 1), "")
+            return held.substr(at - first * PART + 1, length)
 
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["out"], ""), text.substr(a["at"] + 1, F.length(text)))
+        ends = F.concat(spans, F.array(F.struct(F.length(text).alias("start"), F.lit(None).cast("int").alias("kind"), F.length(text).alias("end"), F.lit(0.0).alias("score"))))
+        each = lambda s, x: F.when(x["start"] >= s["at"], F.concat(piece(s["at"], x["start"] - s["at"]), F.coalesce(F.get(names, x["kind"]), F.lit("")))).otherwise("")
+        return F.array_join(scan(ends, F.struct(F.lit(0).alias("at")), lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at")), each, "string"), "")
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, finish))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0)), over))
