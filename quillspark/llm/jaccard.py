@@ -54,7 +54,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             continue
         h = tb.span_hash(tb.prefix_hash(part), starts, ends)
         long = np.zeros(len(h), np.uint64)
-        for k in range(size):
+        for k in range(min(size, len(h))):  # all texts of a chunk together may have fewer words
             long[: len(h) - k] += h[k:] * _MUL[k % 8] * np.uint64(2 * (k // 8) + 1)
         long = tb.mix(long)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
