@@ -79,6 +79,25 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, docs, size=4, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.phrases import mine_phrases
+
+    return mine_phrases(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.url_filters import filter_urls
+
+    return filter_urls(spark, table(spark, sf_dir, "pages"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.importance import resample
+
+    drawn = resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_host_rules": op1_host_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -90,5 +109,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_url_filters": op12_url_filters,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES: dict[str, str] = sql.ORACLES

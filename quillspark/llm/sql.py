@@ -76,4 +76,47 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op1_host_rules": HOST_RULES, "op3_voronoi_topk": VORONOI_TOPK, "op4_source_mixing": SOURCE_MIXING}
+PHRASES = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+p AS (SELECT lang, w, count(*) AS m FROM w WHERE len(w) > 0 GROUP BY ALL),
+g AS (SELECT lang, m, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, range(1, 4) r(size) WHERE len(w) >= size),
+f AS (SELECT lang, size, w[i:i + size - 1] AS ws, sum(m) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, ws, f AS a FROM f WHERE size > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.ws, c.a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[k + 1:c.size]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, size AS longer_size, a AS longer, unnest([ws[1:2], ws[2:3]]) AS ws FROM c WHERE size = 3),
+gone AS (SELECT DISTINCT b.lang, b.ws FROM best b JOIN inner_of i ON i.lang = b.lang AND i.ws = b.ws AND 100 * i.longer >= 50 * b.a),
+kept AS (SELECT best.lang, array_to_string(best.ws, ' ') AS phrase, a, l, r, score FROM best ANTI JOIN gone ON gone.lang = best.lang AND gone.ws = best.ws),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+URL_FILTERS = r"""
+WITH hosts(host_rule, path_rule, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+pats(pattern, v, re) AS (VALUES
+  ('||ads-track.', 'block', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?ads-track\.'), ('||free-bets.', 'block', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?free-bets\.'),
+  ('||ads.', 'block', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?ads\.'), ('||adserver.', 'block', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?adserver\.'),
+  ('||casino.', 'block', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?casino\.'), ('||poker.', 'block', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?poker\.'),
+  ('/ads/', 'block', '/ads/'), ('/adclick/', 'block', '/adclick/'), ('/banners/', 'block', '/banners/'), ('/wp-login.php', 'block', '/wp-login\.php'), ('/cgi-bin/', 'block', '/cgi-bin/'),
+  ('/login^', 'block', '/login([^a-z0-9_.%-]|\z)'), ('/signup^', 'block', '/signup([^a-z0-9_.%-]|\z)'), ('/cart^', 'block', '/cart([^a-z0-9_.%-]|\z)'), ('/checkout^', 'block', '/checkout([^a-z0-9_.%-]|\z)'),
+  ('/porn/', 'block', '/porn/'), ('?sessionid=', 'block', '\?sessionid='), ('&sessionid=', 'block', '&sessionid='), ('.exe|', 'block', '\.exe\z'), ('.zip|', 'block', '\.zip\z'), ('.apk|', 'block', '\.apk\z'),
+  ('@@||docs.', 'allow', '^[a-z][a-z0-9+.-]*://([^/?#]*\.)?docs\.'), ('@@/robots.txt|', 'allow', '/robots\.txt\z')),
+u AS (SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+             CASE WHEN instr(url, '://') > 0 THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, low, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[length(raw) + 1:], '^[^?#]*') AS path FROM h),
+j AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+             (SELECT max({'n': length(host_rule || path_rule), 'rule': host_rule || path_rule, 'v': hosts.v}) FROM hosts
+              WHERE (p.host = host_rule OR ends_with(p.host, '.' || host_rule)) AND starts_with(p.path, path_rule)) AS best,
+             (SELECT min(pattern) FROM pats WHERE pats.v = 'block' AND regexp_matches(p.low, re)) AS pattern,
+             (SELECT count(*) FROM pats WHERE pats.v = 'allow' AND regexp_matches(p.low, re)) AS excepted FROM p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN pattern IS NOT NULL AND excepted = 0 THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM j
+"""
+
+ORACLES = {"op1_host_rules": HOST_RULES, "op3_voronoi_topk": VORONOI_TOPK, "op4_source_mixing": SOURCE_MIXING, "op11_phrase_mining": PHRASES, "op12_url_filters": URL_FILTERS}
