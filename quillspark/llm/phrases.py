@@ -39,6 +39,8 @@ SCALE = 1_000_000
 WINDOW_WORDS = 1 << 20
 PACK_BYTES = 6 << 20
 DUCKDB_MEMORY = "256MB"
+BUCKETS_A_PARTITION = 16
+INSERT_ROWS = 1 << 18
 SALTS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 COUNT = "decimal(15,0)"  # a count; scale * count * count has at most 38 digits
@@ -179,35 +181,59 @@ def _packs(buckets: int, longest: int):
 
 
 def _count(least: int):
-    """Sums of all packs of a partition; (lang, 0, null, number of words) beside
-    the phrases of ``least`` occurrences or more."""
+    """Sums of the packs of a bucket, bucket by bucket (they come in their order);
+    (lang, 0, null, number of words) beside the phrases of ``least`` or more."""
     kinds = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def run(batches):
         import duckdb
 
         codec, totals = pa.Codec("zstd"), Counter()
-        with tempfile.TemporaryDirectory() as folder, duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": folder, "preserve_insertion_order": False}) as db:
-            db.execute("CREATE TABLE grams (lang VARCHAR, phrase VARCHAR, f BIGINT)")
-            for batch in batches:
-                for row in range(len(batch)):
-                    _, lang, n, size, phrases, weights = (batch.column(c)[row] for c in range(6))
-                    if not phrases.is_valid:
-                        totals[lang.as_py()] += size.as_py()
-                        continue
-                    raw = np.frombuffer(codec.decompress(phrases.as_buffer(), size.as_py()), np.uint8)
-                    bounds = np.append(0, np.flatnonzero(raw == 10) + 1).astype(np.int64)
-                    given = pa.table({"phrase": pa.LargeStringArray.from_buffers(n.as_py(), pa.py_buffer(bounds), pa.py_buffer(raw)), "f": pa.array(np.frombuffer(codec.decompress(weights.as_buffer(), 8 * n.as_py()), np.int64))})
-                    db.register("given", given)
-                    db.execute("INSERT INTO grams SELECT ?, phrase, f FROM given", [lang.as_py()])
-                    db.unregister("given")
-            if totals:
-                yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.nulls(len(totals), pa.string()), pa.array(totals.values(), pa.int64())], schema=kinds)
+
+        def unpacked(lang, n, size, phrases, weights):
+            raw = np.frombuffer(codec.decompress(phrases, size), np.uint8)
+            bounds = np.append(0, np.flatnonzero(raw == 10) + 1).astype(np.int64)
+            f = np.frombuffer(codec.decompress(weights, 8 * n), np.int64)
+            return pa.table([pa.repeat(lang, n), pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(raw)), pa.array(f)], ["lang", "phrase", "f"])
+
+        def insert(held):
+            db.register("given", pa.concat_tables(held))
+            db.execute("INSERT INTO grams SELECT * FROM given")
+            db.unregister("given")
+            held.clear()
+
+        def counted():
             # Every word of a phrase is followed by a space, the last one by a line end, too.
-            found = db.sql(f"SELECT lang, (length(phrase) - length(replace(phrase, ' ', '')))::INTEGER AS words, rtrim(phrase, ' ' || chr(10)) AS phrase, sum(f)::BIGINT AS f FROM grams GROUP BY lang, grams.phrase HAVING sum(f) >= {least:d}")
+            words = "(length(phrase) - length(replace(phrase, ' ', '')))::INTEGER"
+            found = db.sql(f"SELECT lang, {words} AS words, rtrim(phrase, ' ' || chr(10)) AS phrase, sum(f)::BIGINT AS f FROM grams GROUP BY lang, grams.phrase HAVING sum(f) >= {least:d}")
             for part in found.to_arrow_reader(100_000):
                 yield part.cast(kinds)
 
+        with tempfile.TemporaryDirectory() as folder, duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": folder, "preserve_insertion_order": False}) as db:
+            held, rows, now = [], 0, None
+            for batch in batches:
+                for bucket, lang, n, size, phrases, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if bucket != now:
+                        if held:
+                            insert(held)
+                        if now is not None:
+                            yield from counted()
+                        db.execute("CREATE OR REPLACE TABLE grams (lang VARCHAR, phrase VARCHAR, f BIGINT)")
+                        rows, now = 0, bucket
+                    if phrases is None:
+                        totals[lang] += size
+                        continue
+                    held.append(unpacked(lang, n, size, phrases, weights))
+                    rows += n
+                    if rows >= INSERT_ROWS:
+                        insert(held)
+                        rows = 0
+            if held:
+                insert(held)
+            if now is not None:
+                yield from counted()
+            yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.nulls(len(totals), pa.string()), pa.array(totals.values(), pa.int64())], schema=kinds)
+
     return run
 
 
@@ -215,9 +241,9 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text",
     """(lang, words, phrase, f): every phrase of up to ``longest`` words that
     occurs ``least`` times or more, and rows with words = 0 and a null phrase,
     whose f sums to all words of the language."""
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packs = distinct_pieces(docs, text_col, lang_col).mapInArrow(_packs(buckets, longest), "bucket int, lang string, n int, size long, phrases binary, weights binary")
-    return packs.repartition("bucket").mapInArrow(_count(least), "lang string, words int, phrase string, f long")
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(least), "lang string, words int, phrase string, f long")
 
 
 def scored(counts: DataFrame, longest: int = LONGEST, inside_percent: int = INSIDE_PERCENT, scale: int = SCALE) -> DataFrame:
