@@ -39,7 +39,7 @@ SCALE = 1_000_000
 WINDOW_WORDS = 1 << 20
 PACK_BYTES = 6 << 20
 DUCKDB_MEMORY = "256MB"
-BUCKETS_A_PARTITION = 16
+BUCKETS_A_PARTITION = 4
 INSERT_ROWS = 1 << 18
 SALTS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -129,42 +129,45 @@ def weighted_ngrams(pieces: pa.Array, m: np.ndarray, longest: int) -> Iterator[t
             yield texts if len(seen) == len(texts) else texts.take(pa.array(seen)), np.add.reduceat(m[own[at]][order], head), sums_of[seen]
 
 
-def _n_words(part: pa.Table, m: np.ndarray) -> int:
+def _n_words(part: pa.Table) -> int:
     data, offsets = tb.buffers(part.column("piece"))
-    return int((np.diff(np.append(0, np.cumsum(data == 32))[offsets]) * m).sum())
+    return int((np.diff(np.append(0, np.cumsum(data == 32))[offsets]) * part.column("m").to_numpy()).sum())
 
 
 def _packs(buckets: int, longest: int):
-    """Rows (bucket, lang, n, size, phrases, weights): n phrases that end in line
-    ends, ``size`` bytes before compression, and their weights. A row without
-    phrases has the number of all words in ``size``."""
-    names = ["bucket", "lang", "n", "size", "phrases", "weights"]
-    kinds = pa.schema(list(zip(names, [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)))
+    """Rows (bucket, langs, runs, size, phrases, weights): phrases that end in line
+    ends, ``size`` bytes before compression, their weights, and how many in turn
+    are of which language. A row without phrases has the number of all words of
+    its language in ``size``."""
+    kinds = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("runs", pa.list_(pa.int32())), ("size", pa.int64()), ("phrases", pa.binary()), ("weights", pa.binary())])
 
     def of(rows: pa.Table):
         codec = pa.Codec("zstd", 3)
         rows = rows.sort_by("lang").combine_chunks()
         runs = pc.run_end_encode(rows.column("lang").combine_chunks())
-        lo = 0
-        for hi, lang in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
-            part = rows.slice(lo, hi - lo)
+        langs, out, lo = runs.values.to_pylist(), [], 0
+        texts, weights, buckets_of, lang_of = [], [], [], []
+        for k, (hi, lang) in enumerate(zip(runs.run_ends.to_pylist(), langs, strict=True)):
+            part, salt = rows.slice(lo, hi - lo), zlib.crc32(lang.encode())
             lo = hi
-            m = part.column("m").combine_chunks().to_numpy()
-            salt = np.uint64(zlib.crc32(lang.encode()))
-            found = list(weighted_ngrams(part.column("piece").combine_chunks(), m, longest))
-            out = [(int(salt) % buckets, lang, 0, _n_words(part, m), None, None)]
-            if found:
-                texts = _joined(pa.chunked_array([t for t, _, _ in found]).combine_chunks(), pa.scalar("", pa.large_string()), "\n")
-                weight = np.concatenate([w for _, w, _ in found])
-                bucket = (tb.mix(np.concatenate([h for _, _, h in found]) + salt) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                data, offs = tb.buffers(texts.take(pa.array(order)))
-                weight, bucket = weight[order], bucket[order]
-                head = np.flatnonzero(np.append(True, np.diff(bucket) > 0))
-                for a, b in zip(head.tolist(), [*head[1:].tolist(), len(bucket)], strict=True):
-                    packed = codec.compress(pa.py_buffer(data[offs[a] : offs[b]]), asbytes=True)
-                    out.append((int(bucket[a]), lang, b - a, int(offs[b] - offs[a]), packed, codec.compress(pa.py_buffer(np.ascontiguousarray(weight[a:b])), asbytes=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+            out.append((salt % buckets, [lang], [0], _n_words(part), None, None))
+            for t, w, h in weighted_ngrams(part.column("piece").combine_chunks(), part.column("m").combine_chunks().to_numpy(), longest):
+                texts.append(t)
+                weights.append(w)
+                buckets_of.append((tb.mix(h + np.uint64(salt)) % np.uint64(buckets)).astype(np.int32))
+                lang_of.append(np.full(len(w), k, np.int32))
+        if texts:
+            bucket, of_lang = np.concatenate(buckets_of), np.concatenate(lang_of)
+            order = np.argsort(bucket, kind="stable")  # languages stay in turn within a bucket
+            whole = _joined(pa.chunked_array(texts).combine_chunks(), pa.scalar("", pa.large_string()), "\n")
+            data, offs = tb.buffers(whole.take(pa.array(order)))
+            weight, bucket, of_lang = np.concatenate(weights)[order], bucket[order], of_lang[order]
+            head = np.flatnonzero(np.append(True, np.diff(bucket) > 0))
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(bucket)], strict=True):
+                which, n = np.unique(of_lang[a:b], return_counts=True)
+                packed = codec.compress(pa.py_buffer(data[offs[a] : offs[b]]), asbytes=True)
+                out.append((int(bucket[a]), [langs[k] for k in which.tolist()], n.tolist(), int(offs[b] - offs[a]), packed, codec.compress(pa.py_buffer(weight[a:b]), asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
     def run(batches):
         held, size = [], 0
@@ -190,11 +193,12 @@ def _count(least: int):
 
         codec, totals = pa.Codec("zstd"), Counter()
 
-        def unpacked(lang, n, size, phrases, weights):
+        def unpacked(langs, runs, size, phrases, weights):
+            n = sum(runs)
             raw = np.frombuffer(codec.decompress(phrases, size), np.uint8)
             bounds = np.append(0, np.flatnonzero(raw == 10) + 1).astype(np.int64)
             f = np.frombuffer(codec.decompress(weights, 8 * n), np.int64)
-            return pa.table([pa.repeat(lang, n), pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(raw)), pa.array(f)], ["lang", "phrase", "f"])
+            return pa.table([pa.array(langs).take(pa.array(np.repeat(np.arange(len(runs)), runs))), pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(raw)), pa.array(f)], ["lang", "phrase", "f"])
 
         def insert(held):
             db.register("given", pa.concat_tables(held))
@@ -212,7 +216,7 @@ def _count(least: int):
         with tempfile.TemporaryDirectory() as folder, duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": folder, "preserve_insertion_order": False}) as db:
             held, rows, now = [], 0, None
             for batch in batches:
-                for bucket, lang, n, size, phrases, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for bucket, langs, runs, size, phrases, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if bucket != now:
                         if held:
                             insert(held)
@@ -221,10 +225,10 @@ def _count(least: int):
                         db.execute("CREATE OR REPLACE TABLE grams (lang VARCHAR, phrase VARCHAR, f BIGINT)")
                         rows, now = 0, bucket
                     if phrases is None:
-                        totals[lang] += size
+                        totals[langs[0]] += size
                         continue
-                    held.append(unpacked(lang, n, size, phrases, weights))
-                    rows += n
+                    held.append(unpacked(langs, runs, size, phrases, weights))
+                    rows += sum(runs)
                     if rows >= INSERT_ROWS:
                         insert(held)
                         rows = 0
@@ -242,7 +246,7 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text",
     occurs ``least`` times or more, and rows with words = 0 and a null phrase,
     whose f sums to all words of the language."""
     buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = distinct_pieces(docs, text_col, lang_col).mapInArrow(_packs(buckets, longest), "bucket int, lang string, n int, size long, phrases binary, weights binary")
+    packs = distinct_pieces(docs, text_col, lang_col).mapInArrow(_packs(buckets, longest), "bucket int, langs array<string>, runs array<int>, size long, phrases binary, weights binary")
     return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(least), "lang string, words int, phrase string, f long")
 
 
