@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.operators.classification import bce, curve
 
@@ -97,8 +96,8 @@ def best_thresholds(rows: DataFrame, by: list[str], variant: str = "optimizer",
     p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.when(F.col("pos") > 0, F.col("tp") / F.col("pos")).otherwise(0.0)
     f1 = 2 * p * r / (p + r + 1e-10) if variant == "report" else F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     c = c.withColumn("f1", F.round(f1, 12))
-    order = Window.partitionBy(*by).orderBy(F.desc("f1"), "threshold")
-    best = c.withColumn("_i", F.row_number().over(order)).where("_i = 1")
+    # A partial maximum a task instead of a sort of each class.
+    best = c.groupBy(*by).agg(F.max_by(F.struct("threshold", "f1", "pos", "neg"), F.struct("f1", -F.col("threshold"))).alias("_b")).select(*by, "_b.*")
     t, rows_n = F.col("threshold"), F.col("pos") + F.col("neg")
     t = {
         "optimizer": F.when((F.col("pos") == 0) | (rows_n < min_samples), 0.5).otherwise(t),

@@ -1,15 +1,16 @@
 """Classification metrics as conditional sums and tie-aware cumulative curves.
 
 Curves first sum the rows of every distinct score, so that the running sums
-over scores see one row a score and group; with ``bins`` scores are rounded
-first, which bounds that number whatever the input.
+over scores see one row a score and group (with ``bins``, rounded scores), and
+then run over range partitions of all groups.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillspark.operators.splits import running_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -48,13 +49,20 @@ def macro_micro(rows: DataFrame, by: str, threshold: float = 0.5, prob: str = "p
 
 
 def curve(rows: DataFrame, by: list[str], prob: str = "prob", bins: int | None = None) -> DataFrame:
-    """Points (by, threshold, tp, fp, pos, neg, prev_tp, prev_fp) at distinct scores, descending."""
+    """Points (by, threshold, tp, fp, pos, neg, prev_tp, prev_fp) at distinct scores, descending.
+
+    Running sums go over range partitions of (by, threshold), so no task holds a class.
+    """
     score = F.col(prob) if bins is None else F.round(F.col(prob) * bins) / bins
-    grouped = rows.select(*by, score.alias("threshold"), "label").groupBy(*by, "threshold").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    out = grouped.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)})
-    return out.withColumns({"prev_tp": F.col("tp") - F.col("p"), "prev_fp": F.col("fp") - F.col("n")}).drop("p", "n")
+    grouped = rows.select(*by, score.alias("threshold"), "label").groupBy(*by, "threshold").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
+    return points(grouped, by)
+
+
+def points(grouped: DataFrame, by: list[str]) -> DataFrame:
+    """The curve of rows (by, threshold, p, n): positives and negatives of each score."""
+    out = running_sums(grouped, by, [F.desc("threshold")], ["p", "n"])
+    named = {"run_p": "tp", "run_n": "fp", "all_p": "pos", "all_n": "neg"}
+    return out.withColumnsRenamed(named).withColumns({"prev_tp": F.col("tp") - F.col("p"), "prev_fp": F.col("fp") - F.col("n")}).drop("p", "n")
 
 
 def curve_areas(rows: DataFrame, by: list[str], prob: str = "prob", bins: int | None = None) -> DataFrame:

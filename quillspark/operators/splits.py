@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,19 +15,56 @@ def md5_order(seed: int | str, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]))
 
 
-def positions(df: DataFrame, *order: Column | str, parts: int = 64) -> DataFrame:
+def _ranged(df: DataFrame, order: list[Column | str], parts: int | None) -> DataFrame:
+    """``df`` in numbered range partitions (_p) of ``order``, as many as the session
+    shuffles to. Written once: a range partitioning computed anew could place rows
+    otherwise."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Scratch(df.sparkSession, "ranges").keep(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def _before(totals: list[tuple[int, int]]) -> Column:
+    """What lies before the partition _p, from (partition, total) in their order."""
+    entries, total = [], 0
+    for part, n in totals:
+        entries += [F.lit(part), F.lit(total)]
+        total += n
+    return F.element_at(F.create_map(*entries), F.col("_p")).cast("long") if entries else F.lit(0).cast("long")
+
+
+def positions(df: DataFrame, *order: Column | str, parts: int | None = None) -> DataFrame:
     """``df`` with ``pos`` (from 0) in a total order, without one task seeing all
     rows: range partitions are numbered and their sizes added up."""
-    # Written once: a range partitioning computed anew could place rows otherwise.
-    ranged = Scratch(df.sparkSession, "positions").keep(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
-    before, total = [], 0
-    for row in ranged.groupBy("_p").count().orderBy("_p").collect():  # ``parts`` rows at most
-        before += [F.lit(row["_p"]), F.lit(total)]
-        total += row["count"]
-    skip = F.element_at(F.create_map(*before), F.col("_p")) if before else F.lit(0)
+    ranged = _ranged(df, list(order), parts)
+    sizes = ranged.groupBy("_p").count().orderBy("_p").collect()  # a row a partition
+    skip = _before([(r["_p"], r["count"]) for r in sizes])
     return ranged.withColumn("pos", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + skip).drop("_p")
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[Column | str], values: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with run_<v> and all_<v> for each v of ``values``, columns of integers
+    of 0 or more: the sum of v over the rows of the group ``by`` up to this one in
+    ``order``, itself included, and over the whole group. Null keys are groups.
+
+    No task holds a group: all rows stand in one order of (by, order) in range
+    partitions. A first pass adds each partition up, a second sums within it and
+    adds what lies before; a group's sums are those less what lies before the
+    group. Rows with equal keys and order come in any order.
+    """
+    keys = [*[F.col(c) for c in by], *order]
+    ranged = _ranged(df, keys, parts)
+    totals = ranged.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values]).orderBy("_p").collect()  # a row a partition
+    within = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    runs = {f"run_{v}": F.sum(v).over(within) + _before([(r["_p"], r[v] or 0) for r in totals]) for v in values}
+    if not by:
+        return ranged.withColumns(runs | {f"all_{v}": F.lit(sum(r[v] or 0 for r in totals)).cast("long") for v in values}).drop("_p")
+    summed = Scratch(df.sparkSession, "sums").keep(ranged.withColumns(runs).drop("_p"), "runs")
+    groups = summed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(*[F.min(F.col(f"run_{v}") - F.col(v)).alias(f"_first_{v}") for v in values], *[F.sum(v).alias(f"all_{v}") for v in values])
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    out = summed.join(groups, same).withColumns({f"run_{v}": F.col(f"run_{v}") - F.col(f"_first_{v}") for v in values})
+    return out.select(*df.columns, *[f"run_{v}" for v in values], *[f"all_{v}" for v in values])
+
+
 def positions_within(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
     """``df`` with ``pos`` (from 0) and ``size`` of its group ``by``, in that order,
     without one task a group: places in the order of all rows less the group's first."""
