@@ -34,7 +34,7 @@ SCALE = 1000
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 LONG_WORD = 48
 BLOCK_TEXTS = 1000
-BLOCKS = "ids array<long>, n_words array<long>, indptr array<int>, indices array<int>, counts array<int>"
+BLOCKS = "ids array<long>, n_words array<long>, indptr array<int>, indices binary, counts binary"
 
 # Words are letters a-z, digits and everything beyond ASCII.
 BETWEEN = np.ones(256, bool)
@@ -86,6 +86,22 @@ def hashed_ngrams(column: pa.Array, buckets: int = BUCKETS, most: int = NGRAMS)
         yield i, j, first, np.concatenate(whose), np.concatenate(found).astype(np.int64)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values, np.uint32), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed.as_buffer(), 4 * n, codec="zstd"), np.uint32).astype(np.int64)
+
+
+def csr(row: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indptr, indices, counts) of a block. Its indices are stored as gaps in the
+    order of (row, bucket), which compress to about a byte a cell."""
+    indptr = row.column("indptr").flatten().to_numpy()
+    n = int(indptr[-1])
+    return indptr, np.cumsum(_unpacked(row.column("indices")[0], n)) % buckets, _unpacked(row.column("counts")[0], n)
+
+
 def _blocks(buckets: int, most: int):
     def run(batches):
         for batch in batches:
@@ -96,7 +112,8 @@ def _blocks(buckets: int, most: int):
                     at = np.searchsorted(cells, np.arange(j - i + 1) * buckets)
                     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
                     ids = rows.column("doc_id").slice(i, j - i)
-                    yield pa.RecordBatch.from_arrays([one(ids, None), one(np.diff(first), pa.int64()), one(at, pa.int32()), one(cells % buckets, pa.int32()), one(counts, pa.int32())], ["ids", "n_words", "indptr", "indices", "counts"])
+                    packed = [pa.array([_packed(x)], pa.binary()) for x in (np.diff(cells, prepend=0), counts)]
+                    yield pa.RecordBatch.from_arrays([one(ids, None), one(np.diff(first), pa.int64()), one(at, pa.int32()), *packed], ["ids", "n_words", "indptr", "indices", "counts"])
 
     return run
 
@@ -112,8 +129,8 @@ def _sums(buckets: int):
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
             for b in range(len(batch)):
-                row = batch.slice(b, 1)
-                np.add.at(sums, row.column("indices").flatten().to_numpy(), row.column("counts").flatten().to_numpy())
+                _, indices, counts = csr(batch.slice(b, 1), buckets)
+                np.add.at(sums, indices, counts)
         hit = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(sums[hit])], ["bucket", "n"])
 
@@ -122,7 +139,7 @@ def _sums(buckets: int):
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Features in each bucket: a partial sum a task, ``buckets`` numbers in all."""
-    rows = blocks.select("indices", "counts").mapInArrow(_sums(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("indptr", "indices", "counts").mapInArrow(_sums(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros(buckets, np.int64)
     for row in rows:  # ``buckets`` rows at most
         sums[row.bucket] = row.n
@@ -141,10 +158,9 @@ def _products(gain: np.ndarray):
         for batch in batches:
             for b in range(len(batch)):
                 row = batch.slice(b, 1)
-                flat = {c: row.column(c).flatten() for c in row.schema.names}
-                at, counts = flat["indptr"].to_numpy(), flat["counts"].to_numpy().astype(np.int64)
-                summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
-                yield pa.RecordBatch.from_arrays([flat["ids"], flat["n_words"], pa.array(summed(counts), pa.int64()), pa.array(summed(counts * gain[flat["indices"].to_numpy()]), pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
+                indptr, indices, counts = csr(row, len(gain))
+                summed = lambda x: pa.array(np.diff(np.append(0, np.cumsum(x))[indptr]), pa.int64())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), row.column("n_words").flatten(), summed(counts), summed(counts * gain[indices])], ["doc_id", "n_words", "n_features", "weight"])
 
     return run
 

@@ -217,12 +217,13 @@ def test_crc_of_every_word_length():
 def test_matrix_rows_are_documents(spark, docs, texts):
     from quillspark.scratch import Scratch
 
-    blocks = importance.count_matrix(docs, Scratch(spark, "t")).collect()
+    blocks = importance.count_matrix(docs, Scratch(spark, "t")).toArrow().to_batches()
     got = {}
-    for b in blocks:
-        for k, i in enumerate(b.ids):
-            lo, hi = b.indptr[k], b.indptr[k + 1]
-            got[i] = Counter(dict(zip(b.indices[lo:hi], b.counts[lo:hi], strict=True)))
+    for row in (b.slice(k, 1) for b in blocks for k in range(len(b))):
+        indptr, indices, counts = (x.tolist() for x in importance.csr(row, importance.BUCKETS))
+        for k, i in enumerate(row.column("ids").flatten().to_pylist()):
+            lo, hi = indptr[k], indptr[k + 1]
+            got[i] = Counter(dict(zip(indices[lo:hi], counts[lo:hi], strict=True)))
     assert got == {i: Counter(brute_features(t)[1]) for i, t in enumerate(texts)}
 
 
