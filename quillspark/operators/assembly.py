@@ -124,30 +124,52 @@ def batches(rows: DataFrame, size: int, columns: list[str], *order: str) -> Data
     return out.select("batch", F.size("_r").alias("n"), *[F.col("_r")[c].alias(c) for c in columns])
 
 
-def evidence_bundle(rows: DataFrame, prob: str = "prob", calibrated: str = "prob_cal", by: str = "cid") -> DataFrame:
-    """(scope, by, n, n_pos, auprc, auprc_cal, threshold, figures there and at 0.5,
-    ece_before, ece_after): one row a topic and one over all. Areas of one-class
-    groups are null, so that means leave them out."""
-    one = F.lit("all")
-    every = rows.withColumn("scope", F.lit("topic")).withColumn("_k", F.col(by).cast("string")).unionByName(rows.withColumn("scope", F.lit("overall")).withColumn("_k", one))
-    keys = ["scope", "_k"]
-    sizes = every.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("n_pos"))
-    area = lambda p, name: classification.curve_areas(every.withColumn("prob", F.col(p)), keys).select(*keys, F.col("average_precision").alias(name))
-    best = _best_f1(every.withColumn("prob", F.col(calibrated)), keys)
-    half = classification.prf(every.withColumn("prob", F.col(calibrated)), keys).select(*keys, *[F.round(c, 9).alias(f"{c}_half") for c in ("precision", "recall", "f1")])
-    errors = calibration.ece(every, keys, prob=prob).withColumnRenamed("ece", "ece_before").join(calibration.ece(every, keys, prob=calibrated).withColumnRenamed("ece", "ece_after"), keys)
-    out = sizes
-    for part in (area(prob, "auprc"), area(calibrated, "auprc_cal"), best, half, errors):
-        out = out.join(part, keys, "left")
+def evidence_bundle(rows: DataFrame, prob: str = "prob", calibrated: str = "prob_cal", by: str = "cid", bins: int = 10) -> DataFrame:
+    """(scope, by, n, n_pos, auprc, auprc_cal, threshold, f1, precision_best,
+    recall_best, precision_half, recall_half, f1_half, ece_before, ece_after): one
+    row a topic and one over all. Figures at the threshold of the best F1 (the
+    smaller one of ties) and at 0.5 are of the calibrated scores. Areas of
+    one-class groups are null, so that means leave them out.
+
+    Rows are read once, as counts of each distinct score by topic and over all;
+    every figure comes from the running sums over these counts.
+    """
+    sides = F.inline(F.array(F.struct(F.lit("raw").alias("side"), F.col(prob).alias("threshold")), F.struct(F.lit("cal").alias("side"), F.col(calibrated).alias("threshold"))))
+    flat = rows.select(F.col(by).cast("string").alias("_k"), "label", sides)
+    k, side, x = F.col("_k"), F.col("side"), F.col("threshold")
+    counts = flat.groupingSets([[k, side, x], [side, x]], k, side, x).agg(F.grouping("_k").alias("whole"), F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
+    named = counts.select(F.when(F.col("whole") == 1, "overall").otherwise("topic").alias("scope"), F.when(F.col("whole") == 1, "all").otherwise(k).alias("_k"), "side", "threshold", "p", "n")
+    c = classification.points(named, ["scope", "_k", "side"])
+    tp, fp, pos = F.col("tp"), F.col("fp"), F.col("pos")
+    p, n = tp - F.col("prev_tp"), fp - F.col("prev_fp")
+    precision, recall = tp / (tp + fp), F.coalesce(tp / F.nullif(pos, F.lit(0)), F.lit(0.0))
+    best = F.struct(F.round(2 * tp / (tp + fp + pos), 9).alias("f1"), (-x).alias("_down"), x.alias("threshold"), F.round(precision, 9).alias("precision"), F.round(recall, 9).alias("recall"))
+    half = x >= 0.5
+    binned = c.groupBy("scope", "_k", "side", calibration.bin_of(x, bins).alias("bin")).agg(
+        F.sum(p / F.nullif(pos, F.lit(0)) * precision).alias("area"), F.max(best).alias("best"), F.max("pos").alias("pos"), F.max("neg").alias("neg"),
+        F.sum(F.when(half, p).otherwise(0)).alias("hit"), F.sum(F.when(half, n).otherwise(0)).alias("false"),
+        F.sum(p + n).alias("rows"), F.abs(F.sum(p) - F.sum(x * (p + n))).alias("gap"),
+    )
+    of = lambda name, value: F.when(F.col("side") == name, F.col(value))
+    area = lambda name: F.round(F.sum(of(name, "area")), 9)
+    error = lambda name: F.round(F.sum(of(name, "gap")) / F.sum(of(name, "rows")), 9)
+    one = binned.groupBy("scope", "_k").agg(
+        F.max(F.col("pos") + F.col("neg")).alias("n"), F.max("pos").alias("n_pos"), area("raw").alias("auprc"), area("cal").alias("auprc_cal"), F.max(of("cal", "best")).alias("best"),
+        F.sum(of("cal", "hit")).alias("tp"), F.sum(of("cal", "false")).alias("fp"), error("raw").alias("ece_before"), error("cal").alias("ece_after"),
+    )
+    one = classification.with_prf(one.withColumns({"fn": F.col("n_pos") - F.col("tp"), "tn": F.col("n") - F.col("n_pos") - F.col("fp")}))
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
-    return out.withColumns({c: F.when(both, F.col(c)) for c in ("auprc", "auprc_cal")}).withColumnRenamed("_k", by)
+    return one.select(
+        "scope", F.col("_k").alias(by), "n", "n_pos", *[F.when(both, F.col(a)).alias(a) for a in ("auprc", "auprc_cal")], "best.threshold", "best.f1", F.col("best.precision").alias("precision_best"),
+        F.col("best.recall").alias("recall_best"), *[F.round(m, 9).alias(f"{m}_half") for m in ("precision", "recall", "f1")], "ece_before", "ece_after",
+    )
 
 
-def _best_f1(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, threshold, f1): the distinct score with the best F1, the smaller one of ties."""
-    c = classification.curve(rows, keys)
-    f1 = F.round(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos")), 9)
-    return c.withColumn("f1", f1).groupBy(*keys).agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("threshold"), F.max("f1").alias("f1"))
+def macro_report(bundle: DataFrame) -> DataFrame:
+    """One row: the number of topics of an ``evidence_bundle`` and the means of their
+    figures; a mean leaves nulls out, and is null where all are."""
+    names = ["auprc", "auprc_cal", "f1", "precision_best", "recall_best", "f1_half", "precision_half", "recall_half"]
+    return bundle.where("scope = 'topic'").agg(F.count("*").alias("topics"), *[F.round(F.avg(c), 6).alias(c) for c in names])
 
 
 def calibrated_rows(rows: DataFrame, by: str = "cid", bins: int = 10) -> DataFrame:
@@ -166,13 +188,14 @@ def temperature_spread(rows: DataFrame, by: str = "cid", fold: str = "fold") ->
     return fitted.where("_k IS NOT NULL").groupBy(F.split("_k", r"\|")[0].alias(by)).agg(F.round(F.avg("temperature"), 6).alias("mean"), F.round(F.stddev_pop("temperature"), 6).alias("std"), F.count("*").alias("folds"))
 
 
-def support_edges(scores: DataFrame, k: int = 15) -> DataFrame:
+def support_edges(scores: DataFrame, k: int = 15, label: str | None = None) -> DataFrame:
     """The k best passages of each pair by calibrated probability, with the
-    attributes [logit, prob_cal, dense, 1/(1 + dense rank), 1/(1 + sparse rank)]."""
+    attributes [logit, prob_cal, dense, 1/(1 + dense rank), 1/(1 + sparse rank)]
+    and, with ``label``, whether that column is 1."""
     order = Window.partitionBy(*KEYS).orderBy(F.desc("prob_cal"), "sent_idx")
     inverse = lambda c: F.coalesce(1 / (F.col(c) + 1), F.lit(0.0))
     x = F.array(*[F.round(F.coalesce(v.cast("double"), F.lit(0.0)), 9) for v in (F.col("logit"), F.col("prob_cal"), F.col("dense"), inverse("dense_rank"), inverse("sparse_rank"))])
-    return scores.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k).select("doc_id", "sent_idx", "cid", x.alias("attrs"))
+    return scores.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k).select("doc_id", "sent_idx", "cid", x.alias("attrs"), *([F.coalesce((F.col(label) == 1).cast("int"), F.lit(0)).alias("label")] if label else []))
 
 
 def completed_pairs(nodes: DataFrame, edges: DataFrame, topics: DataFrame) -> DataFrame:

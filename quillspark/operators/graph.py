@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import HEDGE_CUES, NEGATION_CUES, duration_days, has_cue, inverse_rank
+from quillspark.functions.text import HEDGE_CUES, NEGATION_CUES, duration_days, has_cue
 
 
 def passage_nodes(passages: DataFrame) -> DataFrame:
@@ -29,13 +29,6 @@ def supports_edges(scores: DataFrame, passages: DataFrame) -> DataFrame:
     return scores.join(cues, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "cid", attrs.alias("attrs"), (F.col("prob") >= 0.5).cast("int").alias("label"))
 
 
-def retrieval_edges(candidates: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of a pair with (prob, standardised fused score, inverse ranks)."""
-    order = Window.partitionBy("doc_id", "cid").orderBy(F.desc("prob"), "sent_idx")
-    top = candidates.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k)
-    return top.select("doc_id", "cid", "sent_idx", "prob", "score_z", F.round(inverse_rank(F.col("rank_dense")), 9).alias("inv_d"), F.round(inverse_rank(F.col("rank_sparse")), 9).alias("inv_s"))
-
-
 def next_edges(rows: DataFrame, by: str, order: str) -> DataFrame:
     """(by, src, dst) of neighbours in order."""
     nxt = F.lead(order).over(Window.partitionBy(by).orderBy(order))

@@ -165,7 +165,31 @@ _ECE = "SELECT scope, cid, round(sum(n * abs(acc - conf)) / sum(n), 9) AS v FROM
  FROM s JOIN a USING (scope, cid) JOIN b USING (scope, cid) JOIN t USING (scope, cid) JOIN h USING (scope, cid) JOIN u USING (scope, cid) JOIN w USING (scope, cid)"""
 )
 def evidence_bundle(spark, sf):
-    return assembly.evidence_bundle(predictions(spark, sf))
+    return assembly.evidence_bundle(predictions(spark, sf)).drop("precision_best", "recall_best")
+
+
+_STEPS = """SELECT cid, x, sum(p) OVER (PARTITION BY cid)::DOUBLE AS pos, sum(p + n) OVER (PARTITION BY cid) AS rows, p::DOUBLE AS p, sum(p) OVER down::DOUBLE AS tp, sum(n) OVER down::DOUBLE AS fp
+  FROM (SELECT cid, {x} AS x, sum(label) AS p, sum(1 - label) AS n FROM few GROUP BY ALL) WINDOW down AS (PARTITION BY cid ORDER BY x DESC ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(
+    PRED
+    + f""", few AS (SELECT doc_id, cid, label, prob, prob_cal FROM pred UNION ALL SELECT doc_id, 'never', 0, prob, prob_cal FROM pred WHERE label = 0),
+ a AS ({_STEPS.format(x="prob")}), b AS ({_STEPS.format(x="prob_cal")}),
+ u AS (SELECT cid, CASE WHEN any_value(pos) BETWEEN 1 AND any_value(rows) - 1 THEN round(sum(p / pos * tp / (tp + fp)), 9) END AS v FROM a GROUP BY cid),
+ w AS (SELECT cid, CASE WHEN any_value(pos) BETWEEN 1 AND any_value(rows) - 1 THEN round(sum(p / pos * tp / (tp + fp)), 9) END AS v FROM b GROUP BY cid),
+ f AS (SELECT cid, tp / (tp + fp) AS pr, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS re, round(2 * tp / (tp + fp + pos), 9) AS f1, x FROM b),
+ o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cid ORDER BY f1 DESC, x) = 1),
+ c AS (SELECT cid, {AT_HALF.replace("prob", "prob_cal")} FROM few GROUP BY cid),
+ h AS (SELECT cid, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS re, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f1 FROM c)
+ SELECT count(*) AS topics, round(avg(u.v), 6) AS auprc, round(avg(w.v), 6) AS auprc_cal, round(avg(o.f1), 6) AS f1, round(avg(o.pr), 6) AS precision_best, round(avg(o.re), 6) AS recall_best,
+  round(avg(h.f1), 6) AS f1_half, round(avg(h.pr), 6) AS precision_half, round(avg(h.re), 6) AS recall_half FROM u JOIN w USING (cid) JOIN o USING (cid) JOIN h USING (cid)"""
+)
+def macro_report(spark, sf):
+    """Means over topics, one of which, the negatives of all, never occurs and has no area."""
+    p = predictions(spark, sf).select("doc_id", "cid", "label", "prob", "prob_cal")
+    never = p.where("label = 0").withColumn("cid", F.lit("never"))
+    return assembly.macro_report(assembly.evidence_bundle(p.unionByName(never)))
 
 
 @query()

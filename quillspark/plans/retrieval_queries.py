@@ -101,8 +101,8 @@ RANKS = (
 def _channels(spark, sf, k=10):
     """Three rank lists; the dense one blends the two lexical scores, as no encoder is at hand."""
     d, t = documents(spark, sf), topics(spark, sf)
-    index = retrieval.lexical_index(d, t)
-    b, s = retrieval.bm25(d, t, index=index), retrieval.sparse_cosine(d, t)
+    index = retrieval.lexical_index(d, t, norms=True)
+    b, s = retrieval.bm25(d, t, index=index), retrieval.sparse_cosine(d, t, index)
     keys = ["doc_id", "cid", "sent_idx"]
     both = b.withColumnRenamed("score", "x").join(s.withColumnRenamed("score", "y"), keys).select(*keys, F.round(F.col("x") * 0.1 + F.col("y"), 6).alias("score"))
     parts = [fusion.channel_ranks(x, n, k) for x, n in ((b, "bm25"), (s, "sparse"), (both, "dense"))]
