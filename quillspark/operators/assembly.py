@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,20 +29,36 @@ def probability(row_columns: list[str], key: str) -> Column:
     return F.coalesce(*[F.col(c).cast("double") for c in dict.fromkeys([key, "prob"]) if c in row_columns], F.lit(0.0))
 
 
-def candidate_rows(candidates: DataFrame, passages: DataFrame, topics: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(doc_id, cid, sent_idx, rank, sent, topic, label) of the first k candidates;
-    a candidate without its passage or topic is left out (``unattached`` counts those)."""
+def _with_sides(candidates: DataFrame, passages: DataFrame, topics: DataFrame, k: int) -> DataFrame:
+    """The first k candidates with their passage and topic, and whether there is one."""
     first = candidates.where(F.col("rank") <= k).select(*KEYS, "sent_idx", "rank")
-    rows = first.join(passages.select("doc_id", "sent_idx", "sent"), ["doc_id", "sent_idx"]).join(topics.select("cid", F.col("text").alias("topic")), "cid")
+    sent = passages.select("doc_id", "sent_idx", "sent", F.lit(True).alias("_has_p"))
+    topic = topics.select("cid", F.col("text").alias("topic"), F.lit(True).alias("_has_t"))
+    return first.join(sent, ["doc_id", "sent_idx"], "left").join(topic, "cid", "left")
+
+
+def _missing() -> list[Column]:
+    absent = lambda c: F.count_if(F.col(c).isNull())
+    return [F.count(F.lit(1)).alias("candidates"), absent("_has_p").alias("no_passage"), absent("_has_t").alias("no_topic")]
+
+
+def candidate_rows(candidates: DataFrame, passages: DataFrame, topics: DataFrame, gold: DataFrame, k: int, observation: Observation | None = None) -> DataFrame:
+    """(doc_id, cid, sent_idx, rank, sent, topic, label) of the first k candidates; a
+    candidate without its passage or topic is left out. With an ``observation`` the
+    pass that makes the rows also counts ``candidates`` and those with ``no_passage``
+    and ``no_topic``."""
+    rows = _with_sides(candidates, passages, topics, k)
+    if observation is not None:
+        rows = rows.observe(observation, *_missing())
     marked = gold.select(*KEYS, "sent_idx").distinct().withColumn("label", F.lit(1))
-    return rows.join(marked, [*KEYS, "sent_idx"], "left").select(*KEYS, "sent_idx", "rank", "sent", "topic", F.coalesce("label", F.lit(0)).alias("label"))
+    rows = rows.where("_has_p AND _has_t").join(marked, [*KEYS, "sent_idx"], "left")
+    return rows.select(*KEYS, "sent_idx", "rank", "sent", "topic", F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def unattached(candidates: DataFrame, passages: DataFrame, topics: DataFrame, k: int) -> DataFrame:
-    """(missing, n): how many of the first k candidates lack a passage, and a topic."""
-    first = candidates.where(F.col("rank") <= k)
-    parts = [first.join(side, on, "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("missing"), "n") for name, side, on in (("passage", passages, ["doc_id", "sent_idx"]), ("topic", topics, ["cid"]))]
-    return parts[0].unionByName(parts[1])
+    """(missing, n): how many of the first k candidates lack a passage, and a topic; one pass."""
+    found = _with_sides(candidates, passages, topics, k).agg(*_missing())
+    return found.select(F.inline(F.array(F.struct(F.lit("passage").alias("missing"), F.col("no_passage").alias("n")), F.struct(F.lit("topic").alias("missing"), F.col("no_topic").alias("n")))))
 
 
 def attach_pairs(labels: DataFrame, docs: DataFrame, topics: DataFrame, missing: str = "drop") -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let
 from quillspark.operators.classification import bce, curve
 
 
@@ -49,34 +49,35 @@ def fit_temperature(logit: np.ndarray, label: np.ndarray, steps: int = 200, rate
     return t
 
 
-def temperatures(rows: DataFrame, by: str, min_samples: int = 10, digits: int = 4, logit: str = "logit") -> DataFrame:
+def temperatures(rows: DataFrame, by: str, min_samples: int = 10, digits: int = 4, logit: str = "logit", steps: int = 200, rate: float = 0.01) -> DataFrame:
     """(by, temperature): one fit a group, the overall fit for smaller ones.
 
-    Logits are rounded to ``digits`` and counted first: a fit then sees at most
-    the distinct values, however many rows a group has. The overall fit has a
-    null ``by``.
+    The steps of Adam on the mean negative log-likelihood, from T = 1 and held above
+    1e-3, are a fold over the sums of a group's logits, in built-in functions.
+    Logits are rounded to ``digits`` and counted first: a fit then sees at most the
+    distinct values, however many rows a group has. The overall fit has a null
+    ``by``. A null logit or label takes no part.
     """
-    cells = rows.groupBy(by, F.round(logit, digits).alias("x")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    known = rows.where(F.col(logit).isNotNull() & F.col("label").isNotNull())
+    cells = known.groupBy(by, F.round(logit, digits).alias("x")).agg(F.sum("label").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
     every = cells.groupBy("x").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).select(F.lit(None).cast(rows.schema[by].dataType).alias(by), "x", "pos", "n")
+    packed = cells.where(F.col(by).isNotNull()).unionByName(every).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("x", "pos", "n"))).alias("c"), F.sum("n").alias("rows"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n, pos = pdf.x.to_numpy(float), pdf.n.to_numpy(float), pdf.pos.to_numpy(float)
-        t = _weighted_temperature(x, pos, n)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "rows": [int(n.sum())], "t": [t]})
+    def slope(t: Column) -> Column:
+        miss = lambda e: e["n"] / (1 + F.exp(-F.greatest(F.least(e["x"] / t, F.lit(500.0)), F.lit(-500.0)))) - e["pos"]
+        return F.aggregate("c", F.lit(0.0), lambda a, e: a - miss(e) * e["x"]) / F.col("rows") / (t * t)
 
-    fitted = cells.unionByName(every).groupBy(by).applyInPandas(fit, f"{by} {rows.schema[by].dataType.simpleString()}, rows long, t double")
-    whole = fitted.where(F.col(by).isNull()).select(F.col("t").alias("_t"), F.lit(1).alias("_j"))
-    return fitted.withColumn("_j", F.lit(1)).join(F.broadcast(whole), "_j").select(by, F.when(F.col("rows") >= min_samples, F.col("t")).otherwise(F.col("_t")).alias("temperature"))
+    def moved(s: Column, i: Column, m: Column, v: Column) -> Column:
+        by_step = rate * (m / (1 - F.pow(F.lit(0.9), i))) / (F.sqrt(v / (1 - F.pow(F.lit(0.999), i))) + 1e-8)
+        return F.struct(F.greatest(F.lit(1e-3), s["t"] - by_step).alias("t"), m.alias("m"), v.alias("v"))
 
+    def step(s: Column, i: Column) -> Column:
+        return let(slope(s["t"]), lambda g: moved(s, i, 0.9 * s["m"] + 0.1 * g, 0.999 * s["v"] + 0.001 * g * g))
 
-def _weighted_temperature(x: np.ndarray, pos: np.ndarray, n: np.ndarray, steps: int = 200, rate: float = 0.01) -> float:
-    t, m, v, total = 1.0, 0.0, 0.0, n.sum()
-    for i in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x / t, -500, 500)))
-        g = float(((n * p - pos) * -x).sum() / total / (t * t))
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        t = max(1e-3, t - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8))
-    return float(t)
+    begin = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+    fitted = packed.where("rows > 0").select(by, "rows", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step)["t"].alias("t"))
+    whole = fitted.where(F.col(by).isNull()).select(F.col("t").alias("_t"))  # one row
+    return fitted.join(F.broadcast(whole)).select(by, F.when(F.col("rows") >= min_samples, F.col("t")).otherwise(F.col("_t")).alias("temperature"))
 
 
 VARIANTS = ("optimizer", "crossval", "endpoint", "report")

@@ -69,10 +69,12 @@ def cross_take(limits: DataFrame, negatives: DataFrame, passages: DataFrame, see
     return pool.join(limits.select(*KEYS, "n_cross"), KEYS).withColumn("_i", F.row_number().over(order)).where("_i <= n_cross").select(*KEYS, "other_id", "sent_idx", F.lit("cross").alias("source"))
 
 
-def examples(positives: DataFrame, candidates: DataFrame, passages: DataFrame, negatives: DataFrame, k: int = 100, per_pos: int = 6, seed: int | str = 0) -> DataFrame:
+def examples(positives: DataFrame, candidates: DataFrame, passages: DataFrame, negatives: DataFrame, k: int = 100, per_pos: int = 6, seed: int | str = 0, epoch: int = 0) -> DataFrame:
     """(doc_id, cid, other_id, sent_idx, source, label): the positives and their
     hard, random and cross-document negatives by quota; other_id is the
-    passage's document. Hard and random parts may share a passage."""
+    passage's document. Hard and random parts may share a passage. Each ``epoch``
+    draws other negatives, and the same ones whenever it is asked for."""
+    seed = f"{seed}.{epoch}" if epoch else seed
     limits = quotas(positives, per_pos)
     hard = take(hard_pool(candidates, positives, k).join(limits.select(*KEYS), KEYS, "left_semi"), limits, "n_hard", "hard", seed)
     same = take(random_pool(passages, positives), limits, "n_random", "random", seed).unionByName(hard)

@@ -8,7 +8,7 @@ from quillspark.functions.text import passage_table
 from quillspark.operators import assembly, graph, retrieval, splits
 from quillspark.plans.base import SQL as PARTS
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, with_sql
-from quillspark.plans.table_queries import AT_HALF, BIN, CHUNKS, PRED
+from quillspark.plans.table_queries import ADAM, AT_HALF, BIN, CHUNKS, PRED, RECURSIVE, WHOLE
 from quillspark.session import table
 
 Q, SQL = {}, {}
@@ -192,15 +192,22 @@ def macro_report(spark, sf):
     return assembly.macro_report(assembly.evidence_bundle(p.unionByName(never)))
 
 
-@query()
+@query(
+    RECURSIVE
+    + ADAM.format(k="cid", whole=WHOLE)
+    + f""", r AS (SELECT cid, label, t, 1 / (1 + exp(-logit)) AS raw, 1 / (1 + exp(-logit / greatest(t, 1e-4))) AS cal FROM pred JOIN fitted ON k = cid),
+ a AS (SELECT cid, round(sum(n * abs(acc - conf)) / sum(n), 9) AS e FROM (SELECT cid, {BIN.format(p="raw", b=10)} AS bin, count(*) AS n, avg(label) AS acc, avg(raw) AS conf FROM r GROUP BY ALL) GROUP BY cid),
+ b AS (SELECT cid, round(sum(n * abs(acc - conf)) / sum(n), 9) AS e FROM (SELECT cid, {BIN.format(p="cal", b=10)} AS bin, count(*) AS n, avg(label) AS acc, avg(cal) AS conf FROM r GROUP BY ALL) GROUP BY cid)
+ SELECT cid, round(t, 6) AS temperature, round(a.e, 6) AS ece_before, round(b.e, 6) AS ece_after, round(CASE WHEN a.e > 0 THEN (a.e - b.e) / a.e * 100 ELSE 0 END, 4) AS gain_pct FROM fitted JOIN a ON a.cid = k JOIN b USING (cid)"""
+)
 def calibration_fit(spark, sf):
-    """Adam fits; no SQL. Tests hold them against a plain loop."""
-    return assembly.calibrated_rows(predictions(spark, sf))
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    return assembly.calibrated_rows(predictions(spark, sf)).select("cid", r("temperature"), r("ece_before"), r("ece_after"), r("gain_pct", 4))
 
 
-@query()
+@query(RECURSIVE + ADAM.format(k="cid || '|' || fold", whole="") + " SELECT split_part(k, '|', 1) AS cid, round(avg(t), 5) AS mean, round(stddev_pop(t), 5) AS std, count(*) AS folds FROM fitted GROUP BY ALL")
 def fold_temperatures(spark, sf):
-    return assembly.temperature_spread(predictions(spark, sf))
+    return assembly.temperature_spread(predictions(spark, sf)).select("cid", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "folds")
 
 
 @query(

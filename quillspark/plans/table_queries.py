@@ -158,10 +158,20 @@ def calibration_comparison(spark, sf):
     return a.join(b, "cid").select("cid", "before", "after", F.round(F.col("before") - F.col("after"), 9).alias("gain"), F.round(calibration.improvement(F.col("before"), F.col("after")), 6).alias("gain_pct"))
 
 
-@query()
+# Adam's steps as a recursion over groups: k is a group, i a step.
+ADAM = """, cells AS (SELECT {k} AS k, round(logit, 4) AS x, sum(label)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM pred GROUP BY ALL{whole}),
+ adam AS (SELECT DISTINCT k, 0 AS i, 1.0::DOUBLE AS t, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM cells
+  UNION ALL SELECT k, i, greatest(1e-3, t - 0.01 * (m / (1 - pow(0.9::DOUBLE, i))) / (sqrt(v / (1 - pow(0.999::DOUBLE, i))) + 1e-8)) AS t, m, v FROM (
+   SELECT k, i + 1 AS i, t, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v FROM (
+    SELECT adam.k, i, t, m, v, sum((n / (1 + exp(-x / t)) - pos) * -x) / sum(n) / (t * t) AS g FROM adam JOIN cells ON cells.k = adam.k WHERE i < 200 GROUP BY adam.k, i, t, m, v))),
+ fitted AS (SELECT k, t FROM adam WHERE i = 200)"""
+RECURSIVE = PRED.replace("WITH", "WITH RECURSIVE", 1)
+WHOLE = " UNION ALL SELECT '*', round(logit, 4), sum(label)::DOUBLE, count(*)::DOUBLE FROM pred GROUP BY round(logit, 4)"
+
+
+@query(RECURSIVE + ADAM.format(k="cid", whole=WHOLE) + " SELECT nullif(k, '*') AS cid, round(t, 6) AS temperature FROM fitted")
 def temperature_fit(spark, sf):
-    """Adam fits; no SQL."""
-    return calibration.temperatures(predictions(spark, sf), "cid")
+    return calibration.temperatures(predictions(spark, sf), "cid").select("cid", F.round("temperature", 6).alias("temperature"))
 
 
 @query(PRED + " SELECT cid, round(avg(prob), 9) AS mean, round(stddev_pop(prob), 9) AS std FROM (SELECT cid, fold, avg(prob) AS prob FROM pred GROUP BY cid, fold) GROUP BY cid")
@@ -321,7 +331,28 @@ def xpost_negatives(spark, sf):
     return sampling.cross_take(limits, rows.where("label = 0"), T.passage_table(documents(spark, sf))).drop("source")
 
 
-@query()
+def _examples_sql(seed: str) -> str:
+    """The rows of sampling.examples from gold, bm25 and passages."""
+
+    def take(n: str, pool: str) -> str:
+        order = f"md5('{seed}|' || x.doc_id || '|' || x.cid || '|' || x.sent_idx), x.sent_idx"
+        placed = f"SELECT x.doc_id, x.cid, x.sent_idx, n_{n}, row_number() OVER (PARTITION BY x.doc_id, x.cid ORDER BY {order}) AS i FROM {pool} x JOIN q ON q.doc_id = x.doc_id AND q.cid = x.cid"
+        return f"SELECT doc_id, cid, doc_id, sent_idx, '{n}' FROM ({placed}) WHERE i <= n_{n}"
+
+    return f""", pos AS (SELECT DISTINCT doc_id, cid, sent_idx FROM gold), ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cid ORDER BY score DESC, sent_idx) AS rank FROM bm25) WHERE rank <= 100),
+ q AS (SELECT *, floor(n_neg * 0.8) AS n_hard, least(floor(n_neg * 0.1), floor(n_neg * 0.2)) AS n_cross, floor(n_neg * 0.1) + floor(n_neg * 0.1) - least(floor(n_neg * 0.1), floor(n_neg * 0.2)) AS n_random FROM (SELECT doc_id, cid, count(*) * 6 AS n_neg FROM pos GROUP BY ALL)),
+ hard AS (SELECT doc_id, cid, sent_idx FROM ranked ANTI JOIN pos USING (doc_id, cid, sent_idx)), other AS (SELECT q.doc_id, q.cid, p.sent_idx FROM q JOIN passages p USING (doc_id) ANTI JOIN pos USING (doc_id, cid, sent_idx)),
+ ring AS (SELECT other_id, cid, row_number() OVER (PARTITION BY cid ORDER BY md5('{seed}|' || other_id), other_id) - 1 AS place, count(*) OVER (PARTITION BY cid) AS size
+  FROM (SELECT d.doc_id AS other_id, c.cid FROM (SELECT DISTINCT doc_id FROM passages) d CROSS JOIN (SELECT DISTINCT cid FROM pos) c) r WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.doc_id = r.other_id AND pos.cid = r.cid)),
+ want AS (SELECT doc_id, cid, n_cross, size, unnest(range(0, least(n_cross, size)::BIGINT + 1)) AS step, ('0x' || substr(md5('{seed}|' || doc_id || '|' || cid), 1, 12))::BIGINT % size AS start FROM q JOIN (SELECT DISTINCT cid, size FROM ring) USING (cid) WHERE n_cross > 0),
+ met AS (SELECT w.doc_id, w.cid, w.n_cross, r.other_id, row_number() OVER (PARTITION BY w.doc_id, w.cid ORDER BY step) AS i FROM want w JOIN ring r ON r.cid = w.cid AND r.place = (w.start + w.step) % w.size WHERE w.doc_id <> r.other_id),
+ far AS (SELECT p.doc_id, p.cid, p.other_id, s.sent_idx, n_cross, row_number() OVER (PARTITION BY p.doc_id, p.cid ORDER BY md5('{seed}|' || p.doc_id || '|' || p.cid || '|' || p.other_id || '|' || s.sent_idx), p.other_id, s.sent_idx) AS j
+  FROM (SELECT DISTINCT doc_id, cid, n_cross, other_id FROM met WHERE i <= n_cross) p JOIN passages s ON s.doc_id = p.other_id),
+ every AS (SELECT doc_id, cid, doc_id AS other_id, sent_idx, 'gold' AS source FROM pos UNION ALL {take("random", "other")} UNION ALL {take("hard", "hard")} UNION ALL SELECT doc_id, cid, other_id, sent_idx, 'cross' FROM far WHERE j <= n_cross)
+ SELECT *, (source = 'gold')::INT AS label FROM every"""
+
+
+@query(with_sql("passages", "topics", "post", "terms", "bm25", "gold") + _examples_sql("0"))
 def negative_examples(spark, sf):
     """Gold passages with their hard, random and cross-document negatives."""
     from quillspark.operators import retrieval

@@ -4,29 +4,27 @@ from __future__ import annotations
 
 import glob
 import json
-import logging
 import platform
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.sources import schemas
 
-log = logging.getLogger(__name__)
 
-
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines; blank lines are skipped, malformed ones skipped and counted
-    (an error with ``strict``). Counting costs one extra scan, done lazily on log level INFO."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, observation: Observation | None = None) -> DataFrame:
+    """JSON lines; blank lines are skipped, and so are malformed ones (an error with
+    ``strict``). With an ``observation`` the scan that reads the rows also counts
+    ``lines`` and ``malformed`` ones; it has them after the first action."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     lines = spark.read.text(path).where("trim(value) <> ''")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     raw = lines.select(F.from_json("value", f"{schema}, _corrupt string", options).alias("r")).select("r.*")
-    if log.isEnabledFor(logging.INFO):
-        log.info("%s: %d malformed lines skipped", path, raw.where("_corrupt IS NOT NULL").count())
+    if observation is not None:
+        raw = raw.observe(observation, F.count(F.lit(1)).alias("lines"), F.count("_corrupt").alias("malformed"))
     return raw.where("_corrupt IS NULL").drop("_corrupt")
 
 
