@@ -68,3 +68,26 @@ def cooccurrence(present: DataFrame, by: str = "doc_id", item: str = "cid") -> D
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """One hop of fixed-weight message passing: (dst, value) means over sources."""
     return edges.join(nodes.select(F.col("id").alias("src"), value), "src").groupBy("dst").agg(F.round(F.avg(value), 9).alias(value))
+
+
+def edge_attention(queries: DataFrame, keys: DataFrame, edges: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(dst, relation, head, value): attention of every node over its incoming edges.
+
+    ``queries`` (dst, relation, head, q), ``keys`` (src, relation, head, k, v) with
+    vectors that given weights have made, and ``edges`` (src, dst, relation). An
+    edge's weight is the softmax, over all edges into dst of its relation and head,
+    of scale * (q . k); the value is the weighted mean of v. A node without edges
+    of a relation has no row there.
+
+    Edges meet their two ends by joins, and sums come from two aggregates: greatest
+    scores first, then sums of exponentials by component. Both add up in each task
+    before they are shuffled, so a hub's edges don't meet in one task there; Spark
+    splits a hub's rows in the joins.
+    """
+    at = ["relation", "head"]
+    dot = F.aggregate(F.zip_with("q", "k", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    scored = edges.join(keys, ["src", "relation"]).join(queries, ["dst", *at]).select("dst", *at, (dot * scale).alias("s"), "v")
+    top = scored.groupBy("dst", *at).agg(F.max("s").alias("top"))
+    weighed = scored.join(top, ["dst", *at]).select("dst", *at, F.exp(F.col("s") - F.col("top")).alias("w"), "v")
+    parts = weighed.select("dst", *at, "w", F.posexplode("v").alias("i", "x")).groupBy("dst", *at, "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    return parts.groupBy("dst", *at).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: F.round(c["x"], 9)).alias("value"))

@@ -43,6 +43,18 @@ def answer_spans(docs: DataFrame, offsets: DataFrame, evidence: DataFrame) -> Da
     return found.where("_s IS NOT NULL").select("doc_id", "cid", "sent_idx", "_s.start", "_s.end")
 
 
+def merged(predictions: DataFrame, truth: DataFrame, keys: list[str], on_repeats: str = "keep") -> DataFrame:
+    """``predictions`` with the ``truth`` label of their keys, both on either side.
+
+    ``keep`` pairs every row with every label of its key, as a merge of tables does;
+    ``last`` takes one label a key, of repeats the one with the greatest ``ordinal``.
+    """
+    if on_repeats not in ("keep", "last"):
+        raise ValueError(f"unknown way {on_repeats}")
+    labels = truth.select(*keys, F.col("label").alias("truth")) if on_repeats == "keep" else last_label(truth, keys, "ordinal").withColumnRenamed("label", "truth")
+    return predictions.join(labels, keys)
+
+
 def rebuilt_text(passages: DataFrame) -> DataFrame:
     """(doc_id, text): passages joined by spaces in the order of their ids as strings."""
     s = F.array_sort(F.collect_list(F.struct(F.col("sent_idx").cast("string").alias("i"), "sent")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import passage_table
-from quillspark.operators import assembly, graph, retrieval, splits
+from quillspark.operators import assembly, graph, retrieval, scoring, splits
 from quillspark.plans.base import SQL as PARTS
-from quillspark.plans.base import documents, gold, label_rows, predictions, topics, with_sql
+from quillspark.plans.base import documents, gold, label_rows, predictions, topics, with_sql, words_sql
 from quillspark.plans.table_queries import ADAM, AT_HALF, BIN, CHUNKS, PRED, RECURSIVE, WHOLE
 from quillspark.session import table
 
@@ -101,6 +101,20 @@ def chunk_topic_pairs(spark, sf):
     return rows.select("doc_id", "cid", "chunk_id", F.size("words").alias("n_words"), "topic")
 
 
+@query(f"""WITH {CHUNKS}, t AS (SELECT item_id AS cid, list_distinct({words_sql("text")}) AS t FROM benchmark),
+ s AS (SELECT cs.doc_id, cid, start, round(len(list_intersect(list_distinct(c), t))::DOUBLE / greatest(len(t), 1) * 8 - 4, 6) AS logit FROM cs CROSS JOIN t),
+ p AS (SELECT *, round(1 / (1 + exp(-logit)), 9) AS prob FROM s)
+ SELECT doc_id, cid, count(*) AS n_chunks, max(prob) AS prob_max, round(list_sum(list_sort(list(prob), 'DESC')[1:2]) / 2, 9) AS prob_top FROM p GROUP BY ALL""")
+def chunk_topic_scores(spark, sf):
+    """Every window of a document scored against every topic, then the document's
+    score for the topic by maximum and by the mean of its two best."""
+    rows = assembly.chunk_pairs(documents(spark, sf), topics(spark, sf), 64, 16)
+    logit = F.round(scoring.share_logit(F.array_distinct("words"), scoring.distinct_words(F.col("topic"))), 6)
+    scored = rows.select("doc_id", "cid", F.round(1 / (1 + F.exp(-logit)), 9).alias("prob"))
+    two = F.slice(F.reverse(F.array_sort(F.collect_list("prob"))), 1, 2)
+    return scored.groupBy("doc_id", "cid").agg(F.count("*").alias("n_chunks"), F.max("prob").alias("prob_max"), F.round(F.aggregate(two, F.lit(0.0), lambda a, x: a + x) / 2, 9).alias("prob_top"))
+
+
 @query(with_sql("label_rows") + " SELECT d.doc_id, coalesce(string_agg(cid || '=' || label, ',' ORDER BY cid), '') AS by_topic FROM documents d LEFT JOIN label_rows USING (doc_id) GROUP BY d.doc_id")
 def topic_lookup(spark, sf):
     rows = assembly.topic_map(label_rows(spark, sf), documents(spark, sf))
@@ -227,6 +241,28 @@ def graph_completed_pairs(spark, sf):
     return assembly.completed_pairs(documents(spark, sf), label_rows(spark, sf).where("label = 1"), _described(spark))
 
 
+@query(
+    """WITH e AS (SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + lead(turn) OVER w AS dst, 'next' AS relation FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  UNION ALL SELECT conv_id * 1000 + turn, conv_id * 1000 + min(turn) OVER (PARTITION BY conv_id), 'first' FROM conversations),
+ n AS (SELECT conv_id * 1000 + turn AS id, length(text)::DOUBLE / 100 AS x, turn::DOUBLE AS y FROM conversations), h AS (SELECT unnest([1, 2]) AS head),
+ s AS (SELECT dst, relation, head, 0.5 * (q.x * k.x * head + q.y * k.y) AS s, k.x, k.y FROM e JOIN n k ON k.id = e.src JOIN n q ON q.id = e.dst CROSS JOIN h),
+ w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY dst, relation, head)) AS w FROM s)
+ SELECT dst, relation, head, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y FROM w GROUP BY ALL"""
+)
+def graph_edge_attention(spark, sf):
+    """Turns attend to the turn before, and first turns to all of their conversation, with two heads."""
+    c = table(spark, sf, "conversations")
+    at = lambda t: F.col("conv_id") * 1000 + F.col(t)
+    first = c.join(c.groupBy("conv_id").agg(F.min("turn").alias("dst")), "conv_id").select(at("turn").alias("src"), at("dst").alias("dst"), F.lit("first").alias("relation"))
+    edges = graph.next_edges(c, "conv_id", "turn").select(at("src").alias("src"), at("dst").alias("dst"), F.lit("next").alias("relation")).unionByName(first)
+    x, y = F.length("text").cast("double") / 100, F.col("turn").cast("double")
+    ends = c.select(at("turn").alias("id"), x.alias("x"), y.alias("y"), F.explode(F.array(F.lit(1), F.lit(2))).alias("head")).withColumn("relation", F.explode(F.array(F.lit("next"), F.lit("first"))))
+    queries = ends.select(F.col("id").alias("dst"), "relation", "head", F.array(F.col("x") * F.col("head"), F.col("y")).alias("q"))
+    keys = ends.select(F.col("id").alias("src"), "relation", "head", F.array("x", "y").alias("k"), F.array("x", "y").alias("v"))
+    out = graph.edge_attention(queries, keys, edges, 0.5)
+    return out.select("dst", "relation", "head", F.round(F.col("value")[0], 6).alias("x"), F.round(F.col("value")[1], 6).alias("y"))
+
+
 @query(with_sql("passages") + " SELECT DISTINCT doc_id, [1.0::DOUBLE, 1.0, 1.0, 1.0] AS x FROM passages")
 def graph_document_nodes(spark, sf):
     return assembly.document_nodes(passage_table(documents(spark, sf)))

@@ -401,6 +401,35 @@ def span_resolution(spark, sf):
     return groundtruth.answer_spans(documents(spark, sf), none, ev)
 
 
+OFFSETS = """x AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]+\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents),
+ y AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM x),
+ z AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS sent FROM y),
+ off AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS sent_idx, (place + length(piece) - length(regexp_replace(piece, '^\\s+', '')))::INT AS start, (place + length(piece))::INT AS stop FROM z WHERE sent <> '')"""
+
+
+@query(
+    with_sql("passages", "topics", "gold")
+    + ", "
+    + OFFSETS
+    + """, ev AS (SELECT DISTINCT g.doc_id, g.cid, g.sent_idx, p.sent FROM gold g JOIN passages p USING (doc_id, sent_idx))
+ SELECT ev.doc_id, cid, ev.sent_idx, coalesce(off.start, instr(text, sent) - 1)::INT AS start, coalesce(off.stop, instr(text, sent) - 1 + length(sent))::INT AS "end"
+ FROM ev JOIN documents d ON d.doc_id = ev.doc_id LEFT JOIN off ON off.doc_id = ev.doc_id AND off.sent_idx = ev.sent_idx AND ev.sent_idx % 2 = 0 WHERE off.start IS NOT NULL OR instr(text, sent) > 0"""
+)
+def span_by_index(spark, sf):
+    """Spans by the place of the passage where its number is even, the others by text."""
+    docs = documents(spark, sf)
+    ev = gold(spark, sf).distinct().join(T.passage_table(docs), ["doc_id", "sent_idx"]).select("doc_id", "cid", "sent_idx", F.col("sent").alias("text"), F.lit(1).alias("status"))
+    return groundtruth.answer_spans(docs, passage_offsets(spark, sf).where("sent_idx % 2 = 0"), ev)
+
+
+@query(PRED + ", y AS (SELECT doc_id, cid, label FROM label_rows UNION ALL SELECT doc_id, cid, 1 - label FROM label_rows WHERE doc_id % 3 = 0) SELECT pred.doc_id, pred.cid, prob, y.label AS truth FROM pred JOIN y ON y.doc_id = pred.doc_id AND y.cid = pred.cid")
+def prediction_merge(spark, sf):
+    """Predictions beside every label of their key, some of which come twice."""
+    y = label_rows(spark, sf)
+    twice = y.unionByName(y.where("doc_id % 3 = 0").withColumn("label", 1 - F.col("label")))
+    return groundtruth.merged(predictions(spark, sf).select("doc_id", "cid", "prob"), twice, ["doc_id", "cid"])
+
+
 @query(f"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]+\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents),
  y AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM x),
  z AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS sent FROM y)

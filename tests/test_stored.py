@@ -266,3 +266,39 @@ def test_curves_with_many_classes(spark):
         for t in {r[2] for r in mine}:
             want[c, round(t, 6)] = (sum(r[1] for r in mine if r[2] >= t), sum(1 - r[1] for r in mine if r[2] >= t), sum(r[1] for r in mine), sum(1 - r[1] for r in mine))
     assert got == want
+
+
+def test_attention_against_a_loop(spark):
+    """Two relations and heads, a hub with most edges, repeated edges, and nodes without any."""
+    import numpy as np
+
+    from quillspark.operators import graph
+
+    rng = np.random.default_rng(3)
+    q, k, v = ({(n, r, h): rng.normal(size=3).round(3) for n in range(30) for r in ("x", "y") for h in (0, 1)} for _ in range(3))
+    edges = [(int(s), 0, "x") for s in rng.integers(0, 30, 200)] + [(int(a), int(b), "xy"[i % 2]) for i, (a, b) in enumerate(rng.integers(0, 25, (60, 2)))] + [(99, 1, "x")]
+    queries = spark.createDataFrame([(n, r, h, x.tolist()) for (n, r, h), x in q.items()], "dst int, relation string, head int, q array<double>")
+    keys = spark.createDataFrame([(n, r, h, x.tolist(), v[n, r, h].tolist()) for (n, r, h), x in k.items()], "src int, relation string, head int, k array<double>, v array<double>")
+    out = graph.edge_attention(queries, keys, spark.createDataFrame(edges, "src int, dst int, relation string"), 3**-0.5)
+    got = {(r.dst, r.relation, r.head): r.value for r in out.collect()}
+    want = {}
+    for d in range(30):
+        for r in ("x", "y"):
+            src = [a for a, b, rel in edges if b == d and rel == r and a < 30]
+            for h in (0, 1) if src else ():
+                s = np.array([q[d, r, h] @ k[a, r, h] for a in src]) * 3**-0.5
+                w = np.exp(s - s.max())
+                want[d, r, h] = (w / w.sum()) @ np.array([v[a, r, h] for a in src])
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x].tolist(), abs=1e-8) for x in want)
+
+
+def test_merge_keeps_repeats(spark):
+    from quillspark.operators import groundtruth
+
+    p = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.6), (2, "a", 0.7)], "doc_id int, cid string, prob double")
+    y = spark.createDataFrame([(1, "a", 1, 0), (1, "a", 0, 1), (3, "a", 1, 0)], "doc_id int, cid string, label int, ordinal int")
+    keys = ["doc_id", "cid"]
+    assert rows(groundtruth.merged(p, y, keys)) == [(1, "a", 0.5, 0), (1, "a", 0.5, 1), (1, "a", 0.6, 0), (1, "a", 0.6, 1)]
+    assert rows(groundtruth.merged(p, y, keys, "last")) == [(1, "a", 0.5, 0), (1, "a", 0.6, 0)]
+    with pytest.raises(ValueError):
+        groundtruth.merged(p, y, keys, "first")
