@@ -96,7 +96,8 @@ def host_rules(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 
     Null or blank text: no words, so base_failed. Null id: kept as a row. Null
     host: one host of its own. Repeated rows each count. Extra columns of
-    ``docs`` are ignored. Empty input: no rows.
+    ``docs`` are ignored. Empty input: no rows. Texts of any length count whole,
+    in time that grows with a text as sorting its words does.
     """
     scratch = Scratch(spark, "host-rules")
     rules = scratch.keep(document_rules(docs, id_col, text_col, host_col), "rules")

@@ -461,7 +461,8 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     null or blank text is just the end. A null id is a training row. Repeated
     rows count each and score alike. Without training rows every token is
     unknown and has the smoothed probability of one unseen word. Extra columns
-    are ignored.
+    are ignored. Texts of any length are learned and scored whole; a long one is
+    taken alone. An empty table gives no rows.
     """
     scratch = Scratch(spark, "lm")
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -37,7 +37,8 @@ def _sizes(batches):
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): the words of every text, 0 for null."""
+    """(doc_id, source, size): the words of every text, whole at any length, 0 for
+    null; a row a row, repeats and null ids among them. An empty table gives none."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_sizes, "doc_id long, source string, size long")
 
@@ -50,7 +51,7 @@ def source_targets(spark: SparkSession, sizes: DataFrame, scratch: Scratch, weig
     and the excess is shared again by weight. Ordinals come from a range
     partitioning, so no task sees all sources; each round of sharing is one
     aggregate that brings one row to the driver. A source without words has
-    target and rate 0.
+    target and rate 0. An empty table gives no rows.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranged = by_source.withColumn("last", F.col("source").isNull()).repartitionByRange("last", "source").withColumn("part", F.spark_partition_id())

@@ -412,7 +412,9 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids",
 
 def encoding_digests(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, n_byte_pieces, ids_sha256, round_trip) of every row;
-    ids as little-endian 32-bit integers, round_trip: decoding gives the bytes back."""
+    ids as little-endian 32-bit integers, round_trip: decoding gives the bytes back.
+    A null text is empty, and an empty one has no pieces; rows with a null id and
+    repeated rows each give a row. An empty table gives none."""
     import hashlib
 
     def run(batches):
