@@ -13,6 +13,7 @@ from quillspark.plans.retrieval_queries import DENSE, RETR
 from quillspark.plans.table_queries import CUE, HEDGE, NEGATION
 from quillspark.scratch import Scratch
 from quillspark.sources import graphs, indexes
+from quillspark.streaming.index import IncrementalIndex
 
 Q, SQL = {}, {}
 
@@ -168,3 +169,18 @@ def stored_dense_topk(spark, sf):
     folder = _folder(spark, "dense")
     indexes.build_dense_index(vectors(spark, sf).withColumn("doc_id", F.expr("vec_id div 100")), folder)
     return indexes.search_dense(indexes.read_bucketed(spark, folder), indexes.read_bucketed(spark, folder), 5)
+
+
+@query(with_sql(*RETR, "bm25") + _TOP.format(t="bm25"))
+def incremental_bm25_topk(spark, sf):
+    """BM25 from an index that three batches made: all documents, those in English
+    with a text that is out of date; the English ones as they are; and once more
+    the old texts, which come too late to count. The same rows as an index built anew."""
+    now = documents(spark, sf).select("doc_id", F.lit(2).alias("version"), "text", "lang")
+    english = now.where("lang = 'en'")
+    old = english.select("doc_id", F.lit(1).alias("version"), F.concat(F.lit("Replaced words. "), F.upper("text")).alias("text"))
+    index = IncrementalIndex(spark, _folder(spark, "incremental"))
+    index.apply(old.unionByName(now.where("lang IS NULL OR lang <> 'en'").drop("lang")), 0)
+    index.apply(english.drop("lang"), 1)
+    index.apply(old, 2)
+    return indexes.search_bm25(index.open(), topics(spark, sf), 5)
