@@ -16,6 +16,8 @@ may be the query itself).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,11 +27,11 @@ from pyspark.sql.window import Window
 
 from quillspark.scratch import Scratch
 
-PIVOTS = 128
 GROUP = 2048
 CHUNK = 1 << 16
 _LONG = (-(1 << 63), (1 << 63) - 1)
 _ROW = "vec_id long, dim int, wide boolean, v binary"
+_CELL = _ROW + ", cell int, dist double"
 
 
 def _quantise(scale: int):
@@ -65,54 +67,72 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
+def _blocks(n: int, width: int):
+    """Slices of n rows whose products with ``width`` pivots take some 32 MB."""
+    step = max(1, (1 << 22) // max(1, width))
+    return [slice(lo, lo + step) for lo in range(0, n, step)]
+
+
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None, :]
-    cell = d.argmin(1)
-    return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+    cell, dist, square = np.zeros(len(x), np.int64), np.zeros(len(x)), (pivots * pivots).sum(1)
+    for part in _blocks(len(x), len(pivots)):
+        cell[part] = (square - 2 * x[part] @ pivots.T).argmin(1)  # |x| is the same for all pivots
+        dist[part] = np.sqrt(((x[part] - pivots[cell[part]]) ** 2).sum(1))
+    return cell, dist
 
 
 def _cells(pivots: dict):
     def run(batches):
         for batch in batches:
             t = batch.to_pandas()
-            t["cell"] = 0
-            for dim, part in t.groupby("dim"):
-                t.loc[part.index, "cell"] = _nearest(_matrix(part.wide, part.v, dim), pivots[dim][1])[0]
-            yield pa.RecordBatch.from_pandas(t[["vec_id", "dim", "wide", "v", "cell"]].astype({"cell": "int32"}), preserve_index=False)
+            t["cell"], t["dist"] = 0, 0.0
+            with np.errstate(over="ignore", invalid="ignore"):
+                for dim, part in t.groupby("dim"):
+                    cell, dist = _nearest(_matrix(part.wide, part.v, dim), pivots[dim][1])
+                    t.loc[part.index, "cell"], t.loc[part.index, "dist"] = cell, dist
+            yield pa.RecordBatch.from_pandas(t[["vec_id", "dim", "wide", "v", "cell", "dist"]].astype({"cell": "int32"}), preserve_index=False)
 
     return run
 
 
 def _summaries(pivots: dict, k: int):
+    """A row a group and cell. What overflows bounds nothing, so that all is sent."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dim = int(pdf.dim.iloc[0])
         ids, p = pivots[dim]
-        q = _matrix(pdf.wide, pdf.v, dim)
-        s = (q @ p.T).astype(float)
-        reach = s.max(0)
-        s[pdf.vec_id.to_numpy()[:, None] == ids[None, :]] = -np.inf
-        floor = np.sort(s, 1)[:, -k].min() if len(ids) >= k else -np.inf
-        return pd.DataFrame({"grp": [int(pdf.grp.iloc[0])], "dim": [dim], "reach": [reach.tolist()], "norm": [float(np.sqrt((q * q).sum(1)).max())], "low": [float(floor)]})
+        q, qid = _matrix(pdf.wide, pdf.v, dim), pdf.vec_id.to_numpy()
+        reach, low = np.full(len(ids), -np.inf), np.inf if len(ids) >= k else -np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            for part in _blocks(len(q), len(ids)):
+                s = q[part] @ p.T
+                reach = np.maximum(reach, s.max(0))
+                if len(ids) >= k:
+                    s[qid[part][:, None] == ids[None, :]] = -np.inf
+                    low = np.minimum(low, np.partition(s, -k, 1)[:, -k].min())
+            norm = np.sqrt((q * q).sum(1)).max()
+        reach[~np.isfinite(reach)] = np.inf
+        return pd.DataFrame({"grp": int(pdf.grp.iloc[0]), "dim": dim, "cell": np.arange(len(ids), dtype=np.int32), "reach": reach, "norm": norm if np.isfinite(norm) else np.inf, "low": low if np.isfinite(low) else -np.inf})
 
     return run
 
 
-def _send(pivots: dict, groups: dict, chunks: int):
-    def run(batches):
-        for batch in batches:
-            t = batch.to_pandas()
-            for dim, part in t.groupby("dim"):
-                if dim not in groups:
-                    continue
-                x = _matrix(part.wide, part.v, dim)
-                cell, dist = _nearest(x, pivots[dim][1])
-                for grp, reach, norm, low in groups[dim]:
-                    bound = reach[cell] + norm * dist
-                    sent = part[bound + 1e-6 * (1 + np.abs(bound)) >= low]
-                    if len(sent):
-                        yield pa.RecordBatch.from_pandas(sent[["vec_id", "dim", "wide", "v"]].assign(grp=np.int64(grp), chunk=(sent.chunk % chunks).astype("int32")), preserve_index=False)
-
-    return run
+def _packed(cells: dict[int, int], pivots: np.ndarray, first: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(cell, group, groups) of every cell with queries, and the next free group.
+    Cells follow one another by nearness and share a group of at most GROUP
+    queries; a larger cell has groups of its own."""
+    todo, now, held, out = np.array(sorted(cells)), 0, 0, []
+    while len(todo):
+        with np.errstate(over="ignore"):
+            at = int(((pivots[todo] - pivots[now]) ** 2).sum(1).argmin())
+        now, todo = int(todo[at]), np.delete(todo, at)
+        n = cells[now]
+        if held and held + n > GROUP:
+            first, held = first + 1, 0
+        parts = -(-n // GROUP)
+        out.append((now, first, parts))
+        first, held = (first + parts, 0) if parts > 1 else (first, held + n)
+    return out, first + (held > 0)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +171,10 @@ def _solve(k: int):
     return run
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vector whose id is divisible
     by ``every``, its k best others by integer inner product, ties to smaller ids.
+    Without ``pivots`` a length has as many as the root of its vectors.
 
     Vectors that are null, or hold null or non-finite components, and rows with
     a null id take no part. Repeated (id, vector) rows count once; rows with the
@@ -164,42 +185,43 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
     scratch = Scratch(spark, "voronoi")
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))
     rows = scratch.keep(base.mapInArrow(_quantise(scale), _ROW), "rows").dropDuplicates(["vec_id", "dim", "wide", "v"])
-    data = rows.withColumn("copy", F.row_number().over(Window.partitionBy("dim", "wide", "v").orderBy("vec_id"))).where(f"copy <= {k + 1}").drop("copy")
-    data = scratch.keep(data, "data")
-    picked = data.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("v"), "vec_id"))).where(f"place <= {pivots}").drop("place").toPandas()
-    at = {int(d): (p.vec_id.to_numpy(), _matrix(p.wide, p.v, int(d))) for d, p in picked.sort_values(["dim", "vec_id"]).groupby("dim")}
-
-    queries = rows.where(f"vec_id % {every} = 0").mapInArrow(_cells(at), _ROW + ", cell int")
-    queries = scratch.keep(queries, "queries")
-    # Cells of similar pivots are packed into groups of at most GROUP queries;
-    # a larger cell is split by a hash of the id.
-    count = {(r["dim"], r["cell"]): r["count"] for r in queries.groupBy("dim", "cell").count().collect()}
-    base_of, parts, grp = {}, {}, 0
-    for dim, (_, p) in at.items():
-        todo, held, now = [c for d, c in count if d == dim], 0, 0
-        while todo:
-            now = min(todo, key=lambda c: ((p[c] - p[now]) ** 2).sum())
-            todo.remove(now)
-            n = count[dim, now]
-            if held and held + n > GROUP:
-                grp, held = grp + 1, 0
-            base_of[dim, now], parts[dim, now] = grp, -(-n // GROUP)
-            held += n
-            if n > GROUP:
-                grp, held = grp + parts[dim, now], 0
-        grp += 1
-    if not base_of:
+    once = rows.withColumn("copy", F.row_number().over(Window.partitionBy("dim", "wide", "v").orderBy("vec_id"))).where(f"copy <= {k + 1}").drop("copy")
+    once = scratch.keep(once, "distinct")
+    wanted = {r["dim"]: pivots or math.isqrt(r["count"]) + 1 for r in once.groupBy("dim").count().collect()}  # a row a length
+    if not wanted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    table = spark.createDataFrame([(d, c, base_of[d, c], parts[d, c]) for d, c in base_of], "dim int, cell int, base int, parts int")  # a row a cell
+    by_hash = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("v"), "vec_id"))
+    picked = once.withColumn("place", by_hash).where(f"place <= {max(wanted.values())}").toPandas()
+    at = {int(d): (p.vec_id.to_numpy(), _matrix(p.wide, p.v, int(d))) for d, p in picked[picked.place <= picked.dim.map(wanted)].sort_values(["dim", "vec_id"]).groupby("dim")}
+    data = scratch.keep(once.mapInArrow(_cells(at), _CELL), "data")
+    scratch.drop(once)
+
+    queries = scratch.keep(rows.where(f"vec_id % {every} = 0").mapInArrow(_cells(at), _CELL), "queries")
+    counts: dict = {}
+    for r in queries.groupBy("dim", "cell").count().collect():  # a row a cell
+        counts.setdefault(r["dim"], {})[r["cell"]] = r["count"]
+    table, grp = [], 0
+    for dim, cells in counts.items():
+        packed, grp = _packed(cells, at[dim][1], grp)
+        table += [(dim, *x) for x in packed]
+    table = spark.createDataFrame(table, "dim int, cell int, base int, parts int")
     queries = queries.join(F.broadcast(table), ["dim", "cell"]).withColumn("grp", (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("long")).select("vec_id", "dim", "wide", "v", "grp")
     queries = scratch.keep(queries, "grouped")
-    groups: dict = {}
-    for r in queries.groupBy("grp").applyInPandas(_summaries(at, k + 1), "grp long, dim int, reach array<double>, norm double, low double").collect():  # a row a group
-        groups.setdefault(r.dim, []).append((r.grp, np.array(r.reach), r.norm, r.low))
 
-    chunks = max(1, -(-data.count() // CHUNK))
-    sent = data.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")).mapInArrow(_send(at, groups, chunks), _ROW + ", grp long, chunk int")
-    asked = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # A vector of a cell goes to a group where the group's bound, at the vector's
+    # distance from the pivot, reaches the group's floor. Cells whose farthest
+    # vector doesn't are left out beforehand.
+    bound = lambda dist: F.col("reach") + F.col("norm") * dist + 1e-6 * (1 + F.abs("reach") + F.col("norm") * dist) >= F.col("low")
+    radius = data.groupBy("dim", "cell").agg(F.max("dist").alias("radius"))
+    bounds = queries.groupBy("grp").applyInPandas(_summaries(at, k + 1), "grp long, dim int, cell int, reach double, norm double, low double")
+    bounds = scratch.keep(bounds.join(radius, ["dim", "cell"]).where(bound(F.col("radius"))).drop("radius"), "bounds")
+    # What each group is sent is counted on narrow rows first; its queries then go
+    # to as many chunks as that takes.
+    per_group = data.select("dim", "cell", "dist").join(bounds, ["dim", "cell"]).where(bound(F.col("dist"))).groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunks = scratch.keep(per_group, "chunks")
+    sent = data.join(bounds.join(chunks, "grp"), ["dim", "cell"]).where(bound(F.col("dist")))
+    sent = sent.select("vec_id", "dim", "wide", "v", "grp", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
+    asked = queries.join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     found = asked.groupBy("grp", "chunk").cogroup(sent.groupBy("grp", "chunk")).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

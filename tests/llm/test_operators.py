@@ -199,6 +199,28 @@ def test_voronoi(spark):
     assert voronoi.top_k(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "one_cell", "huge"])
+def test_voronoi_many_groups_and_chunks(spark, monkeypatch, kind):
+    """Many groups and chunks; all vectors but a few in one cell; products beyond doubles."""
+    monkeypatch.setattr(voronoi, "GROUP", 8)
+    monkeypatch.setattr(voronoi, "CHUNK", 32)
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.05, (300, 4)) + rng.normal(0, 8, (12, 4))[np.arange(300) % 12]
+    if kind == "one_cell":
+        x = np.concatenate([rng.normal(0, 1e-2, (280, 4)) + 3, rng.normal(0, 50, (20, 4))])
+    if kind == "huge":
+        x[::7] *= 1e160
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    q = [[math.floor(256 * a) for a in r] for r in x.tolist()]
+    want = {}
+    for i in range(0, 300, 3):
+        s = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q[i], q[j])))), j) for j in range(300) if j != i)[:5]
+        want |= {(i, n): (j, -v) for n, (v, j) in enumerate(s, 1)}
+    for pivots in (None, 3, 40):
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in voronoi.top_k(spark, df, every=3, pivots=pivots).collect()}
+        assert got == want
+
+
 def test_mixing(spark, docs, texts, odd, empty):
     scratch = Scratch(spark, "t")
     sizes = scratch.keep(mixing.sized(docs))
