@@ -3,8 +3,8 @@
 Counts of all training tokens are exact and distributed. The model's output
 vocabulary is the most frequent words, the end and one symbol for any other
 word. It grows with the counted vocabulary (``shortlist_size``) and is factored
-into as many classes as a class has words, so that a token costs one softmax
-over classes and one within its class. Output biases start at the corpus
+into classes by the roots of the frequencies (``class_edges``), so that a token
+costs one softmax over classes and one within its class. Output biases start at the corpus
 frequencies. START texts give all shards the same first weights; then every
 training text is learned once, in ROUNDS rounds: shards of whole texts learn by
 truncated backpropagation, each from the same weights, and their weights are
@@ -43,6 +43,8 @@ BUFFER = 1 << 17
 STREAMS = 256
 COUNTED = 1 << 20
 RATE = 0.005
+CLASS_COST = 3
+BOUND_STEPS = 64
 PIECE = 1 << 14
 WINDOW = 64
 GROUP = 1024
@@ -72,24 +74,46 @@ def _counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(tb.signed(h)), pa.array(n.astype(np.int64))], ["h", "c"])
 
 
+def class_edges(p: np.ndarray) -> np.ndarray:
+    """Bounds of the classes of words with probabilities ``p``, most frequent
+    first: each class holds an equal share of the roots of the probabilities,
+    which makes few classes of a frequent word's few neighbours. Of some numbers
+    of classes, the one with the least work a word: a class costs every window
+    about CLASS_COST logits, a word those of its class."""
+    upto = np.cumsum(np.sqrt(p))
+    best, least = None, np.inf
+    for k in np.unique(np.geomspace(2, max(2, len(p) / 2), 24).astype(int)):
+        edge = np.unique(np.concatenate([[0], np.searchsorted(upto, upto[-1] * np.arange(1, k) / k, "right"), [len(p)]]))
+        size = np.diff(edge)
+        cost = CLASS_COST * len(size) + float((np.add.reduceat(p, edge[:-1]) * size).sum())
+        if cost < least:
+            best, least = edge, cost
+    return best
+
+
 class Gru:
-    """Embedding, one gated layer, class-factored softmax; weights in float32."""
+    """Embedding, one gated layer, class-factored softmax; weights in float32.
+    The last column of the output tables "c" (classes) and "o" (words) is a bias."""
 
     def __init__(self, counts: np.ndarray, seed: int = 0):
         """counts: of END, OTHER and the shortlist, most frequent first."""
         rng, v = np.random.default_rng(seed), len(counts)
-        self.v, self.classes = v, int(np.ceil(np.sqrt(v)))
-        self.per = -(-v // self.classes)
         p = (counts + 0.5) / (counts + 0.5).sum()
-        size = self.per * self.classes
-        bo = np.full(size, -30.0)
-        bo[:v] = np.log(p)
-        bo = bo.reshape(self.classes, self.per)
-        bc = np.logaddexp.reduce(bo, 1)
+        self.v, self.edge = v, class_edges(p)
+        self.classes = len(self.edge) - 1
+        self.cls = np.repeat(np.arange(self.classes, dtype=np.uint16 if self.classes < 65536 else np.int64), np.diff(self.edge))
+        bc = np.log(np.add.reduceat(p, self.edge[:-1]))
         r = lambda *s: rng.normal(0, 0.3 / np.sqrt(s[0]), s)
-        self.w = {"e": rng.normal(0, 0.3, (v, HIDDEN)), "x": r(HIDDEN, 3 * HIDDEN), "u": r(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN), "c": r(HIDDEN, self.classes) * 0.1, "bc": bc, "o": rng.normal(0, 0.02, (self.classes, HIDDEN, self.per)), "bo": np.where(np.isfinite(bo - bc[:, None]), bo - bc[:, None], -30.0)}
-        self.w = {k: a.astype(np.float32) for k, a in self.w.items()}
+        self.w = {"e": rng.normal(0, 0.3, (v, HIDDEN)), "x": r(HIDDEN, 3 * HIDDEN), "u": r(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN), "c": np.column_stack([r(HIDDEN, self.classes).T * 0.1, bc]), "o": np.column_stack([rng.normal(0, 0.02, (v, HIDDEN)), np.log(p) - bc[self.cls]])}
+        self.w = {k: np.ascontiguousarray(a, np.float32) for k, a in self.w.items()}
         self.adam: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self._bound()
+
+    def _bound(self) -> None:
+        """Whether exp() of every logit is far from the ends of float32, now and for
+        BOUND_STEPS updates: states are within 1, and an update moves a weight by
+        hardly more than its rate. Then no row needs its maximum taken off."""
+        self.small = all(float(np.abs(self.w[k]).sum(1).max()) < 45 for k in ("c", "o"))
 
     def step(self, gx: np.ndarray, h: np.ndarray):
         k, gh = HIDDEN, h @ self.w["u"]
@@ -98,47 +122,78 @@ class Gru:
         n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
         return n + z * (h - n), (z, r, n, gh)
 
+    def _softmax(self, x: np.ndarray, table: np.ndarray, target: np.ndarray, weight: np.ndarray | None):
+        """(log-probability of the target row of ``table`` after each state, the
+        weighted loss's gradient for the logits)."""
+        logit = x @ table.T
+        if not self.small:
+            logit -= logit.max(1, keepdims=True)
+        at = (np.arange(len(x)), target)
+        own = logit[at]
+        np.exp(logit, out=logit)
+        total = logit @ np.ones(len(table), np.float32)
+        if weight is not None:
+            logit *= (weight / total)[:, None]
+            logit[at] -= weight
+        return own - np.log(total), logit
+
     def log_probs(self, hs: np.ndarray, targets: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
         """Natural log-probability of each target after each state; with
         ``grads``, also the gradient of the loss, a mean by ``weight``, for the
-        states. Gradients of classes come as (classes, gradients)."""
-        w = self.w
-        cls, inner = targets // self.per, targets % self.per
-        logit = hs @ w["c"] + w["bc"]
-        logit -= logit.max(1, keepdims=True)
-        at = (np.arange(len(cls)), cls)
-        own = logit[at]
-        ex = np.exp(logit, out=logit)
-        total = ex.sum(1)
-        out = own - np.log(total)
-        back, parts = None, []
+        states. Gradients come as a list of (rows, gradient) a table."""
+        c, o, cls = self.w["c"], self.w["o"], self.cls[targets]
+        order = np.argsort(cls, kind="stable")
+        hs = np.concatenate([hs, np.ones((len(hs), 1), np.float32)], 1)[order]
+        cls, inner = cls[order], targets[order] - self.edge[cls[order]]
+        weight = None if grads is None else weight[order]
+        found, d = self._softmax(hs, c, cls, weight)
+        back = None
         if grads is not None:
-            d = ex * (weight / total)[:, None]
-            d[at] -= weight
-            back = d @ w["c"].T
-            grads["c"], grads["bc"] = hs.T @ d, d.sum(0)
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(edge)).tolist():
-            rows = order[edge[c] : edge[c + 1]]
-            hc = hs[rows]
-            logit = hc @ w["o"][c] + w["bo"][c]
-            logit -= logit.max(1, keepdims=True)
-            at = (np.arange(len(rows)), inner[rows])
-            own = logit[at]
-            ex = np.exp(logit, out=logit)
-            total = ex.sum(1)
-            out[rows] += own - np.log(total)
+            back = d @ c[:, :HIDDEN]
+            grads["c"], grads["o"] = [(slice(None), d.T @ hs)], []
+        begin = np.searchsorted(cls, np.arange(self.classes + 1))
+        for k in np.flatnonzero((np.diff(begin) > 0) & (np.diff(self.edge) > 1)).tolist():  # a class of one word is certain
+            rows, words = slice(begin[k], begin[k + 1]), slice(self.edge[k], self.edge[k + 1])
+            got, d = self._softmax(hs[rows], o[words], inner[rows], None if grads is None else weight[rows])
+            found[rows] += got
             if grads is not None:
-                d = ex * (weight[rows] / total)[:, None]
-                d[at] -= weight[rows]
-                back[rows] += d @ w["o"][c].T
-                parts.append((c, hc.T @ d, d.sum(0)))
+                back[rows] += d @ o[words, :HIDDEN]
+                grads["o"].append((words, d.T @ hs[rows]))
+        out = np.empty_like(found)
+        out[order] = found
         if grads is not None:
-            some = np.array([c for c, _, _ in parts])
-            grads["o"], grads["bo"] = (some, np.stack([g for _, g, _ in parts])), (some, np.stack([g for _, _, g in parts]))
+            placed = np.empty_like(back)
+            placed[order] = back
+            back = placed
         return out, back
 
+    def _update(self, g: dict, rate: float, step: int) -> None:
+        """Adam, with the gradient's length cut at 1, on the rows that have a gradient."""
+        cut = min(1.0, 1.0 / (np.sqrt(sum(float(np.vdot(d, d)) for parts in g.values() for _, d in parts)) + 1e-9))
+        for k, parts in g.items():
+            if k not in self.adam:
+                self.adam[k] = (np.zeros_like(self.w[k]), np.zeros_like(self.w[k]))
+            for at, d in parts:
+                # Slices are views; a class's rows stay in the processor's cache.
+                w, m, v = (a[at] for a in (self.w[k], *self.adam[k]))
+                s = d * d
+                s *= 0.01 * cut * cut
+                v *= 0.99
+                v += s
+                d *= 0.1 * cut
+                m *= 0.9
+                m += d
+                np.sqrt(v, out=s)
+                s *= 1 / np.sqrt(1 - 0.99**step)
+                s += 1e-8
+                np.divide(m, s, out=s)
+                s *= rate / (1 - 0.9**step)
+                w -= s
+                if not isinstance(at, slice):
+                    self.w[k][at], self.adam[k][0][at], self.adam[k][1][at] = w, m, v
+        if step % BOUND_STEPS == 0:
+            self._bound()
+
     def _learn(self, prev: np.ndarray, ids: np.ndarray, begin: np.ndarray, weight: np.ndarray, h: np.ndarray, rate: float, step: int) -> np.ndarray:
         """One update from a window of (streams, length); the states after it.
         Only rows and classes that the window touches are updated."""
@@ -167,21 +222,13 @@ class Gru:
             dghs.append(np.concatenate([dz, dr, dn * r], 1))
             carry = np.where(begin[:, i, None], np.float32(0), d * z + dghs[-1] @ w["u"].T)
         dgx, dgh = np.concatenate(dgxs[::-1]), np.concatenate(dghs[::-1])
-        g["u"], g["x"], g["b"] = np.concatenate([b for b, _ in seen]).T @ dgh, np.concatenate(inputs).T @ dgx, dgx.sum(0)
+        for k, d in (("u", np.concatenate([b for b, _ in seen]).T @ dgh), ("x", np.concatenate(inputs).T @ dgx), ("b", dgx.sum(0))):
+            g[k] = [(slice(None), d)]
         flat = prev.T.ravel()
         order = np.argsort(flat, kind="stable")
         rows, edge = np.unique(flat[order], return_index=True)
-        g["e"] = (rows, np.add.reduceat((dgx @ w["x"].T)[order], edge, axis=0))
-        g = {k: a if isinstance(a, tuple) else (slice(None), a) for k, a in g.items()}
-        norm = np.sqrt(sum(float((a * a).sum()) for _, a in g.values()))
-        for k, (at, d) in g.items():
-            if k not in self.adam:
-                self.adam[k] = (np.zeros_like(w[k]), np.zeros_like(w[k]))
-            m, v = self.adam[k]
-            d = d * min(1.0, 1.0 / (norm + 1e-9))
-            m[at] = mk = 0.9 * m[at] + 0.1 * d
-            v[at] = vk = 0.99 * v[at] + 0.01 * d * d
-            w[k][at] -= rate * (mk / (1 - 0.9**step)) / (np.sqrt(vk / (1 - 0.99**step)) + 1e-8)
+        g["e"] = [(rows, np.add.reduceat((dgx @ w["x"].T)[order], edge, axis=0))]
+        self._update(g, rate, step)
         return h
 
     @staticmethod
@@ -235,8 +282,10 @@ class Gru:
             a = self.w[k]
             self.w[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
             at += a.size
+        self._bound()
 
     def freeze(self) -> Gru:
+        self._bound()
         self.table = self.w["e"] @ self.w["x"] + self.w["b"]
         return self
 
@@ -418,6 +467,7 @@ def _shard(model: Gru, sorted_h, code):
 
 
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["n", "w"])  # the sum must not follow the order of the shuffle
     total = sum(np.frombuffer(w, np.float32).astype(float) * n for w, n in zip(pdf.w, pdf.n, strict=True))
     n = int(pdf.n.sum())
     return pd.DataFrame({"piece": pdf.piece[:1], "n": [n], "w": [(total / max(n, 1)).astype(np.float32).tobytes()]})

@@ -502,10 +502,11 @@ def _plain_score(model, ids):
         z, r = [sig(gx[b] + gh[b]) for b in range(k)], [sig(gx[k + b] + gh[k + b]) for b in range(k)]
         n = [math.tanh(gx[2 * k + b] + r[b] * gh[2 * k + b]) for b in range(k)]
         h = [(1 - z[b]) * n[b] + z[b] * h[b] for b in range(k)]
-        cls, inner = divmod(int(word), model.per)
-        a = [sum(h[j] * w["c"][j][c] for j in range(k)) + w["bc"][c] for c in range(model.classes)]
-        b = [sum(h[j] * w["o"][cls][j][c] for j in range(k)) + w["bo"][cls][c] for c in range(model.per)]
-        for logits, at in ((a, cls), (b, inner)):
+        cls = next(c for c in range(model.classes) if model.edge[c] <= word < model.edge[c + 1])
+        logit = lambda row: sum(h[j] * row[j] for j in range(k)) + row[k]
+        a = [logit(w["c"][c]) for c in range(model.classes)]
+        b = [logit(w["o"][i]) for i in range(model.edge[cls], model.edge[cls + 1])]
+        for logits, at in ((a, cls), (b, int(word) - model.edge[cls])):
             total += logits[at] - math.log(sum(math.exp(v) for v in logits))
         prev = word
     return total
@@ -521,6 +522,56 @@ def test_lm_score_in_plain_loops():
     assert got == pytest.approx([_plain_score(model, t) for t in texts], rel=1e-4)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_lm_gradient_by_finite_differences(monkeypatch, small):
+    """All weights, with texts that begin inside a window and words of no weight."""
+    rng = np.random.default_rng(8)
+    model = lm.Gru(1000.0 / np.arange(1, 31), seed=2)
+    model.w = {n: a.astype(np.float64) for n, a in model.w.items()}
+    model.small = small
+    prev, ids = rng.integers(0, 30, (2, 3, 5))
+    begin, weight, h0 = rng.random((3, 5)) < 0.3, rng.random((3, 5)) < 0.8, rng.normal(0, 0.3, (3, lm.HIDDEN))
+    grads = {}
+    monkeypatch.setattr(model, "_update", lambda g, rate, step: grads.update(g))
+    model._learn(prev, ids, begin, weight, h0, 0.1, 1)
+
+    def loss():
+        h, total = h0, 0.0
+        for t in range(5):
+            h = np.where(begin[:, t, None], 0, h)
+            h, _ = model.step(model.w["e"][prev[:, t]] @ model.w["x"] + model.w["b"], h)
+            total -= (model.log_probs(h, ids[:, t])[0] * weight[:, t]).sum()
+        return total / weight.sum()
+
+    for name, a in model.w.items():
+        dense = np.zeros_like(a)
+        for at, d in grads[name]:
+            dense[at] += d
+        for place in [tuple(rng.integers(0, n) for n in a.shape) for _ in range(30)] + [np.unravel_index(np.abs(dense).argmax(), a.shape)]:
+            held = a[place]
+            a[place] = held + 1e-5
+            up = loss()
+            a[place] = held - 1e-5
+            slope, a[place] = (up - loss()) / 2e-5, held
+            assert dense[place] == pytest.approx(slope, rel=1e-3, abs=1e-6), (name, place)
+
+
+def test_lm_update_is_adam_and_classes_cover_all_words():
+    model = lm.Gru(np.array([5.0, 1.0, 50.0, 30.0, 10.0]))
+    w, m, v = model.w["e"].astype(float), 0, 0
+    for step in range(1, 4):
+        d = np.random.default_rng(step).normal(0, 3, w.shape)
+        model._update({"e": [(np.arange(5), d.astype(np.float32))]}, 0.1, step)
+        d /= np.sqrt((d * d).sum())
+        m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    assert model.w["e"] == pytest.approx(w, abs=1e-4)
+    for n in (2, 3, 50, 5000):
+        for p in (np.full(n, 1 / n), 1 / np.arange(1, n + 1), np.array([1.0] + [1e-9] * (n - 1))):
+            edge = lm.class_edges(p / p.sum())
+            assert edge[0] == 0 and edge[-1] == n and (np.diff(edge) > 0).all()
+
+
 def test_lm_is_a_distribution_and_learns():
     model = lm.Gru(np.array([5.0, 1.0, 50.0, 30.0, 10.0]))
     rng = np.random.default_rng(0)
