@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.operators.splits import positions_within
+from quillspark.operators.splits import positions_within, running_sums
 
 KEYS = ("doc_id", "cid")
 
@@ -80,10 +80,39 @@ def set_precision(candidates: DataFrame, gold: DataFrame, k: int, keys: tuple[st
     return gold.select(*keys).distinct().join(hit, list(keys), "left").select(*keys, (F.coalesce("h", F.lit(0)) / k).alias("precision"), (F.coalesce("h", F.lit(0)) > 0).cast("int").alias("covered"))
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, Column | None]]) -> DataFrame:
+    """(by, a column for each name of ``wanted``): the exact percentile q, linear
+    between neighbours, of the values that aren't null, of rows that meet the
+    condition where one is given. Null keys are groups; without values the result
+    is null. Rows of equal value are counted first, and running sums of the counts
+    tell where a percentile falls, so that no task holds a group's values."""
+    names = list(wanted)
+    hit = {n: F.col(value).isNotNull() & (F.lit(True) if c is None else c) for n, (_, c) in wanted.items()}
+    cells = rows.groupBy(*by, F.col(value).alias("_v")).agg(*[F.count(F.when(hit[n], 1)).alias(f"_n_{n}") for n in names])
+    runs = running_sums(cells, by, ["_v"], [f"_n_{n}" for n in names])
+
+    def at(name: str, edge) -> Column:
+        n, run, total = F.col(f"_n_{name}"), F.col(f"run__n_{name}"), F.col(f"all__n_{name}")
+        place = edge(F.lit(wanted[name][0]) * (total - 1))
+        return F.max(F.when((place >= run - n) & (place < run), F.col("_v")))
+
+    def rest(name: str) -> Column:
+        place = F.lit(wanted[name][0]) * (F.max(f"all__n_{name}") - 1)
+        return place - F.floor(place)
+
+    parts = [c for n in names for c in (at(n, F.floor).alias(f"_lo_{n}"), at(n, F.ceil).alias(f"_hi_{n}"), rest(n).alias(f"_at_{n}"))]
+    found = runs.groupBy(*by).agg(*parts)
+    return found.select(*by, *[(F.col(f"_lo_{n}") * (1 - F.col(f"_at_{n}")) + F.col(f"_hi_{n}") * F.col(f"_at_{n}")).alias(n) for n in names])
+
+
 def latency(rows: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Exact p50 and p95, linear between neighbours."""
-    aggs = [F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.count(value).alias("n")]
-    return (rows.groupBy(by) if by else rows).agg(*aggs)
+    keys = [by] if by else []
+    found = percentiles(rows, keys, value, {"p50": (0.5, None), "p95": (0.95, None)})
+    if not by:
+        return found.join(rows.agg(F.count(value).alias("n")))
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count(value).alias("n"))
+    return found.join(counts, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def floor_percentiles(rows: DataFrame, value: str, by: str, qs: list[float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
-from quillspark.operators import calibration, classification, graph, groundtruth, sampling, scoring, splits
+from quillspark.operators import calibration, classification, graph, groundtruth, ranking, sampling, scoring, splits
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, vectors, with_sql, words_sql
 from quillspark.session import table
 
@@ -182,11 +182,10 @@ def fold_summary(spark, sf):
 
 @query(PRED + " SELECT cid, count(*) AS n, round(avg(logit), 6) AS mean, quantile_cont(logit, 0.5) AS median, round(stddev_samp(logit), 6) AS stdev, min(logit) AS least, max(logit) AS most, quantile_cont(logit, 0.5) FILTER (WHERE label = 1) AS median_pos, quantile_cont(logit, 0.5) FILTER (WHERE label = 0) AS median_neg, round(avg(prob_cal - prob), 6) AS shift FROM pred GROUP BY cid")
 def status_report(spark, sf):
-    med = lambda y: F.percentile(F.when(F.col("label") == y, F.col("logit")), 0.5)
-    return predictions(spark, sf).groupBy("cid").agg(
-        F.count("*").alias("n"), F.round(F.avg("logit"), 6).alias("mean"), F.percentile("logit", 0.5).alias("median"), F.round(F.stddev_samp("logit"), 6).alias("stdev"), F.min("logit").alias("least"), F.max("logit").alias("most"),
-        med(1).alias("median_pos"), med(0).alias("median_neg"), F.round(F.avg(F.col("prob_cal") - F.col("prob")), 6).alias("shift"),
-    )
+    rows = predictions(spark, sf)
+    medians = ranking.percentiles(rows, ["cid"], "logit", {"median": (0.5, None), "median_pos": (0.5, F.col("label") == 1), "median_neg": (0.5, F.col("label") == 0)})
+    moments = rows.groupBy("cid").agg(F.count("*").alias("n"), F.round(F.avg("logit"), 6).alias("mean"), F.round(F.stddev_samp("logit"), 6).alias("stdev"), F.min("logit").alias("least"), F.max("logit").alias("most"), F.round(F.avg(F.col("prob_cal") - F.col("prob")), 6).alias("shift"))
+    return moments.join(medians, "cid").select("cid", "n", "mean", "median", "stdev", "least", "most", "median_pos", "median_neg", "shift")
 
 
 # --- scoring and aggregation --------------------------------------------------

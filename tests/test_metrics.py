@@ -173,3 +173,25 @@ def test_gates(spark):
 def test_best_trial_prunes(spark):
     t = spark.createDataFrame([(1, 0.9, 0.7), (2, 0.5, 0.9)], "trial int, macro_f1 double, precision_at_5 double")
     assert gates.best_trial(t).first().trial == 2
+
+
+def test_percentiles_between_neighbours(spark):
+    """Ties, a null group, groups of one value or none, and conditions, against numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = [(g, int(i % 3 == 0), float(x)) for g in ("a", None, "b") for i, x in enumerate(rng.integers(-5, 5, 41) / 4)]
+    data += [("one", 1, 2.5), ("one", 0, None), ("none", 1, None)]
+    df = spark.createDataFrame(data, "g string, label int, x double")
+    wanted = {"low": (0.0, None), "mid": (0.5, None), "high": (0.95, None), "top": (1.0, None), "some": (0.3, F.col("label") == 1)}
+    got = {r.g: r for r in ranking.percentiles(df, ["g"], "x", wanted).collect()}
+    assert got.keys() == {g for g, _, _ in data}
+    for g in got:
+        for name, (q, c) in wanted.items():
+            x = [v for h, y, v in data if h == g and v is not None and (c is None or y == 1)]
+            assert got[g][name] == (pytest.approx(np.quantile(x, q)) if x else None)
+    x = [v for _, _, v in data if v is not None]
+    assert tuple(ranking.latency(df, "x").first()) == (pytest.approx(np.quantile(x, 0.5)), pytest.approx(np.quantile(x, 0.95)), len(x))
+    by = {r.g: (r.p95, r.n) for r in ranking.latency(df, "x", "g").collect()}
+    assert by["one"] == (2.5, 1) and by["none"] == (None, 0) and by[None][1] == 41
+    assert ranking.percentiles(df.limit(0), ["g"], "x", wanted).count() == 0 and ranking.latency(df.limit(0), "x").first().n == 0
