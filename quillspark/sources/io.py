@@ -7,8 +7,9 @@ import json
 import platform
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.sources import schemas
@@ -105,17 +106,36 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return found.where("post_id IS NOT NULL").distinct()
 
 
+def _trimmed(c: str) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _listed(v: str, other: Column) -> Column:
+    """Items of a JSON list (none of one that breaks off), of {"posts": []}, or ``other``."""
+    posts = F.when(F.col(v).startswith("{"), F.get_json_object(v, "$.posts"))
+    return F.when(F.col(v).startswith("["), F.from_json(v, "array<string>")).when(posts.isNotNull(), F.from_json(posts, "array<string>")).otherwise(other)
+
+
 def read_post_ids(spark: SparkSession, path: str) -> DataFrame:
-    """post_id from a JSON list of strings or objects, {"posts": []}, {"post_id"}, JSON lines or plain lines."""
-    v = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    files = spark.read.text(path, wholetext=True).select(v.alias("v"))
-    lines = F.filter(F.transform(F.split("v", "\n"), F.trim), lambda x: x != "")
-    posts = F.when(F.col("v").startswith("{"), F.get_json_object("v", "$.posts"))
-    one = F.col("v").startswith("{") & (F.size(F.filter(lines, lambda x: x.startswith("{"))) == 1)
-    items = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).when(posts.isNotNull(), F.from_json(posts, "array<string>")).when(one, F.array("v")).otherwise(lines)
+    """post_id from a JSON list of strings or objects, {"posts": []}, {"post_id"}, JSON lines or plain lines.
+
+    Files go by line, so a list of any length is spread over tasks. Only a file
+    with a JSON value that runs over several lines is read as one text; the driver
+    learns the names of these files.
+    """
+    lines = spark.read.text(path).select(_trimmed("value").alias("v"), F.col("_metadata.file_path").alias("file")).where("v <> ''")
+    value = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>").isNotNull()).when(F.col("v").startswith("{"), F.from_json("v", "map<string,string>").isNotNull())
+    broken = ~F.coalesce(value, F.lit(True))
+    whole = [r.file for r in lines.where(broken).select("file").distinct().collect()]
+    items = lines.where(~F.col("file").isin(whole)).select(F.explode(_listed("v", F.array("v"))).alias("x"))
+    if whole:
+        texts = spark.read.text([unquote(f) for f in whole], wholetext=True).select(_trimmed("value").alias("v"))
+        rows = F.filter(F.transform(F.split("v", "\n"), F.trim), lambda x: x != "")
+        one = F.col("v").startswith("{") & (F.size(F.filter(rows, lambda x: x.startswith("{"))) == 1)
+        items = items.union(texts.select(F.explode(_listed("v", F.when(one, F.array("v")).otherwise(rows))).alias("x")))
     x = F.col("x")
     of_object = F.coalesce(F.get_json_object(x, "$.post_id"), F.get_json_object(x, "$.id"))
-    ids = files.select(F.explode(items).alias("x")).select(F.when(x.startswith("{"), of_object).otherwise(F.regexp_replace(x, '^"|"$', "")).alias("post_id"))
+    ids = items.select(F.when(x.startswith("{"), of_object).otherwise(F.regexp_replace(x, '^"|"$', "")).alias("post_id"))
     return ids.where("post_id IS NOT NULL AND post_id <> ''").distinct()
 
 

@@ -162,6 +162,16 @@ def test_id_lists_and_manifest(spark, tmp_path):
     for body in ('["a", {"post_id": "b"}]', '{"posts": ["a", "b"]}', '{"post_id": "a"}\n{"id": "b"}', "a\nb\n"):
         f.write_text(body)
         assert {r.post_id for r in io.read_post_ids(spark, str(f)).collect()} == {"a", "b"}
+    many = tmp_path / "a folder"
+    many.mkdir()
+    bodies = ['[\n "a",\n {"post_id": "b"}\n]', '{\n "posts": ["c",\n "d"]\n}', '{\n "post_id": "e"\n}', '\n  f \n\n"g"\n{"id": "h"}\n{"x": 1}\n', "", '["i"]']
+    for i, body in enumerate(bodies):
+        (many / f"{i}.txt").write_text(body)
+    assert sorted(r.post_id for r in io.read_post_ids(spark, str(many)).collect()) == list("abcdefghi")
+    (many / "broken").write_text('[ "z",\n')
+    assert sorted(r.post_id for r in io.read_post_ids(spark, str(many)).collect()) == list("abcdefghi")
+    plan = io.read_post_ids(spark, str(f))._jdf.queryExecution().toString()
+    assert "wholetext" not in plan.lower()
     f.write_text('{"post_id": "a"}\n{"id": "b"}\nbad\n')
     assert {r.post_id for r in io.read_manifest(spark, str(f)).collect()} == {"a", "b"}
 
