@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import chunks, let, tokens
+from quillspark.functions.text import chunks, let, rounded, tokens
 from quillspark.operators import calibration, classification
 from quillspark.operators.splits import positions
 
@@ -210,7 +210,7 @@ def support_edges(scores: DataFrame, k: int = 15, label: str | None = None) -> D
     and, with ``label``, whether that column is 1."""
     order = Window.partitionBy(*KEYS).orderBy(F.desc("prob_cal"), "sent_idx")
     inverse = lambda c: F.coalesce(1 / (F.col(c) + 1), F.lit(0.0))
-    x = F.array(*[F.round(F.coalesce(v.cast("double"), F.lit(0.0)), 9) for v in (F.col("logit"), F.col("prob_cal"), F.col("dense"), inverse("dense_rank"), inverse("sparse_rank"))])
+    x = F.array(*[rounded(F.coalesce(v.cast("double"), F.lit(0.0)), 9) for v in (F.col("logit"), F.col("prob_cal"), F.col("dense"), inverse("dense_rank"), inverse("sparse_rank"))])
     return scores.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k).select("doc_id", "sent_idx", "cid", x.alias("attrs"), *([F.coalesce((F.col(label) == 1).cast("int"), F.lit(0)).alias("label")] if label else []))
 
 

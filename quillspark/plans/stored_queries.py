@@ -103,7 +103,7 @@ def graph_records_retrieved(spark, sf):
     the three best passages, scored by the prediction and the passage's length."""
     passages, pred = T.passage_table(documents(spark, sf)), predictions(spark, sf)
     logit = F.col("logit") + (F.length("sent").cast("double") % 100) / 50 - 1
-    scored = pred.select("doc_id", "cid", "label", "logit").join(passages, "doc_id").withColumns({"prob_cal": F.round(1 / (1 + F.exp(-logit)), 6), "logit": F.round(logit, 6)})
+    scored = pred.select("doc_id", "cid", "label", "logit").join(passages, "doc_id").withColumns({"prob_cal": F.round(1 / (1 + F.exp(-logit)), 6), "logit": T.rounded(logit, 6)})
     scored = scored.withColumns({"dense": F.lit(None).cast("double"), "dense_rank": F.col("sent_idx"), "sparse_rank": F.lit(None).cast("int")})
     nodes = passages.select("doc_id", "sent_idx", F.array(F.length("sent").cast("double")).alias("x"))
     truth = pred.select("doc_id", "cid", "label")
