@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import passage_table
-from quillspark.operators import assembly, graph, retrieval, scoring, splits
+from quillspark.operators import assembly, graph, matching, retrieval, splits
 from quillspark.plans.base import SQL as PARTS
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, with_sql, words_sql
 from quillspark.plans.table_queries import ADAM, AT_HALF, BIN, CHUNKS, PRED, RECURSIVE, WHOLE
@@ -91,8 +91,8 @@ def pair_attach(spark, sf):
  SELECT p.doc_id, t.cid, p.sent_idx, 0::DOUBLE, p.sent_idx + 1 FROM passages p CROSS JOIN topics t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND c.cid = t.cid)"""
 )
 def whole_document_fallback(spark, sf):
-    d, t = documents(spark, sf), topics(spark, sf)
-    return assembly.whole_document_candidates(retrieval.top_k(retrieval.sparse_cosine(d, t), 1), passage_table(d), t)
+    t = matching.topic_matrix(topics(spark, sf))
+    return matching.top_or_all(matching.document_words(documents(spark, sf)), t, matching.Cosine(t), 1)
 
 
 @query(f"WITH {CHUNKS}, {DESCRIBED_SQL} SELECT doc_id, cid, (row_number() OVER (PARTITION BY doc_id, cid ORDER BY start) - 1)::INT AS chunk_id, n_words, text AS topic FROM sc CROSS JOIN described")
@@ -108,11 +108,7 @@ def chunk_topic_pairs(spark, sf):
 def chunk_topic_scores(spark, sf):
     """Every window of a document scored against every topic, then the document's
     score for the topic by maximum and by the mean of its two best."""
-    rows = assembly.chunk_pairs(documents(spark, sf), topics(spark, sf), 64, 16)
-    logit = F.round(scoring.share_logit(F.array_distinct("words"), scoring.distinct_words(F.col("topic"))), 6)
-    scored = rows.select("doc_id", "cid", F.round(1 / (1 + F.exp(-logit)), 9).alias("prob"))
-    two = F.slice(F.reverse(F.array_sort(F.collect_list("prob"))), 1, 2)
-    return scored.groupBy("doc_id", "cid").agg(F.count("*").alias("n_chunks"), F.max("prob").alias("prob_max"), F.round(F.aggregate(two, F.lit(0.0), lambda a, x: a + x) / 2, 9).alias("prob_top"))
+    return matching.chunk_shares(documents(spark, sf), topics(spark, sf), 64, 16)
 
 
 @query(with_sql("label_rows") + " SELECT d.doc_id, coalesce(string_agg(cid || '=' || label, ',' ORDER BY cid), '') AS by_topic FROM documents d LEFT JOIN label_rows USING (doc_id) GROUP BY d.doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
-from quillspark.operators import calibration, classification, graph, groundtruth, ranking, sampling, scoring, splits
+from quillspark.operators import calibration, classification, graph, groundtruth, matching, ranking, sampling, scoring, splits
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, vectors, with_sql, words_sql
 from quillspark.session import table
 
@@ -245,9 +245,7 @@ def consistency_penalty(spark, sf):
 @query(f"WITH w AS (SELECT list_distinct({words_sql('b.text')}) AS b, list_distinct({words_sql('d.text')}) AS d, item_id, doc_id FROM documents d CROSS JOIN benchmark b) SELECT doc_id, item_id AS cid, round(len(list_intersect(d, b))::DOUBLE / greatest(len(b), 1) * 8 - 4, 6) AS logit FROM w")
 def lexical_scores(spark, sf):
     """The default scorer on all pairs of documents and topics."""
-    d = documents(spark, sf).select("doc_id", scoring.distinct_words(F.col("text")).alias("d"))
-    t = topics(spark, sf).select("cid", scoring.distinct_words(F.col("text")).alias("t"))
-    return d.crossJoin(t).select("doc_id", "cid", F.round(scoring.share_logit(F.col("d"), F.col("t")), 6).alias("logit"))
+    return matching.text_shares(documents(spark, sf), topics(spark, sf))
 
 
 # --- splits and sampling ------------------------------------------------------
@@ -307,9 +305,8 @@ def random_negatives(spark, sf):
 
 @query(with_sql("passages", "topics", "post", "terms", "bm25", "gold") + " SELECT doc_id, cid, sent_idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cid ORDER BY score DESC, sent_idx) AS rank FROM bm25) ANTI JOIN gold USING (doc_id, cid, sent_idx) WHERE rank <= 10")
 def hard_pool_anti(spark, sf):
-    from quillspark.operators import retrieval
-
-    return sampling.hard_pool(retrieval.top_k(retrieval.bm25(documents(spark, sf), topics(spark, sf)), 10), gold(spark, sf).distinct(), 10)
+    words, t = matching.document_words(documents(spark, sf), gold(spark, sf)), matching.topic_matrix(topics(spark, sf))
+    return matching.hard_pool(words, t, matching.bm25_model(words, t), 10)
 
 
 @query(
