@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.operators.splits import md5_order, positions_within
+from quillspark.operators.splits import md5_order, positions, positions_within, running_sums
+from quillspark.scratch import Scratch
 
 KEYS = ["doc_id", "cid"]
 
@@ -58,28 +59,59 @@ def cross_limits(limits: DataFrame, negatives: DataFrame, seed: int | str = 0) -
     return found.withColumn("_i", F.row_number().over(order)).where("_i <= n_cross").select(*KEYS, "other_id").distinct()
 
 
+def complement_limits(limits: DataFrame, positives: DataFrame, ids: DataFrame, seed: int | str = 0) -> DataFrame:
+    """``cross_limits`` where a topic's ring is every document of ``ids`` without a
+    positive for it. Rings are not made: the document at a place is found in the one
+    order of all documents by the number of the topic's positives before it."""
+    order = ids.select(F.col("doc_id").alias("other_id")).distinct().withColumn("_o", md5_order(seed, "other_id"))
+    placed = Scratch(ids.sparkSession, "ring").keep(positions(order, "_o", "other_id").select("other_id", F.col("pos").alias("place")))
+    taken = positives.select(F.col("doc_id").alias("other_id"), "cid").distinct().join(placed, "other_id")
+    # A positive at place a with i others before it comes before the ring's places from a - i on.
+    keys = positions_within(taken, "cid", "place").select("cid", (F.col("place") - F.col("pos")).alias("at"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("n"), "size")
+    size = keys.groupBy("cid").agg((F.lit(placed.count()) - F.max("size")).alias("size"))
+    sized = limits.where("n_cross > 0").join(size, "cid").where("size > 0")
+    start = F.pmod(F.conv(F.substring(md5_order(seed, *KEYS), 1, 12), 16, 10).cast("long"), F.col("size"))
+    want = sized.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n_cross", "size"))))
+    want = want.select(*KEYS, "n_cross", "step", ((start + F.col("step")) % F.col("size")).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"))
+    both = want.unionByName(keys.drop("size"), allowMissingColumns=True)
+    met = running_sums(both, ["cid"], ["at", "kind"], ["n"]).where("kind = 1").withColumn("place", F.col("at") + F.col("run_n"))
+    inside = Window.partitionBy(*KEYS).orderBy("step")
+    found = met.join(placed, "place").where("doc_id <> other_id").withColumn("_i", F.row_number().over(inside))
+    return found.where("_i <= n_cross").select(*KEYS, "other_id").distinct()
+
+
+def _cross_passages(found: DataFrame, limits: DataFrame, passages: DataFrame, seed: int | str) -> DataFrame:
+    sents = passages.select(F.col("doc_id").alias("other_id"), "sent_idx")
+    pool = found.join(sents, "other_id").select(*KEYS, "other_id", "sent_idx")
+    order = Window.partitionBy(*KEYS).orderBy(md5_order(seed, *KEYS, "other_id", "sent_idx"), "other_id", "sent_idx")
+    return pool.join(limits.select(*KEYS, "n_cross"), KEYS).withColumn("_i", F.row_number().over(order)).where("_i <= n_cross").select(*KEYS, "other_id", "sent_idx", F.lit("cross").alias("source"))
+
+
 def cross_take(limits: DataFrame, negatives: DataFrame, passages: DataFrame, seed: int | str = 0) -> DataFrame:
     """(doc_id, cid, other_id, sent_idx, source): for each key, n_cross passages
     in hashed order of the documents that its ring gives. Documents without a
     passage stand in no ring; a small ring gives several passages a document."""
-    sents = passages.select(F.col("doc_id").alias("other_id"), "sent_idx")
     ring = negatives.join(passages.select("doc_id").distinct(), "doc_id", "left_semi")
-    pool = cross_limits(limits, ring, seed).join(sents, "other_id").select(*KEYS, "other_id", "sent_idx")
-    order = Window.partitionBy(*KEYS).orderBy(md5_order(seed, *KEYS, "other_id", "sent_idx"), "other_id", "sent_idx")
-    return pool.join(limits.select(*KEYS, "n_cross"), KEYS).withColumn("_i", F.row_number().over(order)).where("_i <= n_cross").select(*KEYS, "other_id", "sent_idx", F.lit("cross").alias("source"))
+    return _cross_passages(cross_limits(limits, ring, seed), limits, passages, seed)
 
 
-def examples(positives: DataFrame, candidates: DataFrame, passages: DataFrame, negatives: DataFrame, k: int = 100, per_pos: int = 6, seed: int | str = 0, epoch: int = 0) -> DataFrame:
+def examples(positives: DataFrame, candidates: DataFrame, passages: DataFrame, negatives: DataFrame | None = None, k: int = 100, per_pos: int = 6, seed: int | str = 0, epoch: int = 0) -> DataFrame:
     """(doc_id, cid, other_id, sent_idx, source, label): the positives and their
     hard, random and cross-document negatives by quota; other_id is the
     passage's document. Hard and random parts may share a passage. Each ``epoch``
-    draws other negatives, and the same ones whenever it is asked for."""
+    draws other negatives, and the same ones whenever it is asked for. Without
+    ``negatives`` every document is one for the topics it has no positive for."""
     seed = f"{seed}.{epoch}" if epoch else seed
     limits = quotas(positives, per_pos)
     hard = take(hard_pool(candidates, positives, k).join(limits.select(*KEYS), KEYS, "left_semi"), limits, "n_hard", "hard", seed)
     same = take(random_pool(passages, positives), limits, "n_random", "random", seed).unionByName(hard)
     found = positives.select(*KEYS, "sent_idx", F.lit("gold").alias("source")).unionByName(same).withColumn("other_id", F.col("doc_id"))
-    out = found.unionByName(cross_take(limits, negatives, passages, seed))
+    if negatives is None:
+        ids = passages.select("doc_id").distinct()
+        cross = _cross_passages(complement_limits(limits, positives, ids, seed), limits, passages, seed)
+    else:
+        cross = cross_take(limits, negatives, passages, seed)
+    out = found.unionByName(cross)
     return out.select(*KEYS, "other_id", "sent_idx", "source", (F.col("source") == "gold").cast("int").alias("label"))
 
 

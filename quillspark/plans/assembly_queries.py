@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import passage_table
-from quillspark.operators import assembly, graph, matching, retrieval, splits
+from quillspark.operators import assembly, graph, matching, splits
 from quillspark.plans.base import SQL as PARTS
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, with_sql, words_sql
 from quillspark.plans.table_queries import ADAM, AT_HALF, BIN, CHUNKS, PRED, RECURSIVE, WHOLE
@@ -51,8 +51,9 @@ def prob_fallback(spark, sf):
  LEFT JOIN (SELECT DISTINCT * FROM gold) g ON g.doc_id = c.doc_id AND g.cid = c.cid AND g.sent_idx = c.sent_idx"""
 )
 def candidate_attach(spark, sf):
-    d, t = documents(spark, sf), topics(spark, sf)
-    rows = assembly.candidate_rows(retrieval.top_k(retrieval.bm25(d, t), 1), passage_table(d), t, gold(spark, sf), 1)
+    t = matching.topic_matrix(topics(spark, sf))
+    words = matching.document_words(documents(spark, sf), gold(spark, sf), sents=True)
+    rows = matching.candidate_rows(words, t, matching.bm25_model(words, t), topics(spark, sf), 1)
     return rows.select("doc_id", "cid", "sent_idx", "rank", F.length("sent").alias("n_sent"), F.length("topic").alias("n_topic"), "label")
 
 

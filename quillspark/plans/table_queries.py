@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quillspark.functions import text as T
 from quillspark.operators import calibration, classification, graph, groundtruth, matching, ranking, sampling, scoring, splits
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, vectors, with_sql, words_sql
+from quillspark.scratch import Scratch
 from quillspark.session import table
 
 Q, SQL = {}, {}
@@ -351,12 +352,11 @@ def _examples_sql(seed: str) -> str:
 @query(with_sql("passages", "topics", "post", "terms", "bm25", "gold") + _examples_sql("0"))
 def negative_examples(spark, sf):
     """Gold passages with their hard, random and cross-document negatives."""
-    from quillspark.operators import retrieval
-
-    docs, g = documents(spark, sf), gold(spark, sf).distinct()
-    truth = groundtruth.document_truth(docs, topics(spark, sf).join(g.select("cid").distinct(), "cid", "left_semi"), g)
-    ranked = retrieval.top_k(retrieval.bm25(docs, topics(spark, sf)), 100)
-    return sampling.examples(g, ranked, T.passage_table(docs), truth.where("label = 0"))
+    docs, g = documents(spark, sf), Scratch(spark, "gold").keep(gold(spark, sf).distinct())
+    words, t = matching.document_words(docs, g), matching.topic_matrix(topics(spark, sf))
+    # Quotas are by pairs with gold, so that only these need candidates.
+    ranked = matching.labelled_top(words.where("gold IS NOT NULL"), t, matching.bm25_model(words, t), 100, of_gold=True)
+    return sampling.examples(g, ranked, T.passage_table(docs))
 
 
 # --- ground truth and text ----------------------------------------------------

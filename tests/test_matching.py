@@ -96,3 +96,20 @@ def test_plan_shuffles_no_cells(spark, sf):
     for name in ("bm25_topk", "bm25_zero_fill", "pair_mining", "rrf_three_way", "hard_pool_anti", "lexical_scores", "chunk_topic_scores", "tfidf_cosine", "whole_document_fallback"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "hashpartitioning" not in plan and "Sort" not in plan, name
+
+
+def test_attached_candidates_agree_with_joins(tables, cells):
+    docs, topics, gold = tables
+    t, words = matching.topic_matrix(topics), matching.document_words(docs, gold, sents=True)
+    wanted = assembly.candidate_rows(retrieval.top_k(retrieval.bm25(docs, topics), 2), passage_table(docs), topics, gold, 2)
+    assert rows(matching.candidate_rows(words, t, matching.bm25_model(words, t), topics, 2).select(wanted.columns)) == rows(wanted)
+
+
+def test_complement_rings_agree_with_written_rings(spark):
+    ids = spark.range(1, 13).withColumnRenamed("id", "doc_id")
+    positives = spark.createDataFrame([(d, c, 0) for c, ds in ((1, [1, 2, 7]), (2, range(1, 13)), (3, range(1, 12)), (4, [5])) for d in ds], "doc_id long, cid long, sent_idx int")
+    limits = sampling.quotas(positives, 30)
+    negatives = ids.crossJoin(positives.select("cid").distinct()).join(positives, ["doc_id", "cid"], "left_anti")
+    for seed in (0, "0.1"):
+        wanted = rows(sampling.cross_limits(limits, negatives, seed))
+        assert wanted and rows(sampling.complement_limits(limits, positives, ids, seed)) == wanted
