@@ -2,11 +2,10 @@
 
 Changes are rows (doc_id, version, text): the text a document has from that
 version on, null where the document goes. A batch of them adds a folder to the
-index: postings of the changed documents, one row a document with its distinct
-terms, and what the batch adds to and takes from document frequencies and
-totals. Nothing that earlier batches wrote is rewritten; what a later batch
+index: the words of the changed documents, one narrow row a document, and what the
+batch adds to and takes from document frequencies and totals. Nothing that earlier batches wrote is rewritten; what a later batch
 replaced is left out when the index is opened. ``compact`` puts all folders
-together to one whose postings are bucketed by document.
+together to one whose words are bucketed by document.
 
 A batch that is run again writes the same folder from the same earlier ones. A
 folder counts once its last table, the totals, is complete.
@@ -20,12 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.functions.text import passage_table
-from quillspark.operators import retrieval
-from quillspark.sources.indexes import LexicalIndex, read_bucketed, write_bucketed
+from quillspark.scratch import build_side, restrict
+from quillspark.sources.indexes import LexicalIndex, cut, document_length, passage_counts, read_bucketed, write_bucketed
 
-DOCUMENTS = "doc_id long, epoch long, version long, n long, dl long, terms array<struct<term: string, df: long>>"
-POSTINGS = "doc_id long, sent_idx int, dl int, norm double, term string, tf long, lead boolean, epoch long"
+DOCUMENTS = "doc_id long, epoch long, version long, n long, dl long"
+WORDS = "doc_id long, epoch long, version long, words array<array<string>>"
 TERMS = "term string, df long"
 TOTALS = "n long, dl long"
 
@@ -70,8 +68,8 @@ class IncrementalIndex:
         versions the greatest text, and any text before null. A version that
         isn't above the one the index holds is late and changes nothing. Rows
         without an id or a version are left out; empty batches, empty texts and
-        extra columns are fine. Only the documents' rows of earlier batches are
-        read, no posting.
+        extra columns are fine. Of earlier batches the documents' narrow rows and
+        the words of replaced documents are read.
         """
         base, earlier = self._folders(epoch)
         if epoch <= base:
@@ -79,59 +77,72 @@ class IncrementalIndex:
         folder = f"{self.path}/batch-{epoch}"
         self._delete(folder)
         news = changes.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("version").cast("long").alias("version"), F.col("text").cast("string").alias("text"))
-        news = news.where("doc_id IS NOT NULL AND version IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("version", F.col("text").isNotNull().alias("is"), "text")).alias("c")).select("doc_id", "c.version", "c.text")
+        news = self._last_changes(news.where("doc_id IS NOT NULL AND version IS NOT NULL"), f"{folder}/repeated")
         held = self._read(earlier, "documents", DOCUMENTS)
-        # One row a document: an aggregate of structs would hold arrays of terms, so
-        # the epoch is found first.
-        last = held.groupBy("doc_id").agg(F.max(F.struct("epoch", "version")).alias("last")).select("doc_id", F.col("last.epoch").alias("epoch"), F.col("last.version").alias("held"))
-        news.join(last, "doc_id", "left").where("held IS NULL OR version > held").write.parquet(f"{folder}/changes")
-        accepted = self.spark.read.schema("doc_id long, version long, text string, epoch long, held long").parquet(f"{folder}/changes")
-
-        postings = retrieval.with_norms(retrieval.passage_terms(passage_table(accepted.where("text IS NOT NULL"))))
-        self._shaped(postings.withColumn("epoch", F.lit(epoch)), POSTINGS).write.parquet(f"{folder}/postings")
-        written = self.spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
-        terms = written.where("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("df")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("terms"))
-        sizes = written.where("lead").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
-        rows = accepted.select("doc_id", F.lit(epoch).alias("epoch"), "version").join(sizes, "doc_id", "left").join(terms, "doc_id", "left")
-        empty = F.array().cast("array<struct<term: string, df: long>>")
-        rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "dl": F.coalesce("dl", F.lit(0)), "terms": F.coalesce("terms", empty)})
+        # A later batch has the higher version, so that both are the greatest of one row.
+        last = held.groupBy("doc_id").agg(F.max("epoch").alias("epoch"), F.max("version").alias("held"))
+        accepted = news.join(build_side(last), "doc_id", "left").where("held IS NULL OR version > held") if earlier else news
+        words = accepted.select("doc_id", F.lit(epoch).cast("long").alias("epoch"), "version", cut(F.col("text")).alias("words"))
+        words.write.parquet(f"{folder}/words")
+        written = self.spark.read.schema(WORDS).parquet(f"{folder}/words")
+        rows = written.withColumns({"n": F.size("words"), "dl": document_length(F.col("words"))})
         self._shaped(rows, DOCUMENTS).write.parquet(f"{folder}/documents")
 
-        new = self.spark.read.schema(DOCUMENTS).parquet(f"{folder}/documents").withColumn("sign", F.lit(1))
-        old = held.join(accepted.select("doc_id", "epoch"), ["doc_id", "epoch"], "left_semi").withColumn("sign", F.lit(-1))
-        both = new.unionByName(old)
-        deltas = both.select("sign", F.inline("terms")).groupBy("term").agg(F.sum(F.col("sign") * F.col("df")).alias("df")).where("df <> 0")
+        new = self.spark.read.schema(DOCUMENTS).parquet(f"{folder}/documents")
+        sign = F.lit(1).alias("sign")
+        texts, both = written.select("words", sign), new.select("n", "dl", sign)
+        if earlier:
+            last.join(new.select("doc_id"), "doc_id").select("doc_id", "epoch").write.parquet(f"{folder}/replaced")
+            replaced = self.spark.read.schema("doc_id long, epoch long").parquet(f"{folder}/replaced")
+            old = [restrict(part, replaced, ["doc_id", "epoch"]).select("words", F.lit(-1).alias("sign")) for part in self._parts(base, earlier)]
+            texts = _union([texts, *old])
+            both = both.unionByName(restrict(held, replaced, ["doc_id", "epoch"]).select("n", "dl", F.lit(-1).alias("sign")))
+        deltas = passage_counts(texts, "sign").groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
         self._shaped(deltas, TERMS).write.parquet(f"{folder}/terms")
         totals = both.agg(F.coalesce(F.sum(F.col("sign") * F.col("n")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("dl"))
         self._shaped(totals, TOTALS).write.parquet(f"{folder}/totals")
-        self._delete(f"{folder}/changes")
+        for table in ("repeated", "replaced"):
+            self._delete(f"{folder}/{table}")
+
+    def _last_changes(self, news: DataFrame, folder: str) -> DataFrame:
+        """The change that counts of every document. Only documents with several have
+        their texts compared; their ids are written below ``folder``."""
+        news.groupBy("doc_id").agg(F.count("*").alias("changes")).where("changes > 1").select("doc_id").write.parquet(folder)
+        repeated = self.spark.read.schema("doc_id long").parquet(folder)
+        if repeated.isEmpty():
+            return news
+        several = restrict(news, repeated, "doc_id").groupBy("doc_id").agg(F.max(F.struct("version", F.col("text").isNotNull().alias("is"), "text")).alias("c")).select("doc_id", "c.version", "c.text")
+        return restrict(news, repeated, "doc_id", "left_anti").unionByName(several)
 
     def _shaped(self, df: DataFrame, schema: str) -> DataFrame:
         fields = self.spark.createDataFrame([], schema).schema.fields
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
-    def _postings(self, base: int, folders: list[tuple[int, str]]) -> DataFrame:
-        """All postings but those of documents that a later batch changed. What the
-        batches changed is one narrow row a changed document."""
+    def _parts(self, base: int, folders: list[tuple[int, str]]) -> list[DataFrame]:
+        """The words of the base, in its buckets, and those of the later batches."""
         later = [x for x in folders if x[0] > base]
-        parts = [read_bucketed(self.spark, f"{folders[0][1]}/postings")] if base >= 0 else []
-        if not later:
-            return parts[0] if parts else self._read([], "postings", POSTINGS)
-        parts.append(self._read(later, "postings", POSTINGS))
-        changed = self._read(later, "documents", DOCUMENTS).groupBy("doc_id").agg(F.max("epoch").alias("last"))
+        parts = [read_bucketed(self.spark, f"{folders[0][1]}/words")] if base >= 0 else []
+        return parts + ([self._read(later, "words", WORDS)] if later or not parts else [])
+
+    def _words(self, base: int, folders: list[tuple[int, str]]) -> DataFrame:
+        """The words of all documents but those that a later batch replaced."""
+        parts = self._parts(base, folders)
+        if len(folders) < 2:
+            return _union(parts)
+        stale = self._read(folders, "documents", DOCUMENTS).groupBy("doc_id").agg(F.max("epoch").alias("last"), F.min("epoch").alias("first")).where("first < last")
+        held = build_side(stale.select("doc_id", "last")).alias("c")
         # The base and the batches are joined apart, so that the base keeps its buckets.
-        alive = [p.alias("p").join(changed.alias("c"), F.expr("p.doc_id = c.doc_id AND c.last > p.epoch"), "left_anti") for p in parts]
-        return _union(alive)
+        return _union([p.alias("p").join(held, F.expr("p.doc_id = c.doc_id AND c.last > p.epoch"), "left_anti") for p in parts])
 
     def open(self) -> LexicalIndex:
         """What ``search_bm25`` and ``search_sparse`` read: equal to an index built
         anew from the documents as they are now. Right after ``compact`` the
-        postings come in buckets and a search doesn't shuffle them."""
+        words come in buckets and a search doesn't shuffle them."""
         base, folders = self._folders()
         terms = self._read(folders, "terms", TERMS).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         totals = self._read(folders, "totals", TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("dl").alias("dl"))
         stats = totals.select("n", F.when(F.col("n") > 0, F.col("dl") / F.col("n")).alias("avgdl"))
-        return LexicalIndex(self._postings(base, folders).where("term IS NOT NULL").drop("epoch"), terms, stats)
+        return LexicalIndex(self._words(base, folders).select("doc_id", "words"), terms, stats)
 
     def compact(self, buckets: int | None = None) -> None:
         """One folder for all so far; the others are deleted, so no search may be
@@ -142,7 +153,7 @@ class IncrementalIndex:
         epoch, index = folders[-1][0], self.open()
         folder = f"{self.path}/base-{epoch}"
         self._delete(folder)
-        write_bucketed(self._postings(base, folders), f"{folder}/postings", "doc_id", buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        write_bucketed(self._words(base, folders), f"{folder}/words", "doc_id", buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         held = self._read(folders, "documents", DOCUMENTS)
         last = held.groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
         held.join(last, ["doc_id", "epoch"], "left_semi").write.parquet(f"{folder}/documents")

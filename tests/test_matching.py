@@ -113,3 +113,23 @@ def test_complement_rings_agree_with_written_rings(spark):
     for seed in (0, "0.1"):
         wanted = rows(sampling.cross_limits(limits, negatives, seed))
         assert wanted and rows(sampling.complement_limits(limits, positives, ids, seed)) == wanted
+
+
+def test_stored_searches_make_cells_by_document(spark, tmp_path):
+    """From an index, of batches too, no row a cell is grouped or sorted; documents of one id are one."""
+    from quillspark.sources import indexes
+    from quillspark.streaming.index import IncrementalIndex
+
+    docs, topics = spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame(TOPICS, "cid long, text string")
+    built = indexes.build_lexical_index(docs, f"{tmp_path}/i", 3)
+    index = IncrementalIndex(spark, f"{tmp_path}/b")
+    index.apply(docs.withColumn("version", F.lit(1)), 0)
+    for found in (built, index.open()):
+        for search, scores in ((indexes.search_bm25, retrieval.bm25), (indexes.search_sparse, retrieval.sparse_cosine)):
+            got = search(found, topics, 3)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "Aggregate" not in plan and "Sort" not in plan
+            assert rows(got) == rows(retrieval.top_k(scores(docs, topics), 3).select(got.columns))
+    twice = indexes.build_lexical_index(spark.createDataFrame([(1, "Red fox. Dog."), (1, "Blue."), (2, "Red.")], "doc_id long, text string"), f"{tmp_path}/t", 2)
+    assert rows(twice.postings.select("doc_id", "sent_idx", "term", "tf")) == [(1, 0, "blue", 1), (1, 0, "fox", 1), (1, 0, "red", 1), (1, 1, "dog", 1), (2, 0, "red", 1)]
+    assert rows(twice.terms) == [("blue", 1), ("dog", 1), ("fox", 1), ("red", 2)] and twice.stats.first()["n"] == 3
