@@ -1,8 +1,8 @@
 """A vectoriser that is fitted once, saved, loaded and applied to texts it hasn't seen.
 
 Two backends stand behind one interface. ``tfidf`` weighs words and pairs of
-words of a fitted vocabulary and gives sorted sparse unit vectors, all in
-built-in functions; the vocabulary has ``size`` rows at most and is broadcast.
+words of a fitted vocabulary and gives sorted sparse unit vectors, passage by
+passage (``grams``); the vocabulary has ``size`` rows at most and travels with the tasks.
 ``model`` hands texts to an encoder that is set up once a task
 (``scoring.model_encoder``) and keeps its name beside the empty vocabulary, so
 that a loaded vectoriser knows which encoder it needs.
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import tokens
 from quillspark.operators import retrieval
+from quillspark.operators.grams import gram_vectors
 
 VOCABULARY = "term string, idx int, idf double"
 VECTOR = "struct<idx:array<int>,w:array<double>>"
@@ -72,15 +72,7 @@ class Vectoriser:
             if setup is None:
                 raise ValueError(f"no encoder given for {self.model_name}")
             return encoded(rows.select(*keys, F.col(text).alias("_text")), "_text", "vector", setup, **batching).drop("_text")
-        # Dealt by key once; the counts and the arrays need no other shuffle.
-        dealt = rows.select(*keys, F.explode_outer(retrieval.ngrams(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term")).repartition(*keys)
-        known = dealt.join(F.broadcast(self.vocabulary), "term", "left")  # ``size`` rows
-        cells = known.groupBy(*keys, "idx").agg((F.count("*") * F.first("idf")).alias("x"))
-        cell = F.when(F.col("idx").isNotNull(), F.struct("idx", "x"))
-        vectors = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("c"))
-        norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, e: a + e["x"] * e["x"])) + 1e-8
-        scaled = vectors.withColumn("n", norm)
-        return scaled.select(*keys, F.struct(F.transform("c", lambda e: e["idx"]).alias("idx"), F.transform("c", lambda e: e["x"] / F.col("n")).alias("w")).alias("vector"))
+        return gram_vectors(rows, keys, text, self.vocabulary.select("term", "idx", "idf").toArrow())  # ``size`` rows
 
 
 def sparse_dot(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:

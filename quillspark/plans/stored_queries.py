@@ -11,7 +11,7 @@ from quillspark.plans.assembly_queries import DESCRIBED_SQL, _described
 from quillspark.plans.base import documents, gold, predictions, topics, vectors, with_sql, words_sql
 from quillspark.plans.retrieval_queries import DENSE, RETR
 from quillspark.plans.table_queries import CUE, HEDGE, NEGATION
-from quillspark.scratch import Scratch
+from quillspark.scratch import Scratch, restrict
 from quillspark.sources import graphs, indexes
 from quillspark.streaming.index import IncrementalIndex
 
@@ -133,10 +133,11 @@ def vectorised_heldout(spark, sf):
     """Fitted on the passages of the training documents and the topics, saved, loaded,
     and applied to the passages of the other documents."""
     docs = documents(spark, sf)
-    train = splits.ratio_split(docs, 0.8, 0.1, 7).where("split = 'train'").select("doc_id")
-    passages, folder = T.passage_table(docs), _folder(spark, "vectoriser")
-    Vectoriser.fit(passages.join(train, "doc_id", "left_semi"), topics(spark, sf)).save(folder)
-    held = passages.join(train, "doc_id", "left_anti")
+    train = Scratch(spark, "train").keep(splits.ratio_split(docs, 0.8, 0.1, 7).where("split = 'train'").select("doc_id"))
+    folder = _folder(spark, "vectoriser")
+    # Documents are chosen before their texts are cut.
+    Vectoriser.fit(T.passage_table(restrict(docs, train, "doc_id")), topics(spark, sf)).save(folder)
+    held = T.passage_table(restrict(docs, train, "doc_id", "left_anti"))
     out = Vectoriser.load(spark, folder).transform(held, ["doc_id", "sent_idx"], "sent")
     return out.select("doc_id", "sent_idx", F.col("vector.idx").alias("idx"), F.transform("vector.w", lambda w: F.round(w, 6)).alias("w"))
 

@@ -133,3 +133,65 @@ def test_stored_searches_make_cells_by_document(spark, tmp_path):
     twice = indexes.build_lexical_index(spark.createDataFrame([(1, "Red fox. Dog."), (1, "Blue."), (2, "Red.")], "doc_id long, text string"), f"{tmp_path}/t", 2)
     assert rows(twice.postings.select("doc_id", "sent_idx", "term", "tf")) == [(1, 0, "blue", 1), (1, 0, "fox", 1), (1, 0, "red", 1), (1, 1, "dog", 1), (2, 0, "red", 1)]
     assert rows(twice.terms) == [("blue", 1), ("dog", 1), ("fox", 1), ("red", 2)] and twice.stats.first()["n"] == 3
+
+
+def test_grams_are_counted_by_passage(spark):
+    """No n-gram of a passage is a row of its own; the counts and vectors are those of all n-grams."""
+    from collections import Counter
+
+    from quillspark.functions.text import tokens
+    from quillspark.operators.vectoriser import Vectoriser
+
+    texts = ["red fox red fox red", "a fox", "", None, "dog", "red red red", "... x y"]
+    p = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, sent_idx int, sent string")
+    topics = spark.createDataFrame([(1, "red fox"), (2, None)], "cid long, text string")
+    grams = [r.g or [] for t in (p.select(retrieval.ngrams(tokens(F.col("sent"))).alias("g")), topics.select(retrieval.ngrams(tokens(F.col("text"))).alias("g"))) for r in t.collect()]
+    found = retrieval.vocabulary_of(p, topics, 100)
+    count, df = Counter(x for g in grams for x in g), Counter(x for g in grams for x in set(g))
+    assert {r.term: (r["count"], r.df) for r in found.collect()} == {x: (n, df[x]) for x, n in count.items()} != {}
+    for size in (1, 2, 3, 5):  # pairs of rarer words are left out, the first terms stay
+        first = sorted(count, key=lambda x: (-count[x], x))[:size]
+        assert {r.term: (r["count"], r.df) for r in retrieval.vocabulary_of(p, topics, size).collect()} == {x: (count[x], df[x]) for x in first}
+    model = Vectoriser.fit(p, topics, 100)
+    out = model.transform(p, ["doc_id", "sent_idx"], "sent")
+    idx = {r.term: r.idx for r in model.vocabulary.collect()}
+    assert {r.doc_id: r.vector.idx for r in out.collect()} == {i: sorted(idx[x] for x in set(g)) for i, g in enumerate(grams[: len(texts)])}
+    for made in (found, out):
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gold_deals_no_passage(spark, sf):
+    """A common passage's rows don't meet in one task, and texts aren't sorted."""
+    from quillspark.plans.base import gold
+
+    plan = gold(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_padded_truth_by_document(spark, tables):
+    """``document_passage_truth`` agrees with ``passage_truth``; the query sorts no passage."""
+    from quillspark.operators import groundtruth
+    from quillspark.plans.registry import QUERIES
+
+    docs, topics, _ = tables
+    notes = [(1, 0, 10, 1, "b"), (1, 0, 11, 0, "a"), (1, 6, 10, 1, "far"), (1, 6, 10, 1, "far"), (3, 1, 14, 1, "empty"), (4, 0, 10, 0, "null"), (77, 1, 11, 1, "gone")]
+    ann = spark.createDataFrame(notes, "doc_id long, sent_idx int, cid long, status int, text string")
+    wanted = rows(groundtruth.passage_truth(passage_table(docs), topics, ann))
+    assert rows(groundtruth.document_passage_truth(docs, topics, ann)) == wanted and sum(r[-1] for r in wanted) == 4
+    plan = QUERIES["gt_sentence_padded"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(sent" not in plan and "sent_idx" in plan
+
+
+def test_support_edges_of_scored_documents(spark, tables, sf):
+    """With the number of passages given nothing is counted over windows; the edges are the same."""
+    from quillspark.operators import graph
+    from quillspark.plans.registry import QUERIES
+
+    docs, _, gold = tables
+    scores = gold.withColumns({"logit": F.lit(1.5), "prob": F.lit(0.4)})
+    p = passage_table(docs)
+    sized = p.join(p.groupBy("doc_id").agg(F.count("*").alias("n_passages")), "doc_id")
+    key = lambda df: sorted((r.doc_id, r.sent_idx, r.cid, *r.attrs, r.label) for r in df.collect())
+    assert key(graph.supports_edges(scores, sized)) == key(graph.supports_edges(scores, p)) != []
+    plan = QUERIES["graph_supports_edges"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
