@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import passage_table, passages, tokens
+from quillspark.functions.text import passages, tokens
+from quillspark.scratch import Scratch, build_side
 from quillspark.session import table
 
 
@@ -33,9 +34,12 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, cid, sent_idx): passages equal to a topic's passage, of four words or more."""
+    """(doc_id, cid, sent_idx): passages equal to a topic's passage, of four words or more.
+    The few topics' passages are held in each task: no text is dealt by its passages,
+    of which a common one would fill a task."""
     t = topics(spark, sf).select("cid", F.explode(passages(F.col("text"))).alias("sent")).where(F.size(tokens(F.col("sent"))) >= 4).distinct()
-    return passage_table(documents(spark, sf)).join(t, "sent").select("doc_id", "cid", "sent_idx")
+    cut = documents(spark, sf).select("doc_id", F.posexplode(passages(F.col("text"))).alias("sent_idx", "sent"))
+    return cut.join(build_side(Scratch(spark, "topics").keep(t)), "sent").select("doc_id", "cid", "sent_idx")
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
