@@ -5,11 +5,13 @@ Topics are few and fixed; Spark broadcasts them while their size allows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import locate_span
+from quillspark.functions.text import let, locate_span
+from quillspark.functions.text import passages as passages_of
+from quillspark.scratch import Scratch, build_side
 
 
 def document_truth(docs: DataFrame, topics: DataFrame, positives: DataFrame) -> DataFrame:
@@ -34,6 +36,28 @@ def passage_truth(passages: DataFrame, topics: DataFrame, annotations: DataFrame
     return text.crossJoin(topics.select("cid")).join(y, ["doc_id", "sent_idx", "cid"], "left").select("doc_id", "sent_idx", "cid", "sent", F.coalesce("_y", F.lit(0)).alias("label"))
 
 
+def document_passage_truth(docs: DataFrame, topics: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``passage_truth`` of the passages of ``docs`` (doc_id, text). A document's row
+    meets its annotations once, and its text is cut, padded and labelled there: no
+    passage is dealt or sorted. ``annotations`` are read twice."""
+    scratch = Scratch(docs.sparkSession, "annotations")
+    notes = annotations.groupBy("doc_id", "sent_idx").agg(F.min("text").alias("note"), F.collect_set(F.when(F.col("status") == 1, F.col("cid"))).alias("yes"))
+    own = scratch.keep(notes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("sent_idx", F.struct("note", "yes").alias("v")))).alias("notes"), F.max("sent_idx").alias("last")))
+    without = own.join(docs.select("doc_id"), "doc_id", "left_anti").withColumn("text", F.lit(None).cast("string"))
+    rows = docs.select("doc_id", "text").join(build_side(own, 100_000), "doc_id").unionByName(without)
+
+    def places(sents: Column) -> Column:
+        def one(i: Column) -> Column:
+            v = F.try_element_at(F.col("notes"), i)
+            return F.struct(i.alias("sent_idx"), F.coalesce(F.get(sents, i), v["note"], F.lit("")).alias("sent"), v["yes"].alias("yes"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(sents) - 1, F.col("last"))), one)
+
+    cut = rows.select("doc_id", F.inline(let(passages_of(F.col("text")), places)))
+    label = F.coalesce(F.array_contains("yes", F.col("cid")), F.lit(False)).cast("int")
+    return cut.crossJoin(F.broadcast(topics.select("cid"))).select("doc_id", "sent_idx", "cid", "sent", label.alias("label"))
+
+
 def answer_spans(docs: DataFrame, offsets: DataFrame, evidence: DataFrame) -> DataFrame:
     """(doc_id, cid, sent_idx, start, end) of evidence (doc_id, cid, sent_idx, text):
     by index, else by finding the text, else without its closing marks; unresolved rows go."""

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quillspark.functions import text as T
 from quillspark.operators import calibration, classification, graph, groundtruth, matching, ranking, sampling, scoring, splits
 from quillspark.plans.base import documents, gold, label_rows, predictions, topics, vectors, with_sql, words_sql
-from quillspark.scratch import Scratch
+from quillspark.scratch import Scratch, build_side
 from quillspark.session import table
 
 Q, SQL = {}, {}
@@ -379,9 +379,9 @@ def gt_cross_join(spark, sf):
 )
 def gt_sentence_padded(spark, sf):
     """Annotations stand one place after each gold passage, so that some fall beyond the text."""
-    g = gold(spark, sf).distinct()
+    g = Scratch(spark, "gold").keep(gold(spark, sf).distinct())
     ann = g.select("doc_id", (F.col("sent_idx") + 1).alias("sent_idx"), "cid", (F.col("sent_idx") % 2 == 0).cast("int").alias("status"), F.concat(F.lit("note "), (F.col("sent_idx") + 1).cast("string")).alias("text"))
-    return groundtruth.passage_truth(T.passage_table(documents(spark, sf)), ann.select("cid").distinct(), ann)
+    return groundtruth.document_passage_truth(documents(spark, sf), ann.select("cid").distinct(), ann)
 
 
 @query(
