@@ -21,12 +21,17 @@ def topic_nodes(topics: DataFrame, doc_scores: DataFrame) -> DataFrame:
 
 
 def supports_edges(scores: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, cid, attrs, label): logit, prob, negation, hedge, days, relative position."""
-    w = Window.partitionBy("doc_id")
-    place = F.when(F.count("*").over(w) > 1, F.col("sent_idx") / (F.count("*").over(w) - 1)).otherwise(0.0)
-    cues = passages.select("doc_id", "sent_idx", has_cue(F.col("sent"), NEGATION_CUES).alias("neg"), has_cue(F.col("sent"), HEDGE_CUES).alias("hedge"), F.coalesce(duration_days(F.col("sent")), F.lit(0)).alias("days"), F.round(place, 6).alias("pos"))
+    """(doc_id, sent_idx, cid, attrs, label): logit, prob, negation, hedge, days, relative position.
+
+    ``n_passages`` of ``passages`` is the number in the document; without the column
+    they are counted. Cues are looked for in scored passages only."""
+    if "n_passages" not in passages.columns:
+        passages = passages.withColumn("n_passages", F.count("*").over(Window.partitionBy("doc_id")))
+    place = F.round(F.when(F.col("n_passages") > 1, F.col("sent_idx") / (F.col("n_passages") - 1)).otherwise(0.0), 6)
+    cues = {"neg": has_cue(F.col("sent"), NEGATION_CUES), "hedge": has_cue(F.col("sent"), HEDGE_CUES), "days": F.coalesce(duration_days(F.col("sent")), F.lit(0)), "pos": place}
+    met = passages.select("doc_id", "sent_idx", "sent", "n_passages").join(scores, ["doc_id", "sent_idx"]).withColumns(cues)
     attrs = F.array(*[F.col(c).cast("double") for c in ("logit", "prob", "neg", "hedge", "days", "pos")])
-    return scores.join(cues, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "cid", attrs.alias("attrs"), (F.col("prob") >= 0.5).cast("int").alias("label"))
+    return met.select("doc_id", "sent_idx", "cid", attrs.alias("attrs"), (F.col("prob") >= 0.5).cast("int").alias("label"))
 
 
 def next_edges(rows: DataFrame, by: str, order: str) -> DataFrame:

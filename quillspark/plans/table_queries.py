@@ -505,8 +505,12 @@ def graph_near_edges(spark, sf):
 )
 def graph_supports_edges(spark, sf):
     logit = F.round((F.col("sent_idx") % 10) / 2 - 2, 6)
-    s = gold(spark, sf).distinct().withColumn("logit", logit).withColumn("prob", F.round(T.sigmoid(F.col("logit")), 6))
-    return graph.supports_edges(s, T.passage_table(documents(spark, sf)))
+    g = Scratch(spark, "gold").keep(gold(spark, sf).distinct())
+    s = g.withColumn("logit", logit).withColumn("prob", F.round(T.sigmoid(F.col("logit")), 6))
+    # Only documents with edges are cut, each in its row, with the number of its passages.
+    own = documents(spark, sf).select("doc_id", "text").join(build_side(g.select("doc_id").distinct()), "doc_id", "left_semi")
+    passages = own.select("doc_id", T.passages(F.col("text")).alias("sents")).select("doc_id", F.size("sents").alias("n_passages"), F.posexplode("sents").alias("sent_idx", "sent"))
+    return graph.supports_edges(build_side(s), passages)
 
 
 @query(with_sql("passages") + " SELECT doc_id, sent_idx, [length(sent)::DOUBLE, 0.0, 0.0, 0.0] AS x FROM passages")
