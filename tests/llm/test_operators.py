@@ -328,6 +328,50 @@ def test_suffix_order():
         _suffix_order(raw, rng.randrange(1, 60))
 
 
+def test_only_suffixes_that_others_hold_are_sorted(monkeypatch):
+    """Fragments of one minimiser, most of which differ, and one hot string in many texts."""
+    sizes, order = [], suffixes.HashedSuffixes.order
+    monkeypatch.setattr(suffixes.HashedSuffixes, "order", lambda self: sizes.append(len(self.at)) or order(self))
+    monkeypatch.setattr(suffixes, "WINDOWS", 400)
+    rng = random.Random(33)
+    hot, others = "".join(rng.choice("abcdef") for _ in range(90)), [rng.choice("abcdef") for _ in range(1 << 16)]
+    texts = ["".join(rng.choices(others, k=40)) + (hot if i % 2 else hot[:16]) + "".join(rng.choices(others, k=60)) for i in range(200)]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    own, count = np.arange(200) // 2 * 7, np.array([len(t) - 49 for t in raw])
+    found = np.zeros((200, count.max()), bool)
+    for f, lo, hi in zip(*suffixes._hit_runs(np.concatenate(raw), own, count), strict=True):
+        found[f, lo:hi] = True
+    least = {}
+    for t, d in zip(texts, own.tolist(), strict=True):
+        for p in range(len(t) - 49):
+            least.setdefault(t[p : p + 50], d)
+    want = [[p < n and least[t[p : p + 50]] < d for p in range(count.max())] for t, d, n in zip(texts, own.tolist(), count, strict=True)]
+    assert found.tolist() == want
+    twins = sum(map(sum, want))
+    assert twins <= sum(sizes) < 1.5 * twins < 0.6 * count.sum()
+    assert len(sizes) > 5 and max(sizes) < 3 * 400
+
+
+def test_equal_suffixes_are_merged_as_one(monkeypatch):
+    """Many texts that go on in two ways behind one string, in turns."""
+    merged, merge = [], suffixes.HashedSuffixes._merge
+    monkeypatch.setattr(suffixes.HashedSuffixes, "_merge", lambda self, order, fresh, falls: merged.append(len(order)) or merge(self, order, fresh, falls))
+    raw = b"".join(b"0123456789abcdefghijklmn" + (b"yes", b"nay")[k % 2] for k in range(500))
+    at = np.arange(0, len(raw), 27)
+    order, equal = suffixes.HashedSuffixes(np.frombuffer(raw, np.uint8), at, at + 27).order()
+    assert order.tolist() == [*range(1, 500, 2), *range(0, 500, 2)] and (~equal).sum() == 2
+    assert merged == [2]
+
+
+def test_blobs_stay_few_and_heads_whole():
+    """Numbers of buckets by size, and the numbers that a blob holds."""
+    head = np.random.default_rng(3).integers(0, 1 << 32, (4, 77), dtype=np.uint32)
+    planes = suffixes._planes(head)
+    assert (suffixes._rows(np.frombuffer(planes.tobytes(), np.uint8), 4) == head).all()
+    gb = 1 << 30
+    assert [suffixes.bucket_count(x) for x in (0, 1, gb // 5, gb, 2 * gb, 4 * gb, 10 * gb)] == [1, 1, 103, 512, 512, 512, 1280]
+
+
 def test_suffix_order_survives_a_hash_collision():
     """Thue-Morse strings of 2048 letters and their complements have one polynomial hash modulo 2**64, whatever the odd base."""
     morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
