@@ -39,17 +39,20 @@ START_WORDS = 60_000
 STEPS = 500
 ROUNDS = 2
 SHARD_WORDS = 1_000_000
-BUFFER = 1 << 17
-STREAMS = 256
+BUFFER = 1 << 19
+STREAMS = 512  # a buffer fills them with 1024 words each
+BLOCK = 1 << 12
 COUNTED = 1 << 20
-RATE = 0.005
+RATE = 0.014
 CLASS_COST = 3
 BOUND_STEPS = 64
 PIECE = 1 << 14
-WINDOW = 64
+WINDOW = 256
 GROUP = 1024
 BLOB_BYTES = 64 << 20
 LN10 = np.log(10.0)
+SUMS = {"key": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), **dict.fromkeys(("n_tokens", "n_other", "n_short"), pa.int64()), **dict.fromkeys(("base", "logp", "counted"), pa.float64())}
+BLOB = {"bucket": pa.int32(), **dict.fromkeys(("h", "d", "keys", "train"), pa.binary())}
 
 
 def shortlist_size(types: int) -> int:
@@ -117,25 +120,35 @@ class Gru:
 
     def step(self, gx: np.ndarray, h: np.ndarray):
         k, gh = HIDDEN, h @ self.w["u"]
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * k] + gh[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
-        return n + z * (h - n), (z, r, n, gh)
+        zr = gx[:, : 2 * k] + gh[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, gn = zr[:, :k], zr[:, k:], gh[:, 2 * k :]
+        n = r * gn
+        n += gx[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, (z, r, n, gn)
 
     def _softmax(self, x: np.ndarray, table: np.ndarray, target: np.ndarray, weight: np.ndarray | None):
-        """(log-probability of the target row of ``table`` after each state, the
-        weighted loss's gradient for the logits)."""
+        """(log-probability of the target row of ``table`` after each state; the
+        weighted loss's gradient for the logits, but for a factor of each state;
+        that factor)."""
         logit = x @ table.T
         if not self.small:
             logit -= logit.max(1, keepdims=True)
-        at = (np.arange(len(x)), target)
-        own = logit[at]
+        flat, at = logit.reshape(-1), np.arange(len(x)) * len(table) + target
+        own = flat[at]
         np.exp(logit, out=logit)
         total = logit @ np.ones(len(table), np.float32)
-        if weight is not None:
-            logit *= (weight / total)[:, None]
-            logit[at] -= weight
-        return own - np.log(total), logit
+        if weight is None:
+            return own - np.log(total), None, None
+        flat[at] -= total
+        return own - np.log(total), logit, (weight / total)[:, None]
 
     def log_probs(self, hs: np.ndarray, targets: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
         """Natural log-probability of each target after each state; with
@@ -146,19 +159,24 @@ class Gru:
         hs = np.concatenate([hs, np.ones((len(hs), 1), np.float32)], 1)[order]
         cls, inner = cls[order], targets[order] - self.edge[cls[order]]
         weight = None if grads is None else weight[order]
-        found, d = self._softmax(hs, c, cls, weight)
-        back = None
+        found, back = np.empty(len(hs), hs.dtype), None
         if grads is not None:
-            back = d @ c[:, :HIDDEN]
-            grads["c"], grads["o"] = [(slice(None), d.T @ hs)], []
+            back, total = np.empty((len(hs), HIDDEN), hs.dtype), np.zeros_like(c)
+            grads["c"], grads["o"] = [(slice(None), total)], []
+        for lo in range(0, len(hs), BLOCK):  # logits of a block stay in the processor's cache
+            rows = slice(lo, lo + BLOCK)
+            found[rows], d, by = self._softmax(hs[rows], c, cls[rows], None if grads is None else weight[rows])
+            if grads is not None:
+                back[rows] = by * (d @ c[:, :HIDDEN])
+                total += d.T @ (hs[rows] * by)
         begin = np.searchsorted(cls, np.arange(self.classes + 1))
         for k in np.flatnonzero((np.diff(begin) > 0) & (np.diff(self.edge) > 1)).tolist():  # a class of one word is certain
             rows, words = slice(begin[k], begin[k + 1]), slice(self.edge[k], self.edge[k + 1])
-            got, d = self._softmax(hs[rows], o[words], inner[rows], None if grads is None else weight[rows])
+            got, d, by = self._softmax(hs[rows], o[words], inner[rows], None if grads is None else weight[rows])
             found[rows] += got
             if grads is not None:
-                back[rows] += d @ o[words, :HIDDEN]
-                grads["o"].append((words, d.T @ hs[rows]))
+                back[rows] += by * (d @ o[words, :HIDDEN])
+                grads["o"].append((words, d.T @ (hs[rows] * by)))
         out = np.empty_like(found)
         out[order] = found
         if grads is not None:
@@ -169,6 +187,8 @@ class Gru:
 
     def _update(self, g: dict, rate: float, step: int) -> None:
         """Adam, with the gradient's length cut at 1, on the rows that have a gradient."""
+        # The averages are kept as sums, m ten times and v a hundred times as large.
+        root = np.sqrt(1 - 0.99**step)
         cut = min(1.0, 1.0 / (np.sqrt(sum(float(np.vdot(d, d)) for parts in g.values() for _, d in parts)) + 1e-9))
         for k, parts in g.items():
             if k not in self.adam:
@@ -176,19 +196,18 @@ class Gru:
             for at, d in parts:
                 # Slices are views; a class's rows stay in the processor's cache.
                 w, m, v = (a[at] for a in (self.w[k], *self.adam[k]))
-                s = d * d
-                s *= 0.01 * cut * cut
-                v *= 0.99
-                v += s
-                d *= 0.1 * cut
+                if cut < 1:
+                    d *= cut
                 m *= 0.9
                 m += d
-                np.sqrt(v, out=s)
-                s *= 1 / np.sqrt(1 - 0.99**step)
-                s += 1e-8
-                np.divide(m, s, out=s)
-                s *= rate / (1 - 0.9**step)
-                w -= s
+                d *= d
+                v *= 0.99
+                v += d
+                np.sqrt(v, out=d)
+                d += 1e-7 * root
+                np.divide(m, d, out=d)
+                d *= rate * root / (1 - 0.9**step)
+                w -= d
                 if not isinstance(at, slice):
                     self.w[k][at], self.adam[k][0][at], self.adam[k][1][at] = w, m, v
         if step % BOUND_STEPS == 0:
@@ -197,34 +216,43 @@ class Gru:
     def _learn(self, prev: np.ndarray, ids: np.ndarray, begin: np.ndarray, weight: np.ndarray, h: np.ndarray, rate: float, step: int) -> np.ndarray:
         """One update from a window of (streams, length); the states after it.
         Only rows and classes that the window touches are updated."""
-        w, (streams, length) = self.w, ids.shape
-        seen, states, inputs = [], [], []
+        w, (streams, length), k = self.w, ids.shape, HIDDEN
+        flat = prev.T.ravel()
+        x = w["e"][flat]
+        gx = (x @ w["x"] + w["b"]).reshape(length, streams, 3 * k)
+        before, states, z, r, n, gn = np.empty((6, length, streams, k), x.dtype)
+        new = begin.any(0).tolist()
         for t in range(length):
-            h = np.where(begin[:, t, None], np.float32(0), h)
-            x = w["e"][prev[:, t]]
-            before = h
-            h, gates = self.step(x @ w["x"] + w["b"], h)
-            seen.append((before, gates))
-            inputs.append(x)
-            states.append(h)
+            before[t] = h
+            if new[t]:
+                before[t, begin[:, t]] = 0
+            h, (z[t], r[t], n[t], gn[t]) = self.step(gx[t], before[t])
+            states[t] = h
         g: dict = {}
         part = weight.T.ravel().astype(np.float32)
-        _, back = self.log_probs(np.concatenate(states), ids.T.ravel(), g, part / part.sum())
-        back = back.reshape(length, streams, HIDDEN)
-        carry, dgxs, dghs = np.zeros((streams, HIDDEN), np.float32), [], []
-        for i in range(length - 1, -1, -1):
-            before, (z, r, n, gh) = seen[i]
-            d = back[i] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * gh[:, 2 * HIDDEN :] * r * (1 - r)
-            dgxs.append(np.concatenate([dz, dr, dn], 1))
-            dghs.append(np.concatenate([dz, dr, dn * r], 1))
-            carry = np.where(begin[:, i, None], np.float32(0), d * z + dghs[-1] @ w["u"].T)
-        dgx, dgh = np.concatenate(dgxs[::-1]), np.concatenate(dghs[::-1])
-        for k, d in (("u", np.concatenate([b for b, _ in seen]).T @ dgh), ("x", np.concatenate(inputs).T @ dgx), ("b", dgx.sum(0))):
-            g[k] = [(slice(None), d)]
-        flat = prev.T.ravel()
+        _, back = self.log_probs(states.reshape(-1, k), ids.T.ravel(), g, part / part.sum())
+        back = back.reshape(length, streams, k)
+        # What a state's gradient is multiplied by at its gates, for all places at once.
+        rest = 1 - z
+        by_n, by_z, by_r = rest * (1 - n * n), (before - n) * z * rest, gn * r * (1 - r)
+        dn, dgh = np.empty_like(n), np.empty_like(gx)
+        ut, carry = np.ascontiguousarray(w["u"].T), np.zeros((streams, k), x.dtype)
+        for t in range(length - 1, -1, -1):
+            d, dg = back[t], dgh[t]
+            d += carry
+            np.multiply(d, by_n[t], out=dn[t])
+            np.multiply(d, by_z[t], out=dg[:, :k])
+            np.multiply(dn[t], by_r[t], out=dg[:, k : 2 * k])
+            np.multiply(dn[t], r[t], out=dg[:, 2 * k :])
+            carry = dg @ ut
+            d *= z[t]
+            carry += d
+            if new[t]:
+                carry[begin[:, t]] = 0
+        dgx, dgh = dgh.reshape(-1, 3 * k).copy(), dgh.reshape(-1, 3 * k)
+        dgx[:, 2 * k :] = dn.reshape(-1, k)
+        for name, d in (("u", before.reshape(-1, k).T @ dgh), ("x", x.T @ dgx), ("b", dgx.sum(0))):
+            g[name] = [(slice(None), d)]
         order = np.argsort(flat, kind="stable")
         rows, edge = np.unique(flat[order], return_index=True)
         g["e"] = [(rows, np.add.reduceat((dgx @ w["x"].T)[order], edge, axis=0))]
@@ -350,33 +378,18 @@ def _keys(batch) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _others(sorted_h, code, counted_h, buckets: int):
-    """The words outside the shortlist and the counted words, by bucket."""
-
-    def run(batches):
-        for batch in batches:
-            key = _keys(batch)
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            hs, ds = [], []
-            for i, _, _, h, doc in _texts(batch.column("text"), sorted_h, code):
-                rare = _at(h, counted_h) < 0
-                hs.append(h[rare])
-                ds.append(doc[rare] + i)
-            if not hs:
-                continue
-            h, d = np.concatenate(hs), np.concatenate(ds)
-            bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((h, bucket))
-            h, d, bucket = h[order], d[order].astype(np.int32), bucket[order]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(b, h[edge[b] : edge[b + 1]].tobytes(), d[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
-            uses = [np.unique(x[2], return_inverse=True) for x in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([i.astype(np.uint16 if len(u) < 65536 else np.uint32).tobytes() for u, i in uses], pa.binary()), pa.array([key[u].tobytes() for u, _ in uses], pa.binary()), pa.array([np.packbits(train[u]).tobytes() for u, _ in uses], pa.binary())],
-                ["bucket", "h", "d", "key", "train"],
-            )
-
-    return run
+def _blobs(h: np.ndarray, d: np.ndarray, key: np.ndarray, train: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The words ``h`` of the texts ``d`` of a batch, by bucket."""
+    bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h, bucket))
+    h, d, bucket = h[order], d[order].astype(np.int32), bucket[order]
+    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = [(b, h[edge[b] : edge[b + 1]].tobytes(), d[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
+    uses = [np.unique(x[2], return_inverse=True) for x in rows]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([i.astype(np.uint16 if len(u) < 65536 else np.uint32).tobytes() for u, i in uses], pa.binary()), pa.array([key[u].tobytes() for u, _ in uses], pa.binary()), pa.array([np.packbits(train[u]).tobytes() for u, _ in uses], pa.binary())],
+        [*BLOB],
+    )
 
 
 def _tail(parts: int):
@@ -385,7 +398,7 @@ def _tail(parts: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hs, ds, keys, trains, n = [], [], [], [], 0
-        for h, d, key, train in zip(pdf.h, pdf.d, pdf.key, pdf.train, strict=True):
+        for h, d, key, train in zip(pdf.h, pdf.d, pdf["keys"], pdf.train, strict=True):
             h, key = np.frombuffer(h, np.uint64), np.frombuffer(key, np.uint64)
             hs.append(h)
             ds.append(np.frombuffer(d, np.uint16 if len(d) == 2 * len(h) else np.uint32).astype(np.int64) + n)
@@ -413,16 +426,25 @@ def _sum_tails(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": tb.signed(own), "tail": np.bincount(who, tail, len(own)), "known": np.bincount(who, known, len(own)).astype(np.int64)})
 
 
-def _model_scores(model: Gru, sorted_h, code, log_c: np.ndarray, seen: np.ndarray, counted_h, counted_log):
+def _model_scores(model: Gru, sorted_h, code, log_c: np.ndarray, seen: np.ndarray, counted_h, counted_log, buckets: int):
+    """Rows of two kinds: a text's sums over the words of the tables, and the
+    blobs of the words outside them. A text is cut into words once for both."""
+
+    def wide(found: pa.RecordBatch) -> pa.RecordBatch:
+        have = dict(zip(found.schema.names, found.columns, strict=True))
+        return pa.RecordBatch.from_arrays([have[c] if c in have else pa.nulls(len(found), t) for c, t in (SUMS | BLOB).items()], [*SUMS, *BLOB])
+
     def run(batches):
         for batch in batches:
             key, n = _keys(batch), len(batch)
             size, others, base, known, logp, tail = (np.zeros(n) for _ in range(6))
-            ids, offs = [], [0]
+            ids, offs, rare, where = [], [0], [], []
             for i, part, o, h, doc in _texts(batch.column("text"), sorted_h, code):
                 ids.append(part)
                 offs += (o[1:] + offs[-1]).tolist()
                 at = _at(h, counted_h)
+                rare.append(h[at < 0])
+                where.append(doc[at < 0] + i)
                 doc = doc[at >= 0] + i
                 tail += np.bincount(doc, counted_log[at[at >= 0]], n)
                 known += np.bincount(doc, minlength=n)
@@ -434,7 +456,9 @@ def _model_scores(model: Gru, sorted_h, code, log_c: np.ndarray, seen: np.ndarra
                 base = np.bincount(doc, log_c[flat], n)
                 known += np.bincount(doc, seen[flat], n)
                 logp = model.score(flat, offs) / LN10
-            yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key)), batch.column("doc_id"), batch.column("held_out"), *(pa.array(a.astype(np.int64)) for a in (size, others, known)), *(pa.array(a) for a in (base, logp, tail))], ["key", "doc_id", "held_out", "n_tokens", "n_other", "n_short", "base", "logp", "counted"])
+            yield wide(pa.RecordBatch.from_arrays([pa.array(tb.signed(key)), batch.column("doc_id"), batch.column("held_out"), *(pa.array(a.astype(np.int64)) for a in (size, others, known)), *(pa.array(a) for a in (base, logp, tail))], [*SUMS]))
+            if sum(map(len, rare)):
+                yield wide(_blobs(np.concatenate(rare), np.concatenate(where), key, ~batch.column("held_out").to_numpy(zero_copy_only=False), buckets))
 
     return run
 
@@ -555,9 +579,10 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
 
     # 12 bytes a token: training tokens, a fourth of that held out, and new words.
     buckets = max(1, -(-12 * (left + words // 4 + 1) // BLOB_BYTES))
-    blobs = base.mapInArrow(_others(sorted_h, code, counted_h, buckets), "bucket int, h binary, d binary, key binary, train binary")
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_other long, n_short long, base double, logp double, counted double, bucket int, h binary, d binary, keys binary, train binary"
+    kept = scratch.keep(base.mapInArrow(_model_scores(model, sorted_h, code, log_c, seen, counted_h, counted_log, buckets), schema), "model")
+    scored, blobs = kept.where("bucket IS NULL").select(*SUMS), kept.where("bucket IS NOT NULL").select(*BLOB)
     tail = blobs.groupBy("bucket").applyInPandas(_tail(buckets), "part int, key binary, tail binary, known binary").groupBy("part").applyInPandas(_sum_tails, "key long, tail double, known long")
-    scored = scratch.keep(base.mapInArrow(_model_scores(model, sorted_h, code, log_c, seen, counted_h, counted_log), "key long, doc_id long, held_out boolean, n_tokens long, n_other long, n_short long, base double, logp double, counted double"), "model")
     same = scored.groupBy("key").agg(F.count("*").alias("rows"))
     sums = tail.join(same, "key").select("key", (F.col("tail") / F.col("rows")).alias("tail"), (F.col("known") / F.col("rows")).cast("long").alias("known"))
     mass = max(1e-12, 1 - float(((np.delete(freq, OTHER) + 0.5) / (total + 0.5 * (types + 1))).sum()))

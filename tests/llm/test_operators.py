@@ -600,6 +600,31 @@ def test_lm_gradient_by_finite_differences(monkeypatch, small):
             assert dense[place] == pytest.approx(slope, rel=1e-3, abs=1e-6), (name, place)
 
 
+def test_a_buffer_fills_all_streams(monkeypatch):
+    """A run of BUFFER words is learned in STREAMS streams, and each word once."""
+    model, shapes = lm.Gru(1000.0 / np.arange(1, 41)), []
+    monkeypatch.setattr(model, "_learn", lambda prev, ids, begin, weight, h, rate, step: shapes.append((len(ids), int(weight.sum()))) or h)
+    assert model.learn_all([[np.full(lm.BUFFER // 8, 3)] * 8]) == lm.BUFFER
+    assert {n for n, _ in shapes} == {lm.STREAMS} and sum(n for _, n in shapes) == lm.BUFFER
+
+
+def test_texts_are_cut_into_words_once_for_all_sums():
+    """The pass that scores also gives the words outside the tables, with their texts."""
+    texts, held = ["a b zz", "zz yy a", "b", None], [False, True, False, False]
+    h = {w: next(lm._hashes(pa.array([w])))[2][0] for w in ("a", "b", "yy", "zz")}
+    top = np.sort(np.array([h["a"], h["b"]], np.uint64))
+    model = lm.Gru(np.array([4.0, 2.0, 2.0, 2.0])).freeze()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts), pa.array(held)], ["doc_id", "text", "held_out"])
+    run = lm._model_scores(model, top, np.array([2, 3]), np.zeros(4), np.array([True, False, True, True]), np.zeros(0, np.uint64), np.zeros(0), 1)
+    sums, blob = run([batch])
+    assert sums.column("n_tokens").to_pylist() == [4, 4, 2, 1] and sums.column("n_other").to_pylist() == [1, 2, 0, 0] and sums.column("bucket").null_count == 4
+    found = {c: blob.column(c)[0].as_py() for c in lm.BLOB}
+    keys = np.frombuffer(found["keys"], np.uint64)[np.frombuffer(found["d"], np.uint16)]
+    key = sums.column("key").to_numpy().view(np.uint64)
+    assert set(zip(np.frombuffer(found["h"], np.uint64), keys)) == {(h["zz"], key[0]), (h["zz"], key[1]), (h["yy"], key[1])}
+    assert np.unpackbits(np.frombuffer(found["train"], np.uint8))[:2].tolist() == [1, 0] and blob.column("key").null_count == 1
+
+
 def test_lm_update_is_adam_and_classes_cover_all_words():
     model = lm.Gru(np.array([5.0, 1.0, 50.0, 30.0, 10.0]))
     w, m, v = model.w["e"].astype(float), 0, 0
