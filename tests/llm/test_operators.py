@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -352,6 +353,64 @@ def test_only_suffixes_that_others_hold_are_sorted(monkeypatch):
     assert len(sizes) > 5 and max(sizes) < 3 * 400
 
 
+def test_a_very_common_string_takes_bounded_memory(monkeypatch):
+    """One minimiser in hundreds of texts: never more than some windows' bytes are hashed at once."""
+    rng = random.Random(44)
+    others, hot = "abcdefgh", "".join(rng.choice("xyz") for _ in range(60))
+    texts = [("".join(rng.choices(others, k=30)) if i % 3 else "=" * 30) + hot + "".join(rng.choices(others, k=rng.randrange(20))) for i in range(600)]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    own, count = np.arange(600)[::-1] // 2, np.array([len(t) - 49 for t in raw])
+    whole = list(zip(*suffixes._hit_runs(np.concatenate(raw), own, count), strict=True))
+    seen, init = [], suffixes.HashedSuffixes.__init__
+    monkeypatch.setattr(suffixes.HashedSuffixes, "__init__", lambda self, data, *a: seen.append(len(data)) or init(self, data, *a))
+    monkeypatch.setattr(suffixes, "WINDOWS", 500)
+    found = list(zip(*suffixes._hit_runs(np.concatenate(raw), own, count), strict=True))
+    assert sorted(found) == sorted(whole) and len(whole) > 500
+    assert max(seen) <= 500 * suffixes.WINDOW_BYTES < sum(map(len, raw)) / 10
+    # A hash that all windows share changes nothing.
+    monkeypatch.setattr(suffixes.HashedSuffixes, "hashes", lambda self: np.full(len(self.at), 7, np.uint64))
+    assert sorted(zip(*suffixes._hit_runs(np.concatenate(raw[:90]), own[:90], count[:90]), strict=True)) == sorted(_brute_runs(texts[:90], own[:90]))
+
+
+def _brute_runs(texts, own):
+    least = {}
+    for t, d in zip(texts, own.tolist(), strict=True):
+        for p in range(len(t) - 49):
+            least[t[p : p + 50]] = min(d, least.get(t[p : p + 50], d))
+    for i, (t, d) in enumerate(zip(texts, own.tolist(), strict=True)):
+        hit = "".join("x" if least[t[p : p + 50]] < d else " " for p in range(len(t) - 49))
+        yield from ((i, m.start(), m.end()) for m in re.finditer("x+", hit))
+
+
+def test_blobs_are_deleted_and_texts_unsorted(spark, monkeypatch):
+    """The suffixes' blobs are gone before texts are shuffled for a large span table."""
+    monkeypatch.setattr(suffixes, "SMALL", -1)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = disk.getAllBlocks()
+        return {x for x in (found.apply(i).name() for i in range(found.size())) if x.startswith("shuffle_")}
+
+    df = spark.createDataFrame([(i, "common words that stand in every text, " * 2 + str(i) * 60) for i in range(40)], "doc_id long, text string")
+    rows = df.select("doc_id", F.xxhash64("doc_id").alias("key"), "text")
+    kept, left = suffixes.Scratch.keep, []
+
+    def keep(self, table, *names, **more):
+        before = shuffles()
+        out = kept(self, table, *names, **more)
+        for _ in range(50):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        left.append(shuffles() - before)
+        return out
+
+    monkeypatch.setattr(suffixes.Scratch, "keep", keep)
+    assert suffixes.repeated_spans(spark, rows, suffixes.Scratch(spark, "t")).count() == 39 and left == [set()]
+    plan = suffixes.remove_repeats(spark, df)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_equal_suffixes_are_merged_as_one(monkeypatch):
     """Many texts that go on in two ways behind one string, in turns."""
     merged, merge = [], suffixes.HashedSuffixes._merge
