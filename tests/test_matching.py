@@ -98,6 +98,24 @@ def test_plan_shuffles_no_cells(spark, sf):
         assert "MapInArrow" in plan and "hashpartitioning" not in plan and "Sort" not in plan, name
 
 
+def test_tfidf_writes_words_once_and_no_pairs(tables, cells, monkeypatch):
+    """N-grams are three times their words; on disk stand words, counts and the vocabulary."""
+    docs, topics, _ = tables
+    kept, keep = [], matching.Scratch.keep
+
+    def record(self, df, *names, **more):
+        kept.append(keep(self, df, *names, **more))
+        return kept[-1]
+
+    monkeypatch.setattr(matching.Scratch, "keep", record)
+    got = rows(matching.tfidf_cosine(docs, topics, 500))
+    lists = [df for df in kept if "array" in str(df.schema.simpleString())]
+    assert len(lists) == 1 and len(kept) == 3
+    words = {w for r in lists[0].collect() for p in r.words or [] for w in p}
+    assert "red" in words and "a" not in words and not any(" " in w for w in words)
+    assert got == rows(retrieval.tfidf_cosine(docs, topics, 500)) and got
+
+
 def test_attached_candidates_agree_with_joins(tables, cells):
     docs, topics, gold = tables
     t, words = matching.topic_matrix(topics), matching.document_words(docs, gold, sents=True)
