@@ -406,7 +406,7 @@ def test_blobs_are_deleted_and_texts_unsorted(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(suffixes.Scratch, "keep", keep)
-    assert suffixes.repeated_spans(spark, rows, suffixes.Scratch(spark, "t")).count() == 39 and left == [set()]
+    assert suffixes.repeated_spans(spark, rows, suffixes.Scratch(spark, "t"), 6000).count() == 39 and left == [set()]
     plan = suffixes.remove_repeats(spark, df)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
